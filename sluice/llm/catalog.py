@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .langid import op6_language_id
 from .packing import op5_packing
 from .repair import op10_token_files
 
 QUERIES: dict[str, Callable] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
     "op10_token_files": op10_token_files,
 }
 SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
