@@ -7,12 +7,16 @@ from collections.abc import Callable
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .langid import op6_language_id
 from .packing import op5_packing
+from .pii import op2_pii
 from .repair import op10_token_files
+from .secrets import op7_secrets
 
 QUERIES: dict[str, Callable] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_pii": op2_pii,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
+    "op7_secrets": op7_secrets,
     "op10_token_files": op10_token_files,
 }
 SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
