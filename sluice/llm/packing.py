@@ -24,8 +24,6 @@ from .tokens import crc32, tokenizer
 OPEN_WINDOWS = 16
 #: Partitions whose leftovers one task of the next pass merges.
 MERGE = 32
-#: Documents tokenized in one call.
-DOCS = 256
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()), ("origin", pa.int64()), ("open", pa.bool_())])
 _PIECE_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, origin long, open boolean"
@@ -123,11 +121,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0
         w = Windows(size, open_windows, part << 32, keep_ids)
         end = np.array([end_id], np.uint32)
         for b in batches:
-            for i in range(0, b.num_rows, DOCS):
-                part_b = b.slice(i, DOCS)
-                texts = [t or "" for t in part_b.column("text").to_pylist()]
-                for doc_id, ids in zip(part_b.column("doc_id").to_pylist(), own.encode_batch(texts)):
-                    w.document(doc_id, np.concatenate([ids, end]))
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), own.encode_column(b.column("text"))):
+                w.document(doc_id, np.concatenate([ids, end]))
             if w.rows:
                 yield w.take()
         w.leave(part)

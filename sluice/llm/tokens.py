@@ -1,73 +1,216 @@
-"""Token ids by the public tokenizers, with a bounded memo of white-space-delimited chunks.
-
-Both vocabularies used here split a text into pre-tokens before any merge, and a pre-token never extends over a
-single space that stands between two non-space characters. Such a space therefore separates the text into chunks
-whose ids do not depend on each other, so each distinct chunk is sent through the tokenizers library once and its
-ids are reused. Texts in which white space meets white space go through the library whole.
+"""Token ids by the public tokenizers, with a bounded memo of chunks.
+
+Both vocabularies used here split a text into pre-tokens before any merge, and no pre-token extends over the beginning
+of a single space, or over a single line break, that stands between two characters that are not white space, nor over
+the end of a word and a mark behind it. These therefore cut the text into chunks whose ids do not depend on each other:
+each distinct chunk is sent through the tokenizers library once and its ids are reused. Chunks are found, hashed
+(128 bits) and looked up by numpy over the bytes of many texts at once. Texts with any other white space around a cut,
+or with special tokens, go through the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
 
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Distinct chunks whose ids are remembered; beyond it the memo starts anew.
-MEMO = 700_000
-#: A longer chunk is not worth remembering.
-MEMO_CHARS = 64
+from .base import CHUNK_BYTES, U64, mix, powers, row_groups, text_bytes  # noqa: E402
 
-_RISKY = re.compile(r"\s\s|^\s|\s$")
-_tokenizers: dict[str, "ChunkTokenizer"] = {}
+#: Distinct chunks whose ids are remembered; beyond it the memo starts anew.
+MEMO = 1_000_000
+#: New chunks sent through the library in one text.
+JOINED = 500
+_BASES = tuple((b, pow(b, -1, 2**64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+
+_SPACE, _BREAK, _MARK, _LETTER, _ODD, _LEAD = 1, 2, 4, 8, 16, 32
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[ord(" ")], _CLASS[ord("\n")] = _SPACE, _BREAK
+_CLASS[list(b".,;:!?")] = _MARK
+_CLASS[list(range(65, 91)) + list(range(97, 123))] = _LETTER
+_CLASS[[0, 9, 11, 12, 13, 28, 29, 30, 31]] = _ODD
+_CLASS[[0xC2, 0xE1, 0xE2, 0xE3]] = _LEAD
+_OTHER_SPACES = np.unique(np.array([int.from_bytes(c.encode().ljust(3, b"\0")[:3], "big") for c in map(chr, range(128, 0x3001)) if c.isspace()], np.uint32))
+
+_tokenizers: dict[str, ChunkTokenizer] = {}
+
+
+class Memo:
+    """128-bit chunk hash -> ids, as arrays: an open-addressing table over one flat array of ids."""
+
+    def __init__(self, most: int):
+        self.bits = max(10, (2 * most).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.key = np.zeros((1024, 2), U64)
+        self.at, self.n = np.zeros(1025, np.int64), 0
+        self.flat = np.zeros(4096, np.uint32)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Entry numbers, -1 where unknown."""
+        out = np.full(len(key), -1, np.int64)
+        open_ = np.arange(len(key))
+        slot = (key[:, 0] >> U64(64 - self.bits)).astype(np.int64)
+        while len(open_):
+            entry = self.slots[slot]
+            own = key[open_]
+            there = entry >= 0
+            same = there & (self.key[entry] == own).all(1)
+            out[open_[same]] = entry[same]
+            on = there & ~same
+            open_, slot = open_[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, key: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Distinct unknown keys."""
+        first, n = self.n, self.n + len(key)
+        if n > len(self.key):
+            self.key = np.concatenate([self.key, np.zeros((max(n, 2 * len(self.key)) - len(self.key), 2), U64)])
+            self.at = np.concatenate([self.at, np.zeros(len(self.key) + 1 - len(self.at), np.int64)])
+        self.key[first:n] = key
+        self.at[first + 1 : n + 1] = self.at[first] + np.cumsum([len(x) for x in ids])
+        if self.at[n] > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(self.at[n], 2 * len(self.flat)) - len(self.flat), np.uint32)])
+        if ids:
+            self.flat[self.at[first] : self.at[n]] = np.concatenate(ids)
+        self.n = n
+        entry = np.arange(first, n)
+        slot = (key[:, 0] >> U64(64 - self.bits)).astype(np.int64)
+        while len(entry):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = entry[free]
+            on = self.slots[slot] != entry
+            entry, slot = entry[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+
+    def gather(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the entries one after the other, and their numbers."""
+        n = self.at[entry + 1] - self.at[entry]
+        stop = np.cumsum(n)
+        return self.flat[np.repeat(self.at[entry] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)], n
 
 
 class ChunkTokenizer:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def _chunks(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts in which every space is a cut."""
-        split = [t.replace(" ", "\0 ").split("\0") for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        memo = self.memo
-        seen = set()
-        for parts in split:
-            seen.update(parts)
-        seen.difference_update(memo)
-        missing = list(seen)
-        once = {}  # long chunks serve this call only
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            for c, ids in zip(part, self._ids(part)):
-                (memo if len(c) <= MEMO_CHARS else once)[c] = ids
-        if once:
-            return [b"".join([memo[c] if c in memo else once[c] for c in parts]) for parts in split]
-        return [b"".join(map(memo.__getitem__, parts)) for parts in split]
-
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        out = [b""] * len(texts)
-        safe, whole = [], []
-        for i, t in enumerate(texts):
-            if t:
-                (whole if "<|" in t or "\0" in t or _RISKY.search(t) else safe).append(i)
-        for i in whole:
-            out[i] = self._ids([texts[i]])[0]
-        for i, ids in zip(safe, self._chunks([texts[i] for i in safe])):
-            out[i] = ids
-        return [np.frombuffer(ids, "<u4") for ids in out]
+    def __init__(self, path: str, most: int = MEMO):
+        self.library, self.most = Tokenizer.from_file(path), most
+        self.memo = Memo(most)
+
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        return list(self.encode_column(pa.array(texts, pa.string())))
+
+    def encode_column(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each row in order; a null row is empty."""
+        body, at = text_bytes(column)
+        for i, j in row_groups(at):
+            part, own = body[at[i] : at[j]], at[i : j + 1] - at[i]
+            if j - i == 1 and len(part) > 4 * CHUNK_BYTES:
+                yield self._long(part)
+                continue
+            yield from self._group(part, own)
+
+    def _long(self, part: np.ndarray) -> np.ndarray:
+        """One very long text, in pieces that begin at a cut."""
+        if not self._plain(part, np.array([0, len(part)]))[0]:
+            return self._whole(part)
+        cuts = [0]
+        while len(part) - cuts[-1] > 2 * CHUNK_BYTES:
+            here = np.flatnonzero(part[cuts[-1] + CHUNK_BYTES :][:CHUNK_BYTES] == 32)
+            if not len(here):
+                return self._whole(part)
+            cuts.append(cuts[-1] + CHUNK_BYTES + int(here[0]))
+        return np.concatenate([self._chunks(part[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts, [*cuts[1:], len(part)])])
+
+    def _whole(self, part: np.ndarray) -> np.ndarray:
+        return np.array(self.library.encode(part.tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+
+    def _plain(self, body: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which rows have single spaces and line breaks inside as their only white space, and no special token."""
+        n, rows = len(body), len(at) - 1
+        bad = np.zeros(n + 1, bool)
+        kind = _CLASS[body]
+        cut = (kind & (_SPACE | _BREAK)) != 0
+        bad[:n] |= kind == _ODD
+        bad[1:n] |= cut[1:] & cut[:-1]
+        bad[: n - 1] |= (body[:-1] == 0x3C) & (body[1:] == 0x7C)
+        lead = np.flatnonzero(kind == _LEAD)
+        if len(lead):
+            b = [np.where(lead + k < n, body[np.minimum(lead + k, n - 1)], 0).astype(np.uint32) for k in range(3)]
+            code = np.where(b[0] == 0xC2, (b[0] << 16) | (b[1] << 8), (b[0] << 16) | (b[1] << 8) | b[2])
+            bad[lead[np.isin(code, _OTHER_SPACES)]] = True
+        full = at[:-1] < at[1:]
+        bad[at[:-1][full]] |= cut[at[:-1][full]]
+        bad[at[1:][full] - 1] |= cut[at[1:][full] - 1]
+        total = np.concatenate([[0], np.cumsum(bad[:n])])
+        return total[at[1:]] == total[at[:rows]]
+
+    def _group(self, body: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        plain = self._plain(body, at) if len(body) else np.ones(len(at) - 1, bool)
+        if plain.all():
+            yield from self._chunks(body, at)
+            return
+        size = np.diff(at)
+        mine = np.concatenate([[0], np.cumsum(size[plain])])
+        found = iter(self._chunks(body[np.repeat(plain, size)], mine))
+        for k, ok in enumerate(plain.tolist()):
+            yield next(found) if ok else self._whole(body[at[k] : at[k + 1]])
+
+    def _chunks(self, body: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """Ids of plain rows."""
+        n = len(body)
+        if not n:
+            return [np.zeros(0, np.uint32) for _ in at[1:]]
+        kind = _CLASS[body]
+        start = np.zeros(n + 1, bool)
+        start[at] = True
+        brk = kind == _BREAK
+        cut = (kind == _SPACE) | brk
+        mark = (kind[1:] == _MARK) & (kind[:-1] == _LETTER)
+        mark[:-1] &= cut[2:] | start[2:n]
+        start[:n] |= cut
+        start[1 : n + 1] |= brk
+        start[1:n] |= mark
+        begin = np.flatnonzero(start[:n])
+        end = np.append(begin[1:], n)
+        key = np.empty((len(begin), 2), U64)
+        with np.errstate(over="ignore"):
+            for c, (base, inverse) in enumerate(_BASES):
+                total = np.zeros(n + 1, U64)
+                np.cumsum((body.astype(U64) + U64(1)) * powers(base, n), out=total[1:])
+                key[:, c] = mix((total[end] - total[begin]) * powers(inverse, n)[begin] + (end - begin).astype(U64))
+        if self.memo.n > self.most:
+            self.memo = Memo(self.most)
+        entry = self.memo.find(key)
+        while len(miss := np.flatnonzero(entry < 0)):
+            _, first = np.unique(key[miss, 0] ^ (key[miss, 1] << U64(1)), return_index=True)
+            first = miss[first]
+            raw = body.tobytes()
+            self.memo.add(key[first], self._learn([raw[a:b].decode() for a, b in zip(begin[first].tolist(), end[first].tolist())]))
+            entry[miss] = self.memo.find(key[miss])
+        ids, per_chunk = self.memo.gather(entry)
+        done = np.concatenate([[0], np.cumsum(per_chunk)])[np.searchsorted(begin, at)]
+        return [ids[a:b] for a, b in zip(done[:-1].tolist(), done[1:].tolist())]
+
+    def _learn(self, chunks: list[str]) -> list[np.ndarray]:
+        """Ids of distinct chunks, many in one call: they are joined as in a text, a line break before those that do
+        not begin with a space, and their ids told apart by the offsets."""
+        out = []
+        for i in range(0, len(chunks), JOINED):
+            own = chunks[i : i + JOINED]
+            e = self.library.encode("".join([c if c[0] == " " else "\n" + c for c in own]), add_special_tokens=False)
+            size = np.array([len(c) for c in own])
+            broken = np.array([c[0] != " " for c in own])
+            stop = np.cumsum(size + broken)
+            begin = np.fromiter((o[0] for o in e.offsets), np.int64, len(e))
+            ids = np.array(e.ids, np.uint32)
+            a, b = np.searchsorted(begin, stop - size), np.searchsorted(begin, stop)
+            out += [ids[x:y] for x, y in zip(a.tolist(), b.tolist())]
+        return out
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
