@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .langid import op6_language_id
+from .ngram_join import OP4_SQL, op4_ngram_join
 from .packing import op5_packing
 from .pii import op2_pii
 from .repair import op10_token_files
@@ -14,12 +15,13 @@ from .secrets import op7_secrets
 QUERIES: dict[str, Callable] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
+    "op4_ngram_join": op4_ngram_join,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_secrets": op7_secrets,
     "op10_token_files": op10_token_files,
 }
-SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_ngram_join": OP4_SQL}
 
 
 def queries() -> dict[str, Callable]:
