@@ -28,12 +28,11 @@ from .tokens import crc32, tokenizer
 
 #: Ids in a shard, about; a longer document is a shard of its own.
 SHARD_IDS = 2_000_000
-ROUNDS = 6
+ROUNDS = 4
 #: Pairs replaced in one round, and occurrences that make a pair frequent.
-ROUND_RULES, FREQUENT = 2_000, 8
+ROUND_RULES, FREQUENT = 4_000, 8
 SYMBOLS = 1 << 16
-_BUCKETS = 20
-DOCS = 256
+_BUCKETS = 18
 
 
 def compress(ids: np.ndarray, vocabulary: int, barrier: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +70,9 @@ def compress(ids: np.ndarray, vocabulary: int, barrier: int) -> tuple[np.ndarray
         hit = table[slot] == own
         at, slot = at[hit], slot[hit]
         s[at] = (vocabulary + len(rules) + slot).astype(np.uint32)
-        s = np.delete(s, at + 1)
+        keep = np.ones(len(s), bool)
+        keep[at + 1] = False
+        s = s[keep]
         rules += [(int(x) >> 16, int(x) & 0xFFFF) for x in table]
     return s.astype(np.uint16), np.array(rules, np.uint16).reshape(-1, 2)
 
@@ -196,14 +197,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _SHARD)], schema=_SHARD)
 
         for b in batches:
-            for i in range(0, b.num_rows, DOCS):
-                some = b.slice(i, DOCS)
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), own.encode_batch([t or "" for t in some.column("text").to_pylist()])):
-                    if size and size + len(ids) + 1 > shard_ids:
-                        yield flush()
-                    held.append(np.concatenate([ids, end]))
-                    names.append(doc_id)
-                    size += len(ids) + 1
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), own.encode_column(b.column("text"))):
+                if size and size + len(ids) + 1 > shard_ids:
+                    yield flush()
+                held.append(np.concatenate([ids, end]))
+                names.append(doc_id)
+                size += len(ids) + 1
         if held:
             yield flush()
 
