@@ -11,6 +11,7 @@ from .packing import op5_packing
 from .pii import op2_pii
 from .repair import op10_token_files
 from .secrets import op7_secrets
+from .substring_dedup import op8_substring_dedup
 
 QUERIES: dict[str, Callable] = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable] = {
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_secrets": op7_secrets,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_token_files": op10_token_files,
 }
 SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_ngram_join": OP4_SQL}
