@@ -93,7 +93,7 @@ def segments(body: np.ndarray, at: np.ndarray, length: int = LENGTH, k: int = K)
 
 
 def smaller_neighbours(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the previous and the next smaller value (-1 and len(v) where there is none)."""
+    """Positions of the previous and the next strictly smaller value (-1 and len(v) where there is none)."""
     n = len(v)
     out = []
     for own in (v, v[::-1]):
@@ -101,7 +101,7 @@ def smaller_neighbours(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         work = np.arange(n)
         while len(work):
             work = work[at[work] >= 0]
-            work = work[own[at[work]] > own[work]]
+            work = work[own[at[work]] >= own[work]]
             at[work] = at[at[work]]
         out.append(at)
     return out[0], n - 1 - out[1][::-1]
