@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
+
+from .decontaminate import OP9_SQL, op9_decontaminate
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .langid import op6_language_id
 from .ngram_join import OP4_SQL, op4_ngram_join
@@ -21,9 +24,11 @@ QUERIES: dict[str, Callable] = {
     "op6_language_id": op6_language_id,
     "op7_secrets": op7_secrets,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
+    "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_ngram_join": OP4_SQL}
+SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_ngram_join": OP4_SQL, "op9_decontaminate": OP9_SQL}
 
 
 def queries() -> dict[str, Callable]:
