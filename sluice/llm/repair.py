@@ -43,37 +43,38 @@ def compress(ids: np.ndarray, vocabulary: int, barrier: int) -> tuple[np.ndarray
         room = min(ROUND_RULES, SYMBOLS - vocabulary - len(rules))
         if len(s) < 2 * FREQUENT or room <= 0:
             break
+        # one candidate pair per bucket of pairs, with its exact number of occurrences
         key = (s[:-1] << np.uint32(16)) | s[1:]
-        open_ = (s[:-1] != barrier) & (s[1:] != barrier)
-        bucket = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BUCKETS)
-        count = np.bincount(bucket[open_], minlength=1 << _BUCKETS)
-        least = max(FREQUENT, int(np.partition(count, -2 * ROUND_RULES)[-2 * ROUND_RULES]))
-        at = np.flatnonzero((count >= least)[bucket] & open_)
-        pairs, counts = np.unique(key[at], return_counts=True)
-        order = np.lexsort((pairs, -counts))
+        bucket = ((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BUCKETS)).astype(np.int64)
+        bucket[(s[:-1] == barrier) | (s[1:] == barrier)] = 1 << _BUCKETS
+        pair = np.zeros((1 << _BUCKETS) + 1, np.uint32)
+        pair[bucket] = key
+        same = pair[bucket] == key
+        count = np.bincount(bucket[same], minlength=len(pair))[:-1]
+        top = np.argpartition(count, -2 * room)[-2 * room :]
+        top = top[np.lexsort((top, -count[top]))]
         lefts: set[int] = set()
         rights: set[int] = set()
-        chosen: list[int] = []
-        for k in order.tolist():
-            if counts[k] < FREQUENT or len(chosen) == room:
+        symbol = np.zeros(len(pair), np.uint32)
+        new: list[tuple[int, int]] = []
+        for q, x, n in zip(top.tolist(), pair[top].tolist(), count[top].tolist()):
+            if n < FREQUENT or len(new) == room:
                 break
-            a, b = int(pairs[k]) >> 16, int(pairs[k]) & 0xFFFF
+            a, b = x >> 16, x & 0xFFFF
             if a != b and a not in rights and b not in lefts:  # then no two occurrences overlap
                 lefts.add(a)
                 rights.add(b)
-                chosen.append(int(pairs[k]))
-        if not chosen:
+                symbol[q] = vocabulary + len(rules) + len(new)
+                new.append((a, b))
+        if not new:
             break
-        table = np.array(sorted(chosen), np.uint32)
-        own = key[at]
-        slot = np.minimum(np.searchsorted(table, own), len(table) - 1)
-        hit = table[slot] == own
-        at, slot = at[hit], slot[hit]
-        s[at] = (vocabulary + len(rules) + slot).astype(np.uint32)
+        put = symbol[bucket]
+        at = np.flatnonzero(same & (put > 0))
+        s[at] = put[at]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
-        rules += [(int(x) >> 16, int(x) & 0xFFFF) for x in table]
+        rules += new
     return s.astype(np.uint16), np.array(rules, np.uint16).reshape(-1, 2)
 
 
