@@ -23,8 +23,11 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable]:
+    from . import queries as _  # noqa: F401  registers them
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
