@@ -5,6 +5,9 @@ Two sets that are similar enough must share a token among the first few of each
 ties by different hashes, so rare shingles come first. Postings of the first order give candidates; a candidate must also
 share prefix tokens under the other two before its texts are compared exactly.
 
+A signature holds the parity of the number of tokens in each hash bucket. The bits in which two signatures differ are at most
+the tokens in which the sets differ, so pairs that differ in too many bits are dropped without looking at the sets.
+
 Equal sets are one node. Within a posting list not all pairs are compared: first every node is compared with the list
 head that it shares most tokens with; what is linked then is one component, and only pairs between *different* components
 remain to be compared, which is done for all of them. So no link between different components is lost, and a
@@ -14,10 +17,11 @@ group of any size costs about one comparison per member.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import U64, bloom_of, components, document_words, int_list, materialize, mix, shingles
@@ -27,20 +31,39 @@ from .base import U64, bloom_of, components, document_words, int_list, materiali
 FREQUENT_WORDS = 1 << 16
 _SEEDS = (U64(0x1D8E4E27C47D124F), U64(0xA5A3B1C9F0D4E6F7), U64(0x6C62272E07BB0142))
 
-_ROW_DDL = "doc_id long, n long, s1 long, s2 long, p1 array<long>, p2 array<int>, p3 array<int>"
+_ROW_DDL = "doc_id long, n long, s1 long, s2 long, p1 array<long>, p2 array<int>, p3 array<int>, sig array<long>"
+#: Words that are sorted at once when words are counted.
+COUNT_WORDS = 1 << 20
+
+
+def signature_longs(percent: int) -> int:
+    """Sets may differ the more, the lower the similarity; 64 bits in each long."""
+    return 4 if percent >= 90 else 16
 
 
 def word_levels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, sorted; level = 4 log2 of the count) of the most frequent words of all texts. Words that a batch
-    holds once are not counted: the count is a lower bound, good enough to order by."""
+    """(word hashes, sorted; level = 4 log2 of the count) of the most frequent words of all texts. Words that occur once
+    in COUNT_WORDS words are not counted there: the count is a lower bound, good enough to order by."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal held, size
+            words, n = np.unique(np.concatenate(held), return_counts=True)
+            held, size = [], 0
+            k = n > 1
+            return pa.RecordBatch.from_arrays([pa.array(words[k].view(np.int64)), pa.array(n[k].astype(np.int64))], names=["w", "n"])
+
         for b in batches:
-            own = [w for _, w in document_words(b.column("text"))]
-            if own:
-                words, n = np.unique(np.concatenate(own), return_counts=True)
-                k = n > 1
-                yield pa.RecordBatch.from_arrays([pa.array(words[k].view(np.int64)), pa.array(n[k].astype(np.int64))], names=["w", "n"])
+            for _, w in document_words(b.column("text")):
+                held.append(w)
+                size += len(w)
+                if size >= COUNT_WORDS:
+                    yield close()
+        if held:
+            yield close()
 
     top = docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(FREQUENT_WORDS).toArrow()
     words, n = top.column("w").to_numpy().view(U64), top.column("n").to_numpy()
@@ -81,12 +104,15 @@ def token_rows(docs: DataFrame, orders: Orders) -> DataFrame:
     """One row per document: number of distinct shingles, 128-bit digest of the set, prefixes (hashes)."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = 64 * signature_longs(orders.percent)
         for b in batches:
-            n, s1, s2 = [], [], []
+            n, s1, s2, sig = [], [], [], []
             prefix: tuple[list, list, list] = ([], [], [])
             for _, w in document_words(b.column("text")):
                 tokens, p = orders.prefixes(w)
                 n.append(len(tokens))
+                parity = np.bincount((tokens & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                sig.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
                 with np.errstate(over="ignore"):
                     s1.append(mix(tokens).sum(dtype=U64))
                     s2.append(mix(tokens ^ _SEEDS[0]).sum(dtype=U64))
@@ -99,8 +125,8 @@ def token_rows(docs: DataFrame, orders: Orders) -> DataFrame:
                 return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own) if own else [], kind))
 
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(s1, U64).view(np.int64)), pa.array(np.array(s2, U64).view(np.int64)), lists(prefix[0], pa.int64()), lists(prefix[1], pa.int32()), lists(prefix[2], pa.int32())],
-                names=["doc_id", "n", "s1", "s2", "p1", "p2", "p3"],
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(s1, U64).view(np.int64)), pa.array(np.array(s2, U64).view(np.int64)), lists(prefix[0], pa.int64()), lists(prefix[1], pa.int32()), lists(prefix[2], pa.int32()), lists(sig, pa.int64())],
+                names=["doc_id", "n", "s1", "s2", "p1", "p2", "p3", "sig"],
             )
 
     return docs.mapInArrow(rows, _ROW_DDL)
@@ -137,6 +163,12 @@ def _size_fits(a: str, b: str, percent: int):
     return 100 * F.least(F.col(a), F.col(b)) >= percent * F.greatest(F.col(a), F.col(b))
 
 
+def _bits_fit(a: list[Column], b: list[Column], na: str, nb: str, percent: int) -> Column:
+    """Whether the sets can differ in few enough tokens: J >= p % is |x ^ y| <= (|x| + |y|) (100 - p) / (100 + p)."""
+    differ = reduce(Column.__add__, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)])
+    return (100 + percent) * differ <= (100 - percent) * (F.col(na) + F.col(nb))
+
+
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``.
 
@@ -152,9 +184,9 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = materialize(token_rows(docs, orders), "sets")
     key = ["n", "s1", "s2"]
     classes = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    nodes = rows.join(classes, key).where("doc_id = rep").select("rep", "n", "p1", "p2", "p3").dropDuplicates(["rep", "n"])
+    nodes = rows.join(classes, key).where("doc_id = rep").select("rep", "n", "p1", "p2", "p3", "sig").dropDuplicates(["rep", "n"])
     # one bit per prefix token of the second and third order: a cheap form of the intersection for the posting join
-    nodes = nodes.withColumns({"b2": _bits("p2"), "b3": _bits("p3")})
+    nodes = materialize(nodes.withColumns({"b2": _bits("p2"), "b3": _bits("p3")}), "nodes")
     postings = nodes.select("rep", "n", "b2", "b3", F.explode("p1").alias("tok"))
     heads = postings.groupBy("tok").agg(F.min("rep").alias("head"), F.count("*").alias("c")).where("c > 1").select("tok", "head")
     lists = materialize(postings.join(heads, "tok"), "lists")
@@ -167,12 +199,15 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     forest = components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
     by_comp = lists.join(forest.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).drop("head")
     mixed = by_comp.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("tok", F.col("m.comp").alias("major"))
-    mixed = materialize(by_comp.join(mixed, "tok"), "mixed")
+    mixed = by_comp.join(mixed, "tok")
+    width = range(signature_longs(percent))
+    mixed = materialize(mixed.join(nodes.select("rep", *[F.col("sig")[i].alias(f"g{i}") for i in width]), "rep"), "mixed")
     # every pair of nodes of different components in a list; the largest component of a list meets only the others
-    x = mixed.where("comp <> major").select("tok", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "b2", "b3", "comp")])
-    y = mixed.select("tok", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "b2", "b3", "comp", "major")])
+    x = mixed.where("comp <> major").select("tok", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "b2", "b3", "comp", *[f"g{i}" for i in width])])
+    y = mixed.select("tok", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "b2", "b3", "comp", "major", *[f"g{i}" for i in width])])
     meets = (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("y_major")) | (F.col("x_rep") < F.col("y_rep")))
     meets &= (F.col("x_b2").bitwiseAND(F.col("y_b2")) != 0) & (F.col("x_b3").bitwiseAND(F.col("y_b3")) != 0) & _size_fits("x_n", "y_n", percent)
+    meets &= _bits_fit([F.col(f"x_g{i}") for i in width], [F.col(f"y_g{i}") for i in width], "x_n", "y_n", percent)
     rest = x.join(y, (x.tok == y.tok) & meets).select(F.least("x_rep", "y_rep").alias("x"), F.greatest("x_rep", "y_rep").alias("y")).distinct()
     rest = materialize(_filtered(rest.join(tried, ["x", "y"], "left_anti"), nodes, percent), "pairs")
     more = verified(rest, docs, k, percent)
@@ -190,10 +225,12 @@ def _bits(p: str):
 
 def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes fit and which share prefix tokens under the second and the third order as well."""
-    own = nodes.select("rep", "n", "p2", "p3")
-    x = own.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("p2").alias("x2"), F.col("p3").alias("x3"))
-    y = own.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("p2").alias("y2"), F.col("p3").alias("y3"))
-    return pairs.join(x, "x").join(y, "y").where(_size_fits("nx", "ny", percent) & F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3")).select("x", "y").distinct()
+    own = nodes.select("rep", "n", "p2", "p3", "sig")
+    x = own.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("p2").alias("x2"), F.col("p3").alias("x3"), F.col("sig").alias("xs"))
+    y = own.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("p2").alias("y2"), F.col("p3").alias("y3"), F.col("sig").alias("ys"))
+    width = range(signature_longs(percent))
+    near = _bits_fit([F.col("xs")[i] for i in width], [F.col("ys")[i] for i in width], "nx", "ny", percent)
+    return pairs.join(x, "x").join(y, "y").where(_size_fits("nx", "ny", percent) & near & F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3")).select("x", "y").distinct()
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
