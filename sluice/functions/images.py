@@ -1,7 +1,5 @@
 """Numeric functions over arrays of pixels and over training schedules, as column expressions."""
 
-from __future__ import annotations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,3 +117,44 @@ def pack_record(arrays: list[Column], numbers: list[Column]) -> Column:
 def unpack_record(raw: str, length: int, arrays: int = 3, numbers: int = 3) -> tuple[list[Column], list[Column]]:
     parts = [F.slice(raw, 1 + k * length, length) for k in range(arrays)]
     return parts, [F.element_at(raw, arrays * length + 1 + k) for k in range(numbers)]
+
+
+def geometric(p, op: str, height: int, width: int, amount: float, fill: int = 0) -> Column:
+    """``rotate`` (degrees), ``shear_x``, ``shear_y``, ``translate_x``, ``translate_y``, ``cutout`` (half side, about the
+    centre) and ``sharpness`` (blend factor) of flat images of one channel, by nearest neighbours; Arrow-batched."""
+    import pandas as pd
+
+    @F.pandas_udf("array<int>")
+    def run(s: pd.Series) -> pd.Series:
+        import math
+
+        import numpy as np
+
+        y, x = np.mgrid[:height, :width].astype(float)
+        cy, cx = (height - 1) / 2, (width - 1) / 2
+        a = math.radians(amount)
+        source = {
+            "rotate": lambda: (cy + (y - cy) * math.cos(a) + (x - cx) * math.sin(a), cx - (y - cy) * math.sin(a) + (x - cx) * math.cos(a)),
+            "shear_x": lambda: (y, x + amount * y), "shear_y": lambda: (y + amount * x, x),
+            "translate_x": lambda: (y, x + amount), "translate_y": lambda: (y + amount, x),
+        }.get(op, lambda: (y, x))()
+        sy, sx = (np.rint(v).astype(int) for v in source)
+        inside = (sy >= 0) & (sy < height) & (sx >= 0) & (sx < width)
+        if op == "cutout":
+            inside &= (abs(y - cy) > amount) | (abs(x - cx) > amount)
+
+        def one(v):
+            if v is None or len(v) < height * width:
+                return None
+            img = np.asarray(v[: height * width], float).reshape(height, width)
+            if op == "sharpness":
+                blur = img.copy()
+                k = np.array([[1, 1, 1], [1, 5, 1], [1, 1, 1]]) / 13
+                if height > 2 and width > 2:
+                    blur[1:-1, 1:-1] = sum(k[i, j] * img[i : height - 2 + i, j : width - 2 + j] for i in range(3) for j in range(3))
+                return np.clip(np.floor(blur + amount * (img - blur)), 0, 255).astype(int).ravel().tolist()
+            return np.where(inside, img[sy.clip(0, height - 1), sx.clip(0, width - 1)], fill).astype(int).ravel().tolist()
+
+        return s.map(one)
+
+    return run(_c(p))

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from . import text as X
 
 
 def ngram_matches(df: DataFrame, key: list[str], hypothesis: str, reference: str, orders: int = 4, grams=X.ngrams) -> DataFrame:
     """(key, n, matches, possible, ref_possible): clipped overlaps of the n-grams of two token arrays, per row and order.
 
-    Counts are built by grouping exploded n-grams of both sides together, so nothing is joined.
+    Counts are built by grouping exploded n-grams of both sides together, so nothing is joined. The arrays are written
+    first: the planner would else compute them again for every n-gram.
     """
+    df = materialize(df.select(*key, hypothesis, reference), "grams")
+
     def side(column: str, tag: int) -> DataFrame:
         tagged = lambda n: F.transform(grams(column, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
         own = [tagged(n) for n in range(1, orders + 1)]
@@ -81,14 +85,15 @@ def bleu_smoothed(stats: DataFrame, method: str = "exp", value: float = 0.1, eff
 
 
 def character_grams(text: str, n: int) -> Column:
-    """Hashes of the n-grams of the characters of a text, white space left out."""
-    c = F.regexp_replace(F.col(text), r"\s+", "")
+    """Hashes of the n-grams of the characters of a text."""
+    c = F.col(text)
     size = F.length(c)
     return F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def chrf(df: DataFrame, key: list[str], hypothesis: str, reference: str, beta: float = 2.0, orders: int = 6) -> DataFrame:
-    """Character n-gram F-score of a corpus: precision and recall per order, averaged over the orders that occur."""
+    """Character n-gram F-score of a corpus, white space left out: precision and recall per order, averaged over the orders that occur."""
+    df = df.select(*key, *[F.regexp_replace(c, r"\s+", "").alias(c) for c in (hypothesis, reference)])
     m = ngram_matches(df, key, hypothesis, reference, orders, character_grams).groupBy("n").agg(F.sum("matches").alias("m"), F.sum("possible").alias("h"), F.sum("ref_possible").alias("r"))
     mean = m.where("h > 0 and r > 0").agg(F.avg(F.col("m") / F.col("h")).alias("p"), F.avg(F.col("m") / F.col("r")).alias("q"))
     b2 = beta * beta

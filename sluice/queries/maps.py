@@ -406,6 +406,14 @@ def fn_pixel_ops(spark, sf):
     return pixels(spark, sf).select("vec_id", *[total(f("p")).alias(n) for n, (_, f) in _PIX.items()])
 
 
+@query("fn_geometric_ops")
+def fn_geometric_ops(spark, sf):
+    """The pixels as a 7 x 9 image, moved in seven ways."""
+    ops = {"rotate": 30.0, "shear_x": 0.3, "shear_y": 0.3, "translate_x": 2.0, "translate_y": 2.0, "cutout": 1.0, "sharpness": 1.4}
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
+    return pixels(spark, sf).select("vec_id", *[total(I.geometric("p", op, 7, 9, v)).alias(op) for op, v in ops.items()])
+
+
 @query("fn_randaugment", f"SELECT vec_id, CAST(floor({sql_hash01('vec_id', 1)} * 16) AS BIGINT) AS op, round(CASE WHEN {sql_hash01('vec_id', 2)} < 0.5 THEN 30 ELSE -30 END * 0.9, 4) AS rotate, CAST(floor(4 * 0.9) AS BIGINT) AS posterize, CAST(floor(256 * 0.9) AS BIGINT) AS solarize FROM embeddings")
 def fn_randaugment(spark, sf):
     """The operation and the sign by hashes; arguments from level 9 of 10."""

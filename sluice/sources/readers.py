@@ -36,19 +36,24 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Length-prefixed records: u64 length, 4 bytes of check sum, the record, 4 bytes of check sum. One file is read by one task."""
+def read_records(spark: SparkSession, path: str, verify: bool = False) -> DataFrame:
+    """Length-prefixed records: u64 length, 4 bytes of check sum, the record, 4 bytes of check sum. One file is read by one
+    task. With ``verify`` a wrong check sum is an error."""
     def split(it):
         import struct
 
         import pyarrow as pa
 
+        from .writers import masked_crc
+
         for b in it:
             for content in b.column("content"):
                 raw, at, out = content.as_buffer().to_pybytes(), 0, []
                 while at < len(raw):
                     (n,) = struct.unpack_from("<Q", raw, at)
                     out.append(raw[at + 12 : at + 12 + n])
+                    if verify and struct.unpack_from("<I", raw, at + 12 + n)[0] != masked_crc(out[-1]):
+                        raise ValueError(f"record at byte {at} is damaged")
                     at += n + 16
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 

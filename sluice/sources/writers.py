@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import functools
 import struct
-import zlib
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -44,10 +44,30 @@ def _write_raw(df: DataFrame, path: str, frame) -> None:
     df.select("record").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
 
 
+@functools.cache
+def _crc_table() -> tuple[int, ...]:
+    """Of the Castagnoli polynomial, bit-reversed."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ (0x82F63B78 if n & 1 else 0)
+        table.append(n)
+    return tuple(table)
+
+
+def masked_crc(data: bytes) -> int:
+    """CRC-32C, rotated by 15 bits and shifted by a constant, as record files store it."""
+    table, c = _crc_table(), 0xFFFFFFFF
+    for b in data:
+        c = table[(c ^ b) & 0xFF] ^ (c >> 8)
+    c ^= 0xFFFFFFFF
+    return (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
+
+
 def _framed(record: bytes) -> bytes:
-    """Length, check sum of the length, record, check sum of the record (CRC-32; readers of this library skip them)."""
+    """Length, check sum of the length, record, check sum of the record."""
     head = struct.pack("<Q", len(record))
-    return head + struct.pack("<I", zlib.crc32(head)) + record + struct.pack("<I", zlib.crc32(record))
+    return head + struct.pack("<I", masked_crc(head)) + record + struct.pack("<I", masked_crc(record))
 
 
 def write_records(df: DataFrame, path: str) -> None:
