@@ -127,11 +127,8 @@ def shuffle_buffer(df: DataFrame, order, buffer: int, seed: int = 0, name: str =
 
 def interleave(df: DataFrame, source: str, order, cycle: int, block: int, name: str = "pos") -> DataFrame:
     """Round-robin over ``cycle`` sources at a time, ``block`` rows each; the next ``cycle`` sources follow."""
-    keys = _columns(order)
-    sources = df.select(source).distinct()
-    sources = global_index(sources, source, "_s")
-    w = Window.partitionBy(source).orderBy(*keys)
-    out = df.withColumn("_r", F.row_number().over(w) - 1).join(sources, source)
+    sources = global_index(df.select(source).distinct(), source, "_s")
+    out = key_index(df, source, order, "_r").join(sources, source)
     return global_index(out.withColumns({"_g": F.floor(F.col("_s") / cycle), "_b": F.floor(F.col("_r") / block)}), ["_g", "_b", "_s", "_r"], name).drop("_s", "_r", "_g", "_b")
 
 
@@ -234,18 +231,25 @@ def choose_from(frames: list[DataFrame], order, name: str = "pos") -> DataFrame:
     return global_index(reduce(DataFrame.unionByName, parts), ["_rn", "origin"], name).drop("_rn")
 
 
-def group_by_window(df: DataFrame, key, size: int, order, drop_remainder: bool = False) -> DataFrame:
-    """Add ``window`` and ``at``: per key, each ``size`` consecutive rows form a window; the last may be short.
+def key_index(df: DataFrame, key, order, name: str = "rn") -> DataFrame:
+    """Add the 0-based position of each row among the rows of its key.
 
     A key may hold any share of the rows, so it is not numbered in one task: rows are sorted by key and order over all
     partitions, and a key's positions are those of the sorted table less the position of its first row.
     """
     keys = [key] if isinstance(key, str) else list(key)
     rows = global_index(df, [*keys, *_columns(order)], "_rn")
-    first = rows.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.min("_rn").alias("_first"), F.count("*").alias("_n"))
+    first = rows.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.min("_rn").alias("_first"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    return rows.join(first, same).withColumn(name, F.col("_rn") - F.col("_first")).drop("_rn", "_first", *[f"_key{i}" for i in range(len(keys))])
+
+
+def group_by_window(df: DataFrame, key, size: int, order, drop_remainder: bool = False) -> DataFrame:
+    """Add ``window`` and ``at``: per key, each ``size`` consecutive rows form a window; the last may be short."""
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = key_index(df, keys, order, "_i").withColumns({"window": F.floor(F.col("_i") / size), "at": F.col("_i") % size}).drop("_i")
+    if not drop_remainder:
+        return rows
+    counts = rows.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_n"))
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
-    rows = rows.join(first, same).drop(*[f"_key{i}" for i in range(len(keys))]).withColumn("_i", F.col("_rn") - F.col("_first"))
-    rows = rows.withColumns({"window": F.floor(F.col("_i") / size), "at": F.col("_i") % size})
-    if drop_remainder:
-        rows = rows.where((F.col("window") + 1) * size <= F.col("_n"))
-    return rows.drop("_rn", "_first", "_n", "_i")
+    return rows.join(counts, same).where((F.col("window") + 1) * size <= F.col("_n")).drop("_n", *[f"_key{i}" for i in range(len(keys))])

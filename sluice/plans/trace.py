@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import threading
 import time
@@ -131,6 +132,39 @@ def optimize_pipeline(cores: int = 8, memory: float = 4e9, precondition: Callabl
     return wrap
 
 
+def maybe_optimize_pipeline(cores: int = 8, memory: float = 4e9):
+    """``optimize_pipeline`` where the environment asks for it (SLUICE_OPTIMIZE=1); else the pipeline as it is."""
+    return optimize_pipeline(cores, memory, lambda *a, **k: os.environ.get("SLUICE_OPTIMIZE") == "1")
+
+
+def trace_pipeline(path: Callable[[SparkSession], str]):
+    """Decorate a loader that returns a PipelineSpec: write its trace to ``path(spark)`` and build it."""
+    def wrap(loader: Callable[..., PipelineSpec]):
+        @functools.wraps(loader)
+        def run(spark: SparkSession, sf_dir: str, *args, **kwargs) -> DataFrame:
+            spec = loader(*args, **kwargs)
+            trace(spec, spark, sf_dir).write.parquet(path(spark))
+            return spec.build(spark, sf_dir)
+
+        return run
+
+    return wrap
+
+
+def find_best_pipeline(grid: dict[str, list], time_limit_s: float = 5.0):
+    """Decorate a loader: of the pipelines for all combinations of arguments, return the fastest."""
+    def wrap(loader: Callable[..., PipelineSpec]):
+        @functools.wraps(loader)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            combos = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+            built = {repr(c): loader(**c).build(spark, sf_dir) for c in combos}
+            return built[best_pipeline(built, time_limit_s)[0]]
+
+        return run
+
+    return wrap
+
+
 def best_pipeline(candidates: dict[str, DataFrame], time_limit_s: float = 5.0) -> tuple[str, dict[str, float]]:
     """The candidate with the highest rate; all must have the same schema."""
     if len({d.schema.json() for d in candidates.values()}) > 1:

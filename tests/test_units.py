@@ -16,7 +16,7 @@ from sluice.operators import rows as R
 from sluice.plans import perfmodel
 from sluice.plans.machine import CPU_HOUR, GB_HOUR, SSD_HOUR_100MB, Machine
 from sluice.plans.spec import PipelineSpec, Stage, same_result
-from sluice.plans.trace import Monitor, benchmark, optimize_pipeline, trace
+from sluice.plans.trace import Monitor, benchmark, find_best_pipeline, optimize_pipeline, trace, trace_pipeline
 from sluice.sources import readers, writers
 from sluice.storage import new_path
 
@@ -189,6 +189,9 @@ def test_specs_and_traces(spark):
     assert stats.count() == 3 and stats.where("per_core_rate <= 0").count() == 0
     run = optimize_pipeline(cores=4)(lambda: spec)
     assert same_result(run(spark, SF), spec.build(spark, SF))
+    path = new_path(spark, "trace")
+    assert trace_pipeline(lambda s: path)(lambda: spec)(spark, SF).count() == spec.build(spark, SF).count() and spark.read.parquet(path).count() == 3
+    assert find_best_pipeline({"n": [1, 2]}, 1.0)(lambda n: spec.set_parallelism({"sum": n}))(spark, SF).count() > 0
     assert spec.insert_cache("keep").remove_caches().stages == spec.stages
     with pytest.raises(ValueError):
         PipelineSpec([spec.stages[0], spec.stages[0]])
