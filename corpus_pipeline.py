@@ -32,7 +32,7 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that have a language: a text that is null or without any letter is rejected."""
     model = fit_language_model(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    return identify(docs, model, ("_sluice_lang", "_sluice_score")).where("_sluice_lang <> 'und'").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import document_words, shingles, word_hashes
+from .base import bounded_batches, document_words, shingles, word_hashes
 
 #: BM25 parameters.
 K1, B = 1.2, 0.75
@@ -163,7 +163,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int
     a null id take part and keep it; repeated rows give repeated results; an empty table on either side gives no row;
     other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     parts = []
     for items in _item_groups(benchmark, k):
         parts.append(_against(docs, items, k, percent))

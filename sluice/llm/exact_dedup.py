@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bloom_of, materialize, shuffle_partitions
+from .base import bloom_of, bounded_batches, materialize, shuffle_partitions
 
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Limits of a memtable: bytes of distinct normalised text, and rows.
@@ -93,7 +93,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     # only the two columns are read, under names of our own: columns of the input never clash
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bits, max_bytes, max_rows = digest_bits, MEMTABLE_BYTES, MEMTABLE_ROWS
 
     def to_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

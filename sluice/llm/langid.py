@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .base import bounded_batches
+
 #: Most frequent words of a language that the fit uses, and most languages told apart (the fit runs on the driver).
 WORDS_PER_LANGUAGE, LANGUAGES = 20_000, 200
 #: Labelled documents of a language that the fit uses, about.
@@ -29,7 +31,9 @@ EM_ROUNDS = 3
 #: Longest piece, in characters; longer words are scored in stretches of WORD_CHARS.
 PIECE_CHARS, WORD_CHARS = 8, 24
 #: Distinct words whose scores are remembered by a task.
-MEMO = 400_000
+MEMO = 200_000
+#: Texts scored in one call.
+DOCS = 500
 #: Probability mass of a character that no piece covers.
 UNKNOWN = 1e-7
 
@@ -208,7 +212,7 @@ def fit_language_model(docs: DataFrame, model_path: str, words_per_language: int
         if any(total.values()):
             yield flush()
 
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held())
+    labelled = bounded_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held())
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return LanguageModel.fit({}, {})
@@ -222,20 +226,20 @@ def fit_language_model(docs: DataFrame, model_path: str, words_per_language: int
     return LanguageModel.fit(counts, pieces_of(model_path))
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score`` (columns of those names are replaced).
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs`` with the predicted language and its score (columns of those names are replaced).
 
-    ``lang_pred`` is ``und`` with score 0 where the text is null or has no letter. Only ``text`` is looked at, whole.
+    The language is ``und`` with score 0 where the text is null or has no letter. Only ``text`` is looked at, whole.
     """
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    docs = bounded_batches(docs).drop(*names)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
+            for i in range(0, b.num_rows, DOCS):
+                part = b.slice(i, DOCS)
                 found = model.predict(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*part.schema.names, *names])
 
     return docs.mapInArrow(predict, schema)
 

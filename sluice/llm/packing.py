@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialize
+from .base import bounded_batches, materialize
 from .tokens import crc32, tokenizer
 
 #: Open windows of a partition.
@@ -114,7 +114,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
 
     def online(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = tokenizer(tokenizer_path), TaskContext.get().partitionId()

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -185,7 +187,7 @@ def fit_weak_model(docs: DataFrame) -> WeakModel:
             yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in seen], pa.list_(pa.int32())), pa.array(seen.values(), pa.int64())], names=["pattern", "n"])
 
     m = len(LABELERS)
-    rows = docs.select("text").mapInArrow(count, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pattern").limit(PATTERNS).collect()
+    rows = bounded_batches(docs).select("text").mapInArrow(count, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pattern").limit(PATTERNS).collect()
     return WeakModel([(tuple(r.pattern[:m]), tuple(r.pattern[m:]), r.n) for r in rows])
 
 
@@ -226,7 +228,7 @@ def find_pii(docs: DataFrame, model: WeakModel, threshold: float = THRESHOLD) ->
             types = [pa.int64()] * 5 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in _OUT.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, _OUT)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, _OUT)
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import materialize, shared_dir, shuffle_partitions
+from .base import bounded_batches, materialize, shared_dir, shuffle_partitions
 from .tokens import crc32, tokenizer
 
 #: Ids in a shard, about; a longer document is a shard of its own.
@@ -175,7 +175,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     # ids above the 16-bit range of symbols, or an end id inside a text, would not survive the format
     if vocabulary >= SYMBOLS:
         raise ValueError("the vocabulary does not fit 16-bit symbols")
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = tokenizer(tokenizer_path), TaskContext.get().partitionId()

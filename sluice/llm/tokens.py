@@ -24,7 +24,7 @@ from tokenizers import Tokenizer  # noqa: E402
 from .base import CHUNK_BYTES, U64, mix, powers, row_groups, text_bytes  # noqa: E402
 
 #: Distinct chunks whose ids are remembered; beyond it the memo starts anew.
-MEMO = 2_500_000
+MEMO = 1_000_000
 #: New chunks sent through the library in one text.
 JOINED = 500
 _BASES = tuple((b, pow(b, -1, 2**64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
