@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, Bloom, bloom_of, int_list, materialize, mix, powers, row_groups, shuffle_partitions, text_bytes
+from .base import U64, Bloom, bloom_of, bounded_batches, discard, int_list, materialize, mix, powers, row_groups, shuffle_partitions, text_bytes
 
 LENGTH = 100
 K = 32
@@ -201,7 +201,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Fa
     columns are ignored. Strings meet by 128 bits of hashes of their segment. ``keep_bytes`` adds the remaining bytes.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     buckets = shuffle_partitions(spark)
     k = min(K, max(8, length // 2))
 
@@ -370,6 +370,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Fa
     across = single.join(first, ["h1", "h2"]).where(F.struct("doc", "txt", "start") != F.col("f"))
     spans = found.where("part < 0").select("doc", "txt", "start", "n").union(factor.where("kind = 0").select("doc", "txt", "start", "n")).union(across.select("doc", "txt", "start", "n"))
     spans = materialize(spans.groupBy("doc", "txt").agg(F.collect_list(F.struct("start", "n")).alias("s")), "spans")
+    discard(found, factor)
     touched = bloom_of(spans, "doc")
     out_ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
 
