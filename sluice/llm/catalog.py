@@ -9,6 +9,7 @@ import corpus_pipeline
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .langid import op6_language_id
+from .license_scan import op3_license_scan
 from .ngram_join import OP4_SQL, op4_ngram_join
 from .packing import op5_packing
 from .pii import op2_pii
@@ -19,6 +20,7 @@ from .substring_dedup import op8_substring_dedup
 QUERIES: dict[str, Callable] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
+    "op3_license_scan": op3_license_scan,
     "op4_ngram_join": op4_ngram_join,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
