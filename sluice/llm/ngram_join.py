@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, bloom_of, components, document_words, int_list, materialize, mix, shingles
+from .base import U64, bloom_of, bounded_batches, components, discard, document_words, int_list, materialize, mix, shingles, shuffle_partitions, small
 
 #: Words whose frequency is known to the token orders; all others count as rarer. The table (1 MB) goes to every task.
 #: It decides about the order only, never about the result.
@@ -32,13 +32,15 @@ FREQUENT_WORDS = 1 << 16
 _SEEDS = (U64(0x1D8E4E27C47D124F), U64(0xA5A3B1C9F0D4E6F7), U64(0x6C62272E07BB0142))
 
 _ROW_DDL = "doc_id long, n long, s1 long, s2 long, p1 array<long>, p2 array<int>, p3 array<int>, sig array<long>"
+#: Nodes of a batch with the same prefix token that make a list of their own.
+LOCAL_LIST = 64
 #: Words that are sorted at once when words are counted.
 COUNT_WORDS = 1 << 20
 
 
 def signature_longs(percent: int) -> int:
     """Sets may differ the more, the lower the similarity; 64 bits in each long."""
-    return 4 if percent >= 90 else 16
+    return 4 if percent >= 90 else 8
 
 
 def word_levels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +134,71 @@ def token_rows(docs: DataFrame, orders: Orders) -> DataFrame:
     return docs.mapInArrow(rows, _ROW_DDL)
 
 
+def posting_lists(nodes: DataFrame) -> DataFrame:
+    """(tok, rep, head): the nodes of each prefix token that several have, with the smallest of them.
+
+    Postings cross the shuffle as packed arrays, not as rows. A token that many nodes of a batch have is a list of its own
+    there, with a head of its own, of which only the head joins the others; so no list is gathered in one task, however
+    many nodes it has.
+    """
+    parts = shuffle_partitions(nodes.sparkSession)
+    buckets = 4 * parts
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p1 = b.column("p1")
+            rep = np.repeat(int_list(b, "rep"), p1.value_lengths().to_numpy())
+            tok = p1.flatten().to_numpy()
+            if not len(tok):
+                continue
+            order = np.lexsort((rep, tok))
+            tok, rep = tok[order], rep[order]
+            first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+            n = np.diff(np.append(first, len(tok)))
+            own = np.repeat(n >= LOCAL_LIST, n)
+            head = np.repeat(rep[first], n)
+            go = ~own | (np.arange(len(tok)) == np.repeat(first, n))
+            rows: list[tuple] = []
+            for kind, pick, place in ((0, go, tok), (1, own, rep)):
+                t, r, h = tok[pick], rep[pick], head[pick]
+                bucket = (mix(place[pick].view(U64)) % U64(buckets)).astype(np.int64)
+                by = np.argsort(bucket, kind="stable")
+                edge = np.searchsorted(bucket[by], np.arange(buckets + 1))
+                for q in np.flatnonzero(np.diff(edge)).tolist():
+                    x = by[edge[q] : edge[q + 1]]
+                    rows.append((q, kind, t[x].tobytes(), r[x].tobytes(), h[x].tobytes() if kind else b""))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "kind", "tok", "rep", "head"])
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["tok", "rep", "head"]
+
+        def close(held: list[tuple]) -> pa.RecordBatch:
+            tok, rep = (np.concatenate([np.frombuffer(x[c], np.int64) for x in held]) for c in (0, 1))
+            order = np.lexsort((rep, tok))
+            tok, rep = tok[order], rep[order]
+            first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+            n = np.diff(np.append(first, len(tok)))
+            several = np.repeat(n > 1, n)
+            return pa.RecordBatch.from_arrays([pa.array(c[several]) for c in (tok, rep, np.repeat(rep[first], n))], names=names)
+
+        now, held = None, []
+        for b in batches:
+            for q, kind, tok, rep, head in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "tok", "rep", "head"))):
+                if kind:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (tok, rep, head)], names=names)
+                    continue
+                if q != now and held:
+                    yield close(held)
+                    held = []
+                now = q
+                held.append((tok, rep))
+        if held:
+            yield close(held)
+
+    dealt = nodes.select("rep", "p1").mapInArrow(deal, "bucket int, kind int, tok binary, rep binary, head binary")
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "tok long, rep long, head long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The (x, y) of ``pairs`` whose texts are similar enough, compared exactly. Texts of documents outside the pairs
     stay in their tasks: a filter of the ids goes to the scan, the exact join follows."""
@@ -156,7 +223,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 keep.append(both > 0 and 100 * both >= percent * (len(a) + len(c) - both))
             yield b.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("x", "y").join(tx, "x").join(ty, "y").select("x", "y", "tx", "ty").mapInArrow(compare, "x long, y long").distinct()
+    out = materialize(pairs.select("x", "y").join(tx, "x").join(ty, "y").select("x", "y", "tx", "ty").mapInArrow(compare, "x long, y long").distinct(), "links")
+    discard(texts)
+    return out
 
 
 def _size_fits(a: str, b: str, percent: int):
@@ -179,29 +248,29 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     of the texts with an equal set, null if there are none. An empty table gives an empty result; other
     columns are ignored. Shingles are compared by 64-bit hashes.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     orders = Orders(k, percent, *word_levels(docs))
     rows = materialize(token_rows(docs, orders), "sets")
     key = ["n", "s1", "s2"]
     classes = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    nodes = rows.join(classes, key).where("doc_id = rep").select("rep", "n", "p1", "p2", "p3", "sig").dropDuplicates(["rep", "n"])
+    # the representatives: rows less those that a smaller id with an equal set stands for
+    others = materialize(rows.where("n > 0 and doc_id is not null").select("doc_id", *key).join(classes, key).where("doc_id <> rep").select("doc_id", "s1").distinct(), "others")
+    nodes = rows.where("n > 0 and doc_id is not null").join(small(others), ["doc_id", "s1"], "left_anti").select(F.col("doc_id").alias("rep"), "n", "p1", "p2", "p3", "sig")
     # one bit per prefix token of the second and third order: a cheap form of the intersection for the posting join
     nodes = materialize(nodes.withColumns({"b2": _bits("p2"), "b3": _bits("p3")}), "nodes")
-    postings = nodes.select("rep", "n", "b2", "b3", F.explode("p1").alias("tok"))
-    heads = postings.groupBy("tok").agg(F.min("rep").alias("head"), F.count("*").alias("c")).where("c > 1").select("tok", "head")
-    lists = materialize(postings.join(heads, "tok"), "lists")
+    lists = materialize(posting_lists(nodes), "lists")
 
     shared = lists.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("c"))
     first = shared.groupBy("rep").agg(F.max(F.struct("c", -F.col("head"))).alias("m")).select((-F.col("m.col2")).alias("x"), F.col("rep").alias("y"))
-    tried = materialize(_filtered(first, nodes, percent), "pairs")
-    linked = materialize(verified(tried, docs, k, percent), "links")
+    tried = _filtered(first, nodes, percent)
+    linked = verified(tried, docs, k, percent)
 
     forest = components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
     by_comp = lists.join(forest.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).drop("head")
     mixed = by_comp.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("tok", F.col("m.comp").alias("major"))
     mixed = by_comp.join(mixed, "tok")
     width = range(signature_longs(percent))
-    mixed = materialize(mixed.join(nodes.select("rep", *[F.col("sig")[i].alias(f"g{i}") for i in width]), "rep"), "mixed")
+    mixed = materialize(mixed.join(nodes.select("rep", "n", "b2", "b3", *[F.col("sig")[i].alias(f"g{i}") for i in width]), "rep"), "mixed")
     # every pair of nodes of different components in a list; the largest component of a list meets only the others
     x = mixed.where("comp <> major").select("tok", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "b2", "b3", "comp", *[f"g{i}" for i in width])])
     y = mixed.select("tok", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "b2", "b3", "comp", "major", *[f"g{i}" for i in width])])
@@ -209,7 +278,8 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     meets &= (F.col("x_b2").bitwiseAND(F.col("y_b2")) != 0) & (F.col("x_b3").bitwiseAND(F.col("y_b3")) != 0) & _size_fits("x_n", "y_n", percent)
     meets &= _bits_fit([F.col(f"x_g{i}") for i in width], [F.col(f"y_g{i}") for i in width], "x_n", "y_n", percent)
     rest = x.join(y, (x.tok == y.tok) & meets).select(F.least("x_rep", "y_rep").alias("x"), F.greatest("x_rep", "y_rep").alias("y")).distinct()
-    rest = materialize(_filtered(rest.join(tried, ["x", "y"], "left_anti"), nodes, percent), "pairs")
+    rest = _filtered(rest.join(tried, ["x", "y"], "left_anti"), nodes, percent)
+    discard(mixed, lists, nodes)
     more = verified(rest, docs, k, percent)
 
     all_links = linked.union(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -225,12 +295,17 @@ def _bits(p: str):
 
 def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes fit and which share prefix tokens under the second and the third order as well."""
-    own = nodes.select("rep", "n", "p2", "p3", "sig")
+    pairs = materialize(pairs.distinct(), "pairs")
+    ids = small(pairs.select(F.explode(F.array("x", "y")).alias("rep")).distinct())
+    own = materialize(nodes.select("rep", "n", "p2", "p3", "sig").join(ids, "rep", "left_semi"), "own")
     x = own.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("p2").alias("x2"), F.col("p3").alias("x3"), F.col("sig").alias("xs"))
     y = own.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("p2").alias("y2"), F.col("p3").alias("y3"), F.col("sig").alias("ys"))
     width = range(signature_longs(percent))
     near = _bits_fit([F.col("xs")[i] for i in width], [F.col("ys")[i] for i in width], "nx", "ny", percent)
-    return pairs.join(x, "x").join(y, "y").where(_size_fits("nx", "ny", percent) & near & F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3")).select("x", "y").distinct()
+    kept = pairs.join(x, "x").join(y, "y").where(_size_fits("nx", "ny", percent) & near & F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3")).select("x", "y").distinct()
+    kept = materialize(kept, "pairs")
+    discard(pairs, own)
+    return kept
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -59,6 +59,12 @@ def test_against_brute_force(frame, k, percent, seed, prose):
     assert got == brute(texts, k, percent)
 
 
+def test_local_lists_lose_nothing(frame, monkeypatch):
+    monkeypatch.setattr(m, "LOCAL_LIST", 2)
+    texts = corpus(8, 30)
+    assert {r.doc_id: r.component_id for r in m.ngram_join(frame(texts, 6), 3, 80).collect()} == {k: v[1] for k, v in brute(texts, 3, 80).items()}
+
+
 def test_prefixes_of_similar_sets_always_meet():
     import numpy as np
 
