@@ -38,9 +38,8 @@ LOCAL_LIST = 64
 COUNT_WORDS = 1 << 20
 
 
-def signature_longs(percent: int) -> int:
-    """Sets may differ the more, the lower the similarity; 64 bits in each long."""
-    return 4 if percent >= 90 else 8
+#: Longs of 64 bits in a signature, which has a bit for each hash bucket; folded to POSTING_LONGS beside a posting.
+SIGNATURE_LONGS, POSTING_LONGS = 32, 4
 
 
 def word_levels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +105,7 @@ def token_rows(docs: DataFrame, orders: Orders) -> DataFrame:
     """One row per document: number of distinct shingles, 128-bit digest of the set, prefixes (hashes)."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = 64 * signature_longs(orders.percent)
+        bits = 64 * SIGNATURE_LONGS
         for b in batches:
             n, s1, s2, sig = [], [], [], []
             prefix: tuple[list, list, list] = ([], [], [])
@@ -232,12 +231,33 @@ def _size_fits(a: str, b: str, percent: int):
     return 100 * F.least(F.col(a), F.col(b)) >= percent * F.greatest(F.col(a), F.col(b))
 
 
+def _folded(sig: str, i: int) -> Column:
+    """Long i of the signature with fewer buckets: parities of merged buckets are the sums of theirs."""
+    return reduce(Column.bitwiseXOR, [F.col(sig)[j] for j in range(i, SIGNATURE_LONGS, POSTING_LONGS)])
+
+
 def _bits_fit(a: list[Column], b: list[Column], na: str, nb: str, percent: int) -> Column:
     """Whether the sets can differ in few enough tokens: J >= p % is |x ^ y| <= (|x| + |y|) (100 - p) / (100 + p)."""
     differ = reduce(Column.__add__, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)])
     return (100 + percent) * differ <= (100 - percent) * (F.col(na) + F.col(nb))
 
 
+def _across(rows: DataFrame, key: str, longs: int, percent: int, also: Column | None = None) -> DataFrame:
+    """(x, y) of the rows with the same key whose components differ and whose sizes, prefixes and signatures (g0, g1, ..)
+    allow a link. The largest component of a key meets only the others; rows of one component never meet."""
+    major = rows.groupBy(key, "comp").agg(F.count("*").alias("c")).groupBy(key).agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select(key, F.col("m.comp").alias("major"))
+    mixed = materialize(rows.join(major, key), "mixed")
+    names = [c for c in mixed.columns if c != key]
+    x = mixed.where("comp <> major").select(F.col(key).alias("x_key"), *[F.col(c).alias(f"x_{c}") for c in names])
+    y = mixed.select(F.col(key).alias("y_key"), *[F.col(c).alias(f"y_{c}") for c in names])
+    meets = (F.col("x_key") == F.col("y_key")) & (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("y_major")) | (F.col("x_rep") < F.col("y_rep")))
+    meets &= (F.col("x_b2").bitwiseAND(F.col("y_b2")) != 0) & (F.col("x_b3").bitwiseAND(F.col("y_b3")) != 0) & _size_fits("x_n", "y_n", percent)
+    meets &= _bits_fit([F.col(f"x_g{i}") for i in range(longs)], [F.col(f"y_g{i}") for i in range(longs)], "x_n", "y_n", percent)
+    if also is not None:
+        meets &= also
+    return x.join(y, meets).select(F.least("x_rep", "y_rep").alias("x"), F.greatest("x_rep", "y_rep").alias("y"))
+
+
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``.
 
@@ -262,25 +282,25 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     shared = lists.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("c"))
     first = shared.groupBy("rep").agg(F.max(F.struct("c", -F.col("head"))).alias("m")).select((-F.col("m.col2")).alias("x"), F.col("rep").alias("y"))
+    first = materialize(first, "first")
     tried = _filtered(first, nodes, percent)
     linked = verified(tried, docs, k, percent)
 
+    # what is linked by now is one component; every pair of nodes of different components remains, in two ways:
     forest = components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    by_comp = lists.join(forest.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).drop("head")
-    mixed = by_comp.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("tok", F.col("m.comp").alias("major"))
-    mixed = by_comp.join(mixed, "tok")
-    width = range(signature_longs(percent))
-    mixed = materialize(mixed.join(nodes.select("rep", "n", "b2", "b3", *[F.col("sig")[i].alias(f"g{i}") for i in width]), "rep"), "mixed")
-    # every pair of nodes of different components in a list; the largest component of a list meets only the others
-    x = mixed.where("comp <> major").select("tok", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "b2", "b3", "comp", *[f"g{i}" for i in width])])
-    y = mixed.select("tok", *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "b2", "b3", "comp", "major", *[f"g{i}" for i in width])])
-    meets = (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("y_major")) | (F.col("x_rep") < F.col("y_rep")))
-    meets &= (F.col("x_b2").bitwiseAND(F.col("y_b2")) != 0) & (F.col("x_b3").bitwiseAND(F.col("y_b3")) != 0) & _size_fits("x_n", "y_n", percent)
-    meets &= _bits_fit([F.col(f"x_g{i}") for i in width], [F.col(f"y_g{i}") for i in width], "x_n", "y_n", percent)
-    rest = x.join(y, (x.tok == y.tok) & meets).select(F.least("x_rep", "y_rep").alias("x"), F.greatest("x_rep", "y_rep").alias("y")).distinct()
-    rest = _filtered(rest.join(tried, ["x", "y"], "left_anti"), nodes, percent)
-    discard(mixed, lists, nodes)
-    more = verified(rest, docs, k, percent)
+    width = range(SIGNATURE_LONGS)
+    state = nodes.select("rep", "n", "b2", "b3", F.col("sig").alias("s"), *[_folded("sig", i).alias(f"g{i}") for i in range(POSTING_LONGS)])
+    state = state.join(first.select(F.col("y").alias("rep"), F.col("x").alias("own_head")), "rep", "left").join(forest.withColumnRenamed("node", "rep"), "rep", "left")
+    state = materialize(state.withColumns({"group": F.coalesce("own_head", "rep"), "comp": F.coalesce("comp", "rep")}).drop("own_head"), "state")
+    # within the group of a head, by nodes: one row per node, compared by its whole signature
+    rest = _across(state.select("group", "rep", "n", "b2", "b3", "comp", *[F.col("s")[i].alias(f"g{i}") for i in width]), "group", len(width), percent)
+    # across groups, by the posting lists
+    listed = lists.select("tok", "rep").join(state.drop("s"), "rep")
+    more_rest = _across(listed, "tok", POSTING_LONGS, percent, F.col("x_group") != F.col("y_group"))
+    rest = materialize(rest.union(more_rest).distinct(), "rest")
+    kept = _filtered(rest.join(tried, ["x", "y"], "left_anti"), nodes, percent)
+    discard(rest, lists, state, nodes, first)
+    more = verified(kept, docs, k, percent)
 
     all_links = linked.union(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
     comps = components(all_links)
@@ -300,7 +320,7 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     own = materialize(nodes.select("rep", "n", "p2", "p3", "sig").join(ids, "rep", "left_semi"), "own")
     x = own.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("p2").alias("x2"), F.col("p3").alias("x3"), F.col("sig").alias("xs"))
     y = own.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("p2").alias("y2"), F.col("p3").alias("y3"), F.col("sig").alias("ys"))
-    width = range(signature_longs(percent))
+    width = range(SIGNATURE_LONGS)
     near = _bits_fit([F.col("xs")[i] for i in width], [F.col("ys")[i] for i in width], "nx", "ny", percent)
     kept = pairs.join(x, "x").join(y, "y").where(_size_fits("nx", "ny", percent) & near & F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3")).select("x", "y").distinct()
     kept = materialize(kept, "pairs")
