@@ -39,7 +39,9 @@ COUNT_WORDS = 1 << 20
 
 
 #: Longs of 64 bits in a signature, which has a bit for each hash bucket; folded to POSTING_LONGS beside a posting.
-SIGNATURE_LONGS, POSTING_LONGS = 32, 4
+SIGNATURE_LONGS, POSTING_LONGS = 32, 8
+#: Prefix tokens that a node shares with the head of a list at least to belong to its group.
+GROUP_TOKENS = 3
 
 
 def word_levels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -281,18 +283,19 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     lists = materialize(posting_lists(nodes), "lists")
 
     shared = lists.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("c"))
-    first = shared.groupBy("rep").agg(F.max(F.struct("c", -F.col("head"))).alias("m")).select((-F.col("m.col2")).alias("x"), F.col("rep").alias("y"))
+    first = shared.groupBy("rep").agg(F.max(F.struct("c", -F.col("head"))).alias("m")).select((-F.col("m.col2")).alias("x"), F.col("rep").alias("y"), F.col("m.c").alias("c"))
     first = materialize(first, "first")
-    tried = _filtered(first, nodes, percent)
+    tried = _filtered(first.select("x", "y"), nodes, percent)
     linked = verified(tried, docs, k, percent)
 
     # what is linked by now is one component; every pair of nodes of different components remains, in two ways:
     forest = components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
     width = range(SIGNATURE_LONGS)
     state = nodes.select("rep", "n", "b2", "b3", F.col("sig").alias("s"), *[_folded("sig", i).alias(f"g{i}") for i in range(POSTING_LONGS)])
-    state = state.join(first.select(F.col("y").alias("rep"), F.col("x").alias("own_head")), "rep", "left").join(forest.withColumnRenamed("node", "rep"), "rep", "left")
-    state = materialize(state.withColumns({"group": F.coalesce("own_head", "rep"), "comp": F.coalesce("comp", "rep")}).drop("own_head"), "state")
-    # within the group of a head, by nodes: one row per node, compared by its whole signature
+    groups = components(first.where(F.col("c") >= GROUP_TOKENS).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    state = state.join(groups.select(F.col("node").alias("rep"), F.col("comp").alias("group")), "rep", "left").join(forest.withColumnRenamed("node", "rep"), "rep", "left")
+    state = materialize(state.withColumns({"group": F.coalesce("group", "rep"), "comp": F.coalesce("comp", "rep")}), "state")
+    # within a group of nodes that follow each other's heads, by nodes: one row each, compared by its whole signature
     rest = _across(state.select("group", "rep", "n", "b2", "b3", "comp", *[F.col("s")[i].alias(f"g{i}") for i in width]), "group", len(width), percent)
     # across groups, by the posting lists
     listed = lists.select("tok", "rep").join(state.drop("s"), "rep")
