@@ -274,12 +274,14 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     orders = Orders(k, percent, *word_levels(docs))
     rows = materialize(token_rows(docs, orders), "sets")
     key = ["n", "s1", "s2"]
-    classes = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    keys = materialize(rows.select("doc_id", *key), "keys")
+    classes = keys.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     # the representatives: rows less those that a smaller id with an equal set stands for
-    others = materialize(rows.where("n > 0 and doc_id is not null").select("doc_id", *key).join(classes, key).where("doc_id <> rep").select("doc_id", "s1").distinct(), "others")
+    others = materialize(keys.where("n > 0 and doc_id is not null").join(classes, key).where("doc_id <> rep").select("doc_id", "s1").distinct(), "others")
     nodes = rows.where("n > 0 and doc_id is not null").join(small(others), ["doc_id", "s1"], "left_anti").select(F.col("doc_id").alias("rep"), "n", "p1", "p2", "p3", "sig")
     # one bit per prefix token of the second and third order: a cheap form of the intersection for the posting join
     nodes = materialize(nodes.withColumns({"b2": _bits("p2"), "b3": _bits("p3")}), "nodes")
+    discard(rows)
     lists = materialize(posting_lists(nodes), "lists")
 
     shared = lists.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("c"))
@@ -308,7 +310,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     all_links = linked.union(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
     comps = components(all_links)
     named = classes.join(comps, classes.rep == comps.node, "left").select(*key, F.coalesce("comp", "rep").alias("component"))
-    return rows.select("doc_id", *key).join(named, key, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return keys.join(named, key, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _bits(p: str):
