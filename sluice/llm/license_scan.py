@@ -2,8 +2,8 @@
 
 A text and a template are aligned on the words that are unique to both: of these anchors the longest increasing
 subsequence is kept, and the gaps between neighbouring anchors are aligned in the same way, where other words are unique.
-A gap without anchors is matched from both ends, and what is left of it by a longest common subsequence, as both sides
-are short there. The coverage is the share of the template's words that are aligned.
+A gap without anchors is matched from both ends, and what is left of it, whatever its size, by an exact longest common
+subsequence. The coverage is the share of the template's words that are aligned.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from .base import bounded_batches, document_words, text_bytes, word_hashes
 
 #: Share of the template's words, in percent, that must be aligned.
 PERCENT = 80
-#: Cells of the table for a gap without anchors; a larger one keeps only what both ends match.
-GAP_CELLS = 10_000
 
 # License notices and the wording of well-known licenses.
 TEMPLATES = (
@@ -62,7 +60,7 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
             out += anchors
             ends = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
             work += [(x + 1, y, u + 1, v) for (x, u), (y, v) in zip(ends, ends[1:])]
-        elif (a1 - a0) * (b1 - b0) <= GAP_CELLS:
+        else:
             out += [(a0 + i, b0 + j) for i, j in common(a[a0:a1], b[b0:b1])]
     return sorted(out)
 
@@ -85,17 +83,31 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common(a: list, b: list) -> list[tuple[int, int]]:
-    """A longest common subsequence of two short sequences."""
-    n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            n[i][j] = n[i + 1][j + 1] + 1 if a[i] == b[j] else max(n[i + 1][j], n[i][j + 1])
+    """A longest common subsequence, bit-parallel: one integer of len(b) bits for each position of ``a``.
+
+    Counted from the end, bit q of row i is 0 where one more word of ``b`` makes the subsequence of the rest longer, so
+    its zeros below bit len(b) - j are the length for a[i:], b[j:].
+    """
+    n, full = len(b), (1 << len(b)) - 1
+    places: dict = {}
+    for q, w in enumerate(reversed(b)):
+        places[w] = places.get(w, 0) | 1 << q
+    rows = [full]
+    for w in reversed(a):
+        v = rows[-1]
+        u = v & places.get(w, 0)
+        rows.append(((v + u) | (v - u)) & full)
+    rows.reverse()
+
+    def length(i: int, j: int) -> int:
+        return n - j - (rows[i] & ((1 << (n - j)) - 1)).bit_count()
+
     out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
+    while i < len(a) and j < n:
         if a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif n[i + 1][j] >= n[i][j + 1]:
+        elif length(i + 1, j) >= length(i, j + 1):
             i += 1
         else:
             j += 1

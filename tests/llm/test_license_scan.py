@@ -81,3 +81,19 @@ def test_clean_texts_and_odd_rows(odd_frame, frame, prose):
     rows = [(r.doc_id, r.license, r.start, r.stop) for r in m.scan_licenses(df).collect()]
     assert sorted(rows) == [(0, "MIT-notice", 0, 5)] + [(1, "MIT-notice", 1, 6)] * 3
     assert m.scan_licenses(df.limit(0)).count() == 0 and m.scan_licenses(df, []).count() == 0
+
+
+def test_gaps_of_any_size(frame):
+    """No word is unique in doubled lines, so there is no anchor, and a window has more than 10,000 cells."""
+    w = dict(m.TEMPLATES)["MIT"].split()
+    lines = [" ".join(w[i : i + 9]) for i in range(0, len(w), 9)]
+    texts = ["\n".join(f"- {x}\n+   {x}" for x in lines), "A short title\n" + "\n".join(f"{x}\n{x}" for x in lines)]
+    got = {x.doc_id: (x.aligned, x.words) for x in m.scan_licenses(frame(texts)).collect() if x.license == "MIT"}
+    assert got[0][0] >= 86 and got[1][0] >= 86 and got[0][1] == 87
+    r = random.Random(5)
+    for size in (3, 40, 150):
+        for _ in range(10):
+            a, b = ([r.choice("abcd") for _ in range(r.randint(0, 2 * size))] for _ in range(2))
+            pairs = m.common(a, b)
+            assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+            assert len(pairs) == lcs(a, b)
