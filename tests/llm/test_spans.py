@@ -118,6 +118,38 @@ def test_network_on_unseen_secrets(frame):
     assert found >= 80 and sum(bool(rows[i]) for i in range(0, 200, 2)) <= 2
 
 
+def test_all_windows_of_a_token():
+    net = secrets.CharCnn(3)
+    r = random.Random(3)
+    text = "".join(r.choice("abcXYZ0189/_-+=") for _ in range(900))
+    spans = [(0, 8), (5, 37), (100, 200), (300, 333), (840, 900), (16, 900)]
+    strips = [secrets.strip(text, a, b) for a, b in spans]
+    want = []
+    for t in strips:
+        x = np.array([secrets.encode(t[i : i + secrets.WIDTH]) for i in range(len(t) - secrets.WIDTH + 1)])
+        h = np.maximum(net._columns(x) @ net.p["k"] + net.p["b"], 0)
+        z = np.concatenate([h.max(1), h.mean(1)], axis=1) @ net.p["w"] + net.p["c"][0]
+        want.append((z.max(), x[z.argmax()].tolist()))
+    for places in (secrets.PLACES, 7):
+        secrets.PLACES, old = places, secrets.PLACES
+        try:
+            top, shown = net.best(strips)
+        finally:
+            secrets.PLACES = old
+        assert np.allclose(top, [z for z, _ in want], atol=1e-4) and shown.tolist() == [x for _, x in want]
+
+
+def test_secret_at_the_end_of_a_long_token(frame):
+    r = random.Random(11)
+    hexs = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    words = lambda: "/".join(r.choice("hooks services team production deploy release station".split()) for _ in range(8))
+    net = secrets.fit_network(frame([f"some words here token = {hexs(40)} and more" if i % 3 == 0 else f"a path {words()} and {words()} here" for i in range(900)]))
+    mixed = lambda: hexs(20).upper() + "-" + hexs(18)
+    test = frame([f"plain {words()}/{mixed()} here" if i % 2 else f"plain {words()} here {words()}" for i in range(200)])
+    rows = {x.doc_id: x.spans for x in secrets.find_secrets(test, net).collect()}
+    assert sum("token:" in rows[i] for i in range(1, 200, 2)) >= 80 and sum(bool(rows[i]) for i in range(0, 200, 2)) <= 5
+
+
 def test_rows(odd_frame):
     texts = ["mail é a@b.co", "same text", None, "", "token = abcdefgh"]
     df = odd_frame(texts)
