@@ -150,6 +150,15 @@ def test_secret_at_the_end_of_a_long_token(frame):
     assert sum("token:" in rows[i] for i in range(1, 200, 2)) >= 80 and sum(bool(rows[i]) for i in range(0, 200, 2)) <= 5
 
 
+def test_threshold_keeps_the_recall_where_classes_overlap():
+    r = random.Random(12)
+    strips = [secrets.strip("".join(r.choice("abc123") for _ in range(60)), 10, r.randint(20, 60)) for _ in range(400)]
+    y = np.array([i % 2 for i in range(400)], float)
+    net = secrets.CharCnn(4)
+    net.calibrate(strips, y)
+    assert (net.probability(strips)[y == 1] >= net.threshold).mean() >= secrets.RECALL
+
+
 def test_rows(odd_frame):
     texts = ["mail é a@b.co", "same text", None, "", "token = abcdefgh"]
     df = odd_frame(texts)
