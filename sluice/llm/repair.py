@@ -28,53 +28,67 @@ from .tokens import crc32, tokenizer
 
 #: Ids in a shard, about; a longer document is a shard of its own.
 SHARD_IDS = 2_000_000
-ROUNDS = 4
-#: Pairs replaced in one round, and occurrences that make a pair frequent.
+#: Pairs replaced in one round at most, and occurrences that make a pair frequent.
 ROUND_RULES, FREQUENT = 4_000, 8
 SYMBOLS = 1 << 16
+#: Bits of the hash that leaves out rare pairs before the exact count.
 _BUCKETS = 18
 
 
 def compress(ids: np.ndarray, vocabulary: int, barrier: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rule k is nonterminal ``vocabulary + k``. No rule contains ``barrier``, which ends documents."""
+    """(symbols, rules): rule k is nonterminal ``vocabulary + k``. No rule contains ``barrier``, which ends documents.
+
+    Rounds go on until no pair is frequent or the symbols run out. In a run of one id, pairs are taken left to right.
+    """
     s = ids.astype(np.uint32)
     rules: list[tuple[int, int]] = []
-    for _ in range(ROUNDS):
-        room = min(ROUND_RULES, SYMBOLS - vocabulary - len(rules))
-        if len(s) < 2 * FREQUENT or room <= 0:
-            break
-        # one candidate pair per bucket of pairs, with its exact number of occurrences
+    while (room := min(ROUND_RULES, SYMBOLS - vocabulary - len(rules))) > 0:
         key = (s[:-1] << np.uint32(16)) | s[1:]
-        bucket = ((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BUCKETS)).astype(np.int64)
-        bucket[(s[:-1] == barrier) | (s[1:] == barrier)] = 1 << _BUCKETS
-        pair = np.zeros((1 << _BUCKETS) + 1, np.uint32)
-        pair[bucket] = key
-        same = pair[bucket] == key
-        count = np.bincount(bucket[same], minlength=len(pair))[:-1]
-        top = np.argpartition(count, -2 * room)[-2 * room :]
-        top = top[np.lexsort((top, -count[top]))]
+        # pairs that can be replaced: without a barrier, and only every other one of a run
+        fits = (s[:-1] != barrier) & (s[1:] != barrier)
+        twin = np.flatnonzero(s[:-1] == s[1:])
+        if len(twin):
+            begins = np.diff(twin, prepend=-2) != 1
+            fits[twin[(twin - twin[np.maximum.accumulate(np.where(begins, np.arange(len(twin)), 0))]) % 2 == 1]] = False
+        # a frequent pair lies in a bucket with as many pairs at least; those are counted exactly
+        at = np.flatnonzero(fits)
+        key = key[at]
+        bucket = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BUCKETS)
+        many = np.bincount(bucket, minlength=1 << _BUCKETS)[bucket] >= FREQUENT
+        at, key = at[many], key[many]
+        order = np.sort(key)
+        first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else np.zeros(0, np.int64)
+        count = np.diff(first, append=len(order))
+        first, count = first[count >= FREQUENT], count[count >= FREQUENT]
+        pairs = order[first]
         lefts: set[int] = set()
         rights: set[int] = set()
-        symbol = np.zeros(len(pair), np.uint32)
-        new: list[tuple[int, int]] = []
-        for q, x, n in zip(top.tolist(), pair[top].tolist(), count[top].tolist()):
-            if n < FREQUENT or len(new) == room:
-                break
+        new: list[int] = []
+        for x in pairs[np.argsort(-count, kind="stable")].tolist():
             a, b = x >> 16, x & 0xFFFF
-            if a != b and a not in rights and b not in lefts:  # then no two occurrences overlap
+            if a not in rights and b not in lefts:  # then no two occurrences overlap
                 lefts.add(a)
                 rights.add(b)
-                symbol[q] = vocabulary + len(rules) + len(new)
-                new.append((a, b))
+                new.append(x)
+                if len(new) == room:
+                    break
         if not new:
             break
-        put = symbol[bucket]
-        at = np.flatnonzero(same & (put > 0))
-        s[at] = put[at]
+        picked = np.array(new, np.uint32)
+        up = np.argsort(picked)
+        picked = picked[up]
+        is_left, is_right = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
+        is_left[picked >> 16] = is_right[picked & 0xFFFF] = True
+        near = is_left[key >> 16] & is_right[key & 0xFFFF]
+        at, key = at[near], key[near]
+        q = np.minimum(np.searchsorted(picked, key), len(picked) - 1)
+        hit = picked[q] == key
+        at = at[hit]
+        s[at] = (vocabulary + len(rules) + up[q[hit]]).astype(np.uint32)
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
-        rules += new
+        rules += [(x >> 16, x & 0xFFFF) for x in new]
     return s.astype(np.uint16), np.array(rules, np.uint16).reshape(-1, 2)
 
 

@@ -85,6 +85,32 @@ def test_grammar_random_access():
     assert shard.null_ids.tolist() == [0, 1, 0, 0, 0]
 
 
+def frequent_pairs(symbols, barrier):
+    """Occurrences that do not overlap, left to right, of each pair without a barrier."""
+    n, last = defaultdict(int), {}
+    for i, x in enumerate(zip(symbols, symbols[1:])):
+        if barrier not in x and not (x[0] == x[1] and last.get(x) == i - 1):
+            n[x] += 1
+            last[x] = i
+    return {x for x, k in n.items() if k >= repair.FREQUENT}
+
+
+def test_grammar_leaves_no_frequent_pair():
+    r = np.random.default_rng(4)
+    passage = r.integers(2, 3000, 700)
+    parts = [x for _ in range(60) for x in (passage, np.full(r.integers(1, 90), 5), r.zipf(1.3, 400) % 2000 + 2, [1])]
+    ids = np.concatenate(parts).astype(np.uint32)
+    for own in (ids, np.append(np.full(1000, 7), 1).astype(np.uint32), ids[:0], ids[:1], ids[:40]):
+        symbols, rules = repair.compress(own, 3000, 1)
+        assert len(rules) < repair.SYMBOLS - 3000 and not frequent_pairs(symbols.tolist(), 1)
+        whole = {}
+        for k, (a, b) in enumerate(rules.tolist()):
+            whole[3000 + k] = whole.get(a, [a]) + whole.get(b, [b])
+        assert [x for y in symbols.tolist() for x in whole.get(y, [y])] == own.tolist()
+    symbols, rules = repair.compress(ids, 3000, 1)
+    assert repair.lengths_of(rules, 3000).max() > 500
+
+
 def test_grammar_odd_rows(odd_frame, tmp_path):
     df = odd_frame(["a b", "same text", None, ""])
     folder = f"file://{tmp_path}/x"
