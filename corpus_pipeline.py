@@ -30,9 +30,10 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that have a language: a text that is null or without any letter is rejected."""
+    """Keep the documents that can be text of a language: null, without any letter, or implausible by its likelihood
+    per letter in the predicted language is rejected. Where no language could be learned, letters are enough."""
     model = fit_language_model(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return identify(docs, model, ("_sluice_lang", "_sluice_score")).where("_sluice_lang <> 'und'").select(*docs.columns)
+    return identify(docs, model, ("_sluice_lang", "_sluice_score", "_sluice_keep")).where("_sluice_keep").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,10 @@ DOCS = 500
 #: Probability mass of a character that no piece covers.
 UNKNOWN = 1e-7
 
+#: A text is implausible if its letters are, on average, worse than UNUSUAL times the mean log-likelihood per letter of
+#: the words that its language was learned from, by EVIDENCE nats in all: short texts cannot be.
+UNUSUAL, EVIDENCE = 4.0, 100.0
+
 _SPLIT = re.compile(r"[^\W\d_]+")
 
 
@@ -130,17 +134,19 @@ class Forward:
 class LanguageModel:
     """Piece probabilities per language and the prior of the languages; small enough for every task (pieces x languages doubles)."""
 
-    def __init__(self, languages: list[str], vocabulary: dict[str, int], p: np.ndarray):
+    def __init__(self, languages: list[str], vocabulary: dict[str, int], p: np.ndarray, usual: np.ndarray | None = None):
         self.languages, self.vocabulary, self.p = languages, vocabulary, p
+        #: Mean log-likelihood per letter of each language's own words.
+        self.usual = np.full(len(languages), -np.inf) if usual is None else usual
         self._forward: Forward | None = None
         self._memo: dict[str, int] = {}
         self._rows = np.zeros((0, len(languages)))
 
     def __getstate__(self):
-        return (self.languages, self.vocabulary, self.p.astype(np.float32))
+        return (self.languages, self.vocabulary, self.p.astype(np.float32), self.usual)
 
     def __setstate__(self, state):
-        self.__init__(state[0], state[1], state[2].astype(np.float64))
+        self.__init__(state[0], state[1], state[2].astype(np.float64), state[3])
 
     @classmethod
     def fit(cls, counts: dict[str, dict[str, int]], vocabulary: dict[str, int], rounds: int = EM_ROUNDS) -> LanguageModel:
@@ -157,10 +163,18 @@ class LanguageModel:
             uses = Forward(vocabulary, p).expectation(words, table)[:-1]
             uses += 0.01  # smoothing: every piece stays possible in every language
             p = uses / uses.sum(0)
-        return cls(languages, vocabulary, p)
+        if not words:
+            return cls(languages, vocabulary, p)
+        score, letters = Forward(vocabulary, p).log_scores(words), np.array([len(w) for w in words])
+        return cls(languages, vocabulary, p, (table * score).sum(0) / np.maximum(1, letters @ table))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language or ``und``, its posterior). Without letters, or without any language learned: ``und`` and 0."""
+        return [x[:2] for x in self.judge(texts)]
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """As ``predict``, and whether the text can be one of a language: it has letters, and they are not implausible
+        in the predicted language (UNUSUAL); where no language could be learned, letters are enough."""
         if self._forward is None or len(self._memo) > MEMO:
             self._forward, self._memo, self._rows = Forward(self.vocabulary, self.p), {}, np.zeros((0, len(self.languages)))
         split = [words_of(t) if t else [] for t in texts]
@@ -170,12 +184,14 @@ class LanguageModel:
             self._rows = np.concatenate([self._rows, self._forward.log_scores(new)])
         out = []
         for own in split:
-            if not self.languages or not any(c.isalpha() for w in own for c in w):
-                out.append(("und", 0.0))
+            letters = any(c.isalpha() for w in own for c in w)
+            if not self.languages or not letters:
+                out.append(("und", 0.0, letters))
                 continue
             total = self._rows[np.fromiter(map(self._memo.__getitem__, own), np.int64, len(own))].sum(0)
             best = int(total.argmax())
-            out.append((self.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())))
+            plausible = bool(total[best] >= UNUSUAL * self.usual[best] * sum(map(len, own)) - EVIDENCE)
+            out.append((self.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum()), plausible))
         return out
 
 
@@ -226,20 +242,23 @@ def fit_language_model(docs: DataFrame, model_path: str, words_per_language: int
     return LanguageModel.fit(counts, pieces_of(model_path))
 
 
-def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """All columns of ``docs`` with the predicted language and its score (columns of those names are replaced).
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs`` with the predicted language and its score (columns of those names are replaced). A third
+    name adds whether the text is plausible (see ``LanguageModel.judge``).
 
     The language is ``und`` with score 0 where the text is null or has no letter. Only ``text`` is looked at, whole.
     """
     docs = bounded_batches(docs).drop(*names)
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    kinds = [(T.StringType(), pa.string()), (T.DoubleType(), pa.float64()), (T.BooleanType(), pa.bool_())]
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, (k, _) in zip(names, kinds)]])
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, DOCS):
                 part = b.slice(i, DOCS)
-                found = model.predict(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*part.schema.names, *names])
+                found = model.judge(part.column("text").to_pylist())
+                more = [pa.array([x[j] for x in found], k) for j, (_, (_, k)) in enumerate(zip(names, kinds))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *names])
 
     return docs.mapInArrow(predict, schema)
 

@@ -60,3 +60,14 @@ def test_without(spark, frame, monkeypatch, limit):
     monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", limit)
     docs = frame(["a", "b", "c"])
     assert {r.doc_id for r in corpus_pipeline.without(docs, docs.where("doc_id = 1").select("doc_id")).collect()} == {0, 2}
+
+
+def test_language_stage_decides_by_likelihood(spark, frame):
+    r = random.Random(8)
+    words = ["".join(r.choice("the ing er on at re".split()) for _ in range(r.randint(1, 3))) for _ in range(300)]
+    clean = [" ".join(r.choice(words) for _ in range(r.randint(1, 150))) for _ in range(200)]
+    noise = [" ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(60)) for _ in range(4)]
+    docs = frame(clean + ["12 34", None] + noise).selectExpr("doc_id", "text", "if(doc_id < 200, lang, null) lang", "source", "n_chars")
+    assert {x.doc_id for x in corpus_pipeline.language(spark, docs, "").collect()} == set(range(200))
+    unlabelled = docs.selectExpr("doc_id", "text", "cast(null as string) lang", "source", "n_chars")
+    assert {x.doc_id for x in corpus_pipeline.language(spark, unlabelled, "").collect()} == set(range(200)) | set(range(202, 206))
