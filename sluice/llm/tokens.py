@@ -100,6 +100,8 @@ class ChunkTokenizer:
     def __init__(self, path: str, most: int = MEMO):
         self.library, self.most = Tokenizer.from_file(path), most
         self.memo = Memo(most)
+        ids, begin = self._encode("a\na")
+        self.line_break = ids[np.searchsorted(begin, 1) : np.searchsorted(begin, 2)]
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         return list(self.encode_column(pa.array(texts, pa.string())))
@@ -198,20 +200,37 @@ class ChunkTokenizer:
 
     def _learn(self, chunks: list[str]) -> list[np.ndarray]:
         """Ids of distinct chunks, many in one call: they are joined as in a text, a line break before those that do
-        not begin with a space, and their ids told apart by the offsets."""
-        out = []
+        not begin with a space, and their ids told apart by the offsets. A line break that is a chunk itself stands
+        between two letters. Where the ids between two chunks are not those of a line break, both are learned alone."""
+        out: list[np.ndarray] = []
         for i in range(0, len(chunks), JOINED):
             own = chunks[i : i + JOINED]
-            e = self.library.encode("".join([c if c[0] == " " else "\n" + c for c in own]), add_special_tokens=False)
-            size = np.array([len(c) for c in own])
-            broken = np.array([c[0] != " " for c in own])
+            solid = [c for c in own if c != "\n"]
+            size = np.array([len(c) for c in solid], np.int64)
+            broken = np.array([c[0] != " " for c in solid], bool)
             stop = np.cumsum(size + broken)
-            begin = np.fromiter((o[0] for o in e.offsets), np.int64, len(e))
-            ids = np.array(e.ids, np.uint32)
+            ids, begin = self._encode("".join([c if c[0] == " " else "\n" + c for c in solid]))
             a, b = np.searchsorted(begin, stop - size), np.searchsorted(begin, stop)
-            out += [ids[x:y] for x, y in zip(a.tolist(), b.tolist())]
+            before = np.concatenate([[0], b])[: len(a)]
+            good = a - before == np.where(broken, len(self.line_break), 0)
+            if len(good) and good[0] and broken[0]:
+                good[0] = ids[: a[0]].tolist() == self.line_break.tolist()
+            good[:-1] &= good[1:].copy()
+            found = iter([ids[x:y] if ok else self._alone(c) for c, x, y, ok in zip(solid, a.tolist(), b.tolist(), good.tolist())])
+            out += [self.line_break if c == "\n" else next(found) for c in own]
         return out
 
+    def _encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and the characters at which they begin."""
+        e = self.library.encode(text, add_special_tokens=False)
+        return np.array(e.ids, np.uint32), np.fromiter((o[0] for o in e.offsets), np.int64, len(e))
+
+    def _alone(self, chunk: str) -> np.ndarray:
+        """Ids of one chunk between two letters and line breaks: where it begins with a space, behind a letter."""
+        head = "a" if chunk[0] == " " else "a\n"
+        ids, begin = self._encode(head + chunk + "\na")
+        return ids[np.searchsorted(begin, len(head)) : np.searchsorted(begin, len(head) + len(chunk))]
+
 
 def tokenizer(path: str) -> ChunkTokenizer:
     """One tokenizer per worker process and file."""

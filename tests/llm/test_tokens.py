@@ -1,15 +1,18 @@
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 from sluice.llm import packing, repair, tokens
 
 WORDS, BYTES = (public_tokenizers.path(f"{x}.json") for x in ("word_bpe_49k", "byte_bpe_50k"))
-HARD = ["a  b", " a", "a ", "\n\n x", "word\n next \n more", "it's  'tis 's", "x   y", "é ́x", "a　b c", "tab\tz  \t", "Σ ΑΣ ς", "<|endoftext|> a", "1234 5 6,7", "a\0b \0 c", "İ I i", "🙂 🙂🙂", "x" * 500 + " y"]
+HARD = ["un.\nLe mot\nsuit", "a  b", " a", "a ", "\n\n x", "word\n next \n more", "it's  'tis 's", "x   y", "é ́x", "a　b c", "tab\tz  \t", "Σ ΑΣ ς", "<|endoftext|> a", "1234 5 6,7", "a\0b \0 c", "İ I i", "🙂 🙂🙂", "x" * 500 + " y"]
 
 
 @pytest.mark.parametrize("path", [WORDS, BYTES])
@@ -22,6 +25,23 @@ def test_chunks_equal_the_library(path, prose):
             assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_lone_line_breaks_and_long_texts(path):
+    r = random.Random(2)
+    loose = ["word", "un", ".", " ", "\n", "\n", "é", "日本", "🙂", "'s", "1", "12", ",", "B!", "\t"]
+    plain = ["word", "un", ". ", " ", "\nLe", "\n", "é", "日本", " 🙂", " it's", " 12", ", ", "\na", " B!", "\n.", "\n12"]
+    texts = ["un.\nLe", "a\nb", "\n", "a\n", "\na", "end.\n.\n"]
+    texts += ["".join(r.choice(loose) for _ in range(r.randint(1, 60))) for _ in range(1500)]
+    texts += ["x" + "".join(r.choice(plain) for _ in range(r.randint(1, 60))) + "y" for _ in range(1500)]
+    texts += pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    words = ["".join(r.choice(plain[:14]).strip() or "z" for _ in range(3)) for _ in range(3000)]
+    texts.append("x".join(r.choice(words) + r.choice(" \n") for _ in range(500_000)) + "y")  # above 4 MB, through pieces
+    assert len(texts[-1].encode()) > 4 << 20
+    library = Tokenizer.from_file(path)
+    for t, ids in zip(texts, tokens.ChunkTokenizer(path).encode_column(pa.array(texts, pa.string())), strict=True):
+        assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids, (t or "")[:80]
+
+
 def test_packing(frame, prose):
     texts = prose() + HARD
     library = Tokenizer.from_file(BYTES)
