@@ -1,90 +1,103 @@
 """Exact Jaccard self-join on word shingles by multiple-global-order filtering.
 
 Two sets that are similar enough must share a token among the first few of each set, under *any* order of all tokens
-(prefix filtering). Three orders are used, which rank a shingle by the frequencies of its words in three ways and break
-ties by different hashes, so rare shingles come first. Postings of the first order give candidates; a candidate must also
-share prefix tokens under the other two before its texts are compared exactly.
-
-A signature holds the parity of the number of tokens in each hash bucket. The bits in which two signatures differ are at most
-the tokens in which the sets differ, so pairs that differ in too many bits are dropped without looking at the sets.
-
-Equal sets are one node. Within a posting list not all pairs are compared: first every node is compared with the list
-head that it shares most tokens with; what is linked then is one component, and only pairs between *different* components
-remain to be compared, which is done for all of them. So no link between different components is lost, and a
-group of any size costs about one comparison per member.
+(prefix filtering). Three orders are used: shingles that are known to be frequent come last in each, the others are ranked by
+the frequencies of their words in three ways, and ties are broken by different hashes, so rare shingles come first. Postings of
+the first order give candidates; a candidate must also share prefix tokens under the other two before its texts are
+compared exactly.
+
+A signature holds the parity of the number of tokens in each hash bucket; it has about as many buckets as the set has
+tokens. The buckets in which two signatures differ are at most the tokens in which the sets differ, so pairs that differ in
+too many are dropped without looking at the sets.
+
+Equal sets are one node. Every node is first compared with the head of a posting list that it shares most tokens with; what
+is linked then is one component. Only pairs of *different* components remain; those of a posting list are compared by
+their signatures inside tasks, in blocks of a list, and only the few that are left become rows. So no link between
+different components is lost, no list is gathered in one task, and a group of copies costs about one row per member.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, bloom_of, bounded_batches, components, discard, document_words, int_list, materialize, mix, shingles, shuffle_partitions, small
+from .base import U64, bloom_of, bounded_batches, components, discard, document_words, int_list, materialize, mix, shingles, shuffle_partitions, small, text_bytes
 
-#: Words whose frequency is known to the token orders; all others count as rarer. The table (1 MB) goes to every task.
-#: It decides about the order only, never about the result.
-FREQUENT_WORDS = 1 << 16
+#: Words and shingles whose frequency is known to the token orders; all others count as rarer. The tables (3 MB) go to every
+#: task. They decide about the orders only, never about the result.
+FREQUENT_WORDS, FREQUENT_SHINGLES = 1 << 16, 1 << 18
 _SEEDS = (U64(0x1D8E4E27C47D124F), U64(0xA5A3B1C9F0D4E6F7), U64(0x6C62272E07BB0142))
 
-_ROW_DDL = "doc_id long, n long, s1 long, s2 long, p1 array<long>, p2 array<int>, p3 array<int>, sig array<long>"
+_ROW_DDL = "doc_id long, n long, s1 long, s2 long, p1 binary, p2 binary, p3 binary, sig binary"
 #: Nodes of a batch with the same prefix token that make a list of their own.
 LOCAL_LIST = 64
 #: Words that are sorted at once when words are counted.
 COUNT_WORDS = 1 << 20
+#: Bytes of a signature, which has a bit for each hash bucket: as many as tokens, to a power of two, within these bounds.
+SIGNATURE_BYTES = (32, 1024)
+#: Members of a posting list that are compared with each other in one task; longer lists are dealt out in pairs of blocks.
+BLOCK = 4096
+#: Pairs looked at in one step, and bytes of their signatures.
+STEP_PAIRS, STEP_BYTES = 1 << 20, 32 << 20
 
 
-#: Longs of 64 bits in a signature, which has a bit for each hash bucket; folded to POSTING_LONGS beside a posting.
-SIGNATURE_LONGS, POSTING_LONGS = 32, 8
-#: Prefix tokens that a node shares with the head of a list at least to belong to its group.
-GROUP_TOKENS = 3
-
-
-def word_levels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, sorted; level = 4 log2 of the count) of the most frequent words of all texts. Words that occur once
-    in COUNT_WORDS words are not counted there: the count is a lower bound, good enough to order by."""
+def levels(docs: DataFrame, k: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(hashes, sorted; level = 4 log2 of the count) of the most frequent words of all texts, and of the most frequent
+    shingles. What occurs once in COUNT_WORDS words is not counted there: a lower bound, good enough to order by."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
         size = 0
 
         def close() -> pa.RecordBatch:
             nonlocal held, size
-            words, n = np.unique(np.concatenate(held), return_counts=True)
-            held, size = [], 0
-            k = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(words[k].view(np.int64)), pa.array(n[k].astype(np.int64))], names=["w", "n"])
+            out = []
+            for kind, own in enumerate(held):
+                w, n = np.unique(np.concatenate(own), return_counts=True)
+                w, n = w[n > 1], n[n > 1]
+                out.append((np.full(len(w), kind, np.int32), w.view(np.int64), n.astype(np.int64)))
+            held, size = ([], []), 0
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["kind", "w", "n"])
 
         for b in batches:
             for _, w in document_words(b.column("text")):
-                held.append(w)
+                held[0].append(w)
+                held[1].append(np.unique(shingles(w, k)))
                 size += len(w)
                 if size >= COUNT_WORDS:
                     yield close()
-        if held:
+        if held[0]:
             yield close()
 
-    top = docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(FREQUENT_WORDS).toArrow()
-    words, n = top.column("w").to_numpy().view(U64), top.column("n").to_numpy()
-    order = np.argsort(words)
-    return words[order], (4 * np.log2(np.maximum(n[order], 1))).astype(np.uint64)
+    counted = materialize(docs.select("text").mapInArrow(count, "kind int, w long, n long").groupBy("kind", "w").agg(F.sum("n").alias("n")), "counts")
+    out = []
+    for kind, most in enumerate((FREQUENT_WORDS, FREQUENT_SHINGLES)):
+        top = counted.where(F.col("kind") == kind).select("w", "n").orderBy(F.desc("n"), "w").limit(most).toArrow()
+        w, n = top.column("w").to_numpy().view(U64), top.column("n").to_numpy()
+        order = np.argsort(w)
+        out.append((w[order], np.minimum(4 * np.log2(np.maximum(n[order], 1)), 255).astype(np.uint8)))
+    discard(counted)
+    return out[0], out[1]
+
+
+def _level(keys: np.ndarray, values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(of), U64)
+    at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
+    return np.where(keys[at] == of, values[at], 0).astype(U64)
 
 
 class Orders:
     """Token sets of texts and their prefixes under the three orders."""
 
-    def __init__(self, k: int, percent: int, words: np.ndarray, levels: np.ndarray):
+    def __init__(self, k: int, percent: int, words: np.ndarray, levels: np.ndarray, common: np.ndarray | None = None, common_levels: np.ndarray | None = None):
         self.k, self.percent, self.words, self.levels = k, percent, words, levels
-
-    def level(self, w: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(w), U64)
-        at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
-        return np.where(self.words[at] == w, self.levels[at], U64(0))
+        self.common = np.zeros(0, U64) if common is None else common
+        self.common_levels = np.zeros(0, np.uint8) if common_levels is None else common_levels
 
     def prefixes(self, w: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """(distinct shingles, for each order the tokens of its prefix). w: the words of a text."""
@@ -93,46 +106,60 @@ class Orders:
         if not n:
             return tokens, [tokens] * 3
         k = min(self.k, len(w))
-        lv = self.level(w)
+        lv = _level(self.words, self.levels, w)
         each = np.stack([lv[i + first] for i in range(k)])
+        known = _level(self.common, self.common_levels, tokens) << U64(56)
         size = n - (self.percent * n + 99) // 100 + 1
         out = []
         for rank, seed in zip((each.sum(0), each.max(0), each.min(0)), _SEEDS):
-            key = (rank.astype(U64) << U64(52)) | (mix(tokens ^ seed) >> U64(12))
+            key = known | (np.minimum(rank.astype(U64), U64(4095)) << U64(44)) | (mix(tokens ^ seed) >> U64(20))
             out.append(tokens[np.argpartition(key, size - 1)[:size]] if size < n else tokens)
         return tokens, out
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """Parities of the hash buckets, as bytes: bucket i is bit i % 8, counted from the highest, of byte i // 8."""
+    size = min(max(1 << max(len(tokens) - 1, 1).bit_length() >> 3, SIGNATURE_BYTES[0]), SIGNATURE_BYTES[1])
+    return np.packbits((np.bincount((tokens & U64(8 * size - 1)).astype(np.int64), minlength=8 * size) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sig: np.ndarray, size: int) -> np.ndarray:
+    """Rows of signatures with fewer buckets: parities of merged buckets are the sums of theirs."""
+    while sig.shape[1] > size:
+        half = sig.shape[1] // 2
+        sig = sig[:, :half] ^ sig[:, half:]
+    return sig
+
+
 def token_rows(docs: DataFrame, orders: Orders) -> DataFrame:
-    """One row per document: number of distinct shingles, 128-bit digest of the set, prefixes (hashes)."""
+    """One row per document: number of distinct shingles, 128-bit digest of the set, prefixes (64 or 32 bits a token)."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = 64 * SIGNATURE_LONGS
         for b in batches:
-            n, s1, s2, sig = [], [], [], []
-            prefix: tuple[list, list, list] = ([], [], [])
+            out: list[tuple] = []
             for _, w in document_words(b.column("text")):
                 tokens, p = orders.prefixes(w)
-                n.append(len(tokens))
-                parity = np.bincount((tokens & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
-                sig.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
                 with np.errstate(over="ignore"):
-                    s1.append(mix(tokens).sum(dtype=U64))
-                    s2.append(mix(tokens ^ _SEEDS[0]).sum(dtype=U64))
-                prefix[0].append(p[0].view(np.int64))
-                prefix[1].append(p[1].astype(np.uint32).view(np.int32))
-                prefix[2].append(p[2].astype(np.uint32).view(np.int32))
+                    sums = [int(mix(x).sum(dtype=U64).view(np.int64)) for x in (tokens, tokens ^ _SEEDS[0])]
+                out.append((len(tokens), *sums, p[0].tobytes(), p[1].astype(np.uint32).tobytes(), p[2].astype(np.uint32).tobytes(), signature(tokens)))
+            kinds = [pa.int64()] * 3 + [pa.binary()] * 4
+            columns = zip(*out) if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=[c.split()[0] for c in _ROW_DDL.split(", ")])
+
+    return docs.mapInArrow(rows, _ROW_DDL)
 
-            def lists(own: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-                at = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-                return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own) if own else [], kind))
 
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(s1, U64).view(np.int64)), pa.array(np.array(s2, U64).view(np.int64)), lists(prefix[0], pa.int64()), lists(prefix[1], pa.int32()), lists(prefix[2], pa.int32()), lists(sig, pa.int64())],
-                names=["doc_id", "n", "s1", "s2", "p1", "p2", "p3", "sig"],
-            )
+def _planes(x: np.ndarray) -> bytes:
+    """Low and high halves of integers one after the other: the high ones, mostly equal, vanish in compression."""
+    return np.ascontiguousarray(x).view(np.uint32).reshape(-1, 2).T.tobytes()
+
+
+def _whole(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint32).reshape(2, -1).T).view(np.int64).ravel()
 
-    return docs.mapInArrow(rows, _ROW_DDL)
+
+def _longs(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.int64)
 
 
 def posting_lists(nodes: DataFrame) -> DataFrame:
@@ -147,9 +174,9 @@ def posting_lists(nodes: DataFrame) -> DataFrame:
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p1 = b.column("p1")
-            rep = np.repeat(int_list(b, "rep"), p1.value_lengths().to_numpy())
-            tok = p1.flatten().to_numpy()
+            p1, at = text_bytes(b.column("p1"))
+            rep = np.repeat(int_list(b, "rep"), np.diff(at) // 8)
+            tok = p1.view(np.int64)
             if not len(tok):
                 continue
             order = np.lexsort((rep, tok))
@@ -167,14 +194,14 @@ def posting_lists(nodes: DataFrame) -> DataFrame:
                 edge = np.searchsorted(bucket[by], np.arange(buckets + 1))
                 for q in np.flatnonzero(np.diff(edge)).tolist():
                     x = by[edge[q] : edge[q + 1]]
-                    rows.append((q, kind, t[x].tobytes(), r[x].tobytes(), h[x].tobytes() if kind else b""))
+                    rows.append((q, kind, t[x].tobytes(), _planes(r[x]), _planes(h[x]) if kind else b""))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "kind", "tok", "rep", "head"])
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["tok", "rep", "head"]
 
         def close(held: list[tuple]) -> pa.RecordBatch:
-            tok, rep = (np.concatenate([np.frombuffer(x[c], np.int64) for x in held]) for c in (0, 1))
+            tok, rep = (np.concatenate([own(x[c]) for x in held]) for c, own in ((0, _longs), (1, _whole)))
             order = np.lexsort((rep, tok))
             tok, rep = tok[order], rep[order]
             first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
@@ -186,7 +213,7 @@ def posting_lists(nodes: DataFrame) -> DataFrame:
         for b in batches:
             for q, kind, tok, rep, head in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "tok", "rep", "head"))):
                 if kind:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (tok, rep, head)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_longs(tok), _whole(rep), _whole(head))], names=names)
                     continue
                 if q != now and held:
                     yield close(held)
@@ -229,35 +256,140 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return out
 
 
-def _size_fits(a: str, b: str, percent: int):
-    return 100 * F.least(F.col(a), F.col(b)) >= percent * F.greatest(F.col(a), F.col(b))
+def near_pairs(key: np.ndarray, side: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y), x < y: the pairs of rows with the same key, of different components, whose sizes and signatures allow a link.
+    Rows are sorted by key and side; where a key has two sides, only rows of different ones meet."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    stop = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
+    two = np.repeat(side[first] != side[stop[first] - 1], stop[first] - first)
+    after = np.arange(len(key)) + 1
+    if two.any():  # the first row of the other side
+        turn = np.concatenate([[True], (key[1:] != key[:-1]) | (side[1:] != side[:-1])])
+        ends = np.append(np.flatnonzero(turn)[1:], len(key))[np.cumsum(turn) - 1]
+        after = np.where(two, ends, after)
+    many = stop - after
+    number: dict[bytes, int] = {}
+    which = np.array([number.setdefault(x, len(number)) for x in sig], np.int64)  # rows that share an id may differ
+    kinds = list(number)
+    sizes = np.array([len(x) for x in kinds], np.int64)
+    table, place = {}, np.zeros(len(kinds), np.int64)
+    for w in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == w)
+        place[own] = np.arange(len(own))
+        table[w] = np.frombuffer(b"".join([kinds[i] for i in own.tolist()]), np.uint8).reshape(-1, w)
+    width, place = sizes[which], place[which]
+    found: list[np.ndarray] = []
+    upto = np.concatenate([[0], np.cumsum(many)])
+    i = 0
+    while i < len(key):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + STEP_PAIRS, "right")) - 1)
+        c = many[i:j]
+        a = np.repeat(np.arange(i, j), c)
+        b = np.repeat(after[i:j] - (upto[i:j] - upto[i]), c) + np.arange(len(a))
+        i = j
+        ok = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        a, b = a[ok], b[ok]
+        a, b = np.where(rep[a] < rep[b], a, b), np.where(rep[a] < rep[b], b, a)
+        if len(a):
+            same = (rep[a], rep[b], which[a], which[b])
+            order = np.lexsort(same[::-1])
+            new = np.concatenate([[True], np.any([c[order][1:] != c[order][:-1] for c in same], axis=0)])
+            a, b = a[order][new], b[order][new]
+        most = (100 - percent) * (n[a] + n[b]) // (100 + percent)
+        for wa, wb in {*zip(width[a].tolist(), width[b].tolist())}:
+            own = np.flatnonzero((width[a] == wa) & (width[b] == wb))
+            step = max(1, STEP_BYTES // (wa + wb))
+            for x in (own[q : q + step] for q in range(0, len(own), step)):
+                size = min(wa, wb)
+                differ = np.bitwise_count((folded(table[wa][place[a[x]]], size) ^ folded(table[wb][place[b[x]]], size)).view(U64)).sum(1, dtype=np.int64)
+                x = x[differ <= most[x]]
+                found.append(np.stack([rep[a[x]], rep[b[x]]]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y = np.unique(np.concatenate(found, 1), axis=1)
+    return x, y
+
+
+def across(lists: DataFrame, forest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(x, y) of nodes that share a posting list, are of different components (``forest``: node, comp; others are alone),
+    and whose sizes and signatures allow a link.
+
+    Lists of one component go at once. A list of more than BLOCK members is dealt out in pairs of blocks, so a task holds
+    two blocks at most; the comparisons of such a list are made in all tasks, and only what they leave is a row."""
+    parts = shuffle_partitions(lists.sparkSession)
+    listed = lists.select("tok", "rep").join(small(forest.select(F.col("node").alias("rep"), "comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    kinds = listed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("tok", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    mixed = materialize(listed.join(kinds, "tok"), "mixed")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = mixed.join(nodes.select("rep", "n", "sig"), "rep").withColumn("side", block).withColumn("other", other)
+    dealt = dealt.select("tok", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "comp", "n", "sig")
 
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows, last = 0, None
 
-def _folded(sig: str, i: int) -> Column:
-    """Long i of the signature with fewer buckets: parities of merged buckets are the sums of theirs."""
-    return reduce(Column.bitwiseXOR, [F.col(sig)[j] for j in range(i, SIGNATURE_LONGS, POSTING_LONGS)])
+        def close() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            tok, i, j, side, rep, comp, n = (t.column(c).to_numpy() for c in ("tok", "i", "j", "side", "rep", "comp", "n"))
+            change = np.concatenate([[False], (tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            x, y = near_pairs(np.cumsum(change), side, rep, comp, n, t.column("sig").to_pylist(), percent)
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
 
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tok, i, j = (int_list(b, c) for c in ("tok", "i", "j"))
+            key = (tok[0], i[0], j[0])
+            turns = np.flatnonzero((tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            cut = 0 if key != last else (int(turns[0]) if len(turns) else None)
+            if held and rows >= BLOCK and cut is not None:
+                held.append(b.slice(0, cut))
+                yield close()
+                b, held, rows = b.slice(cut), [], 0
+            held.append(b)
+            rows += b.num_rows
+            last = (tok[-1], i[-1], j[-1])
+        if held:
+            yield close()
 
-def _bits_fit(a: list[Column], b: list[Column], na: str, nb: str, percent: int) -> Column:
-    """Whether the sets can differ in few enough tokens: J >= p % is |x ^ y| <= (|x| + |y|) (100 - p) / (100 + p)."""
-    differ = reduce(Column.__add__, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)])
-    return (100 + percent) * differ <= (100 - percent) * (F.col(na) + F.col(nb))
+    by = ["tok", "i", "j"]
+    pairs = materialize(dealt.repartition(parts, *by).sortWithinPartitions(*by, "side").mapInArrow(compare, "x long, y long").distinct(), "rest")
+    discard(mixed)
+    return pairs
 
 
-def _across(rows: DataFrame, key: str, longs: int, percent: int, also: Column | None = None) -> DataFrame:
-    """(x, y) of the rows with the same key whose components differ and whose sizes, prefixes and signatures (g0, g1, ..)
-    allow a link. The largest component of a key meets only the others; rows of one component never meet."""
-    major = rows.groupBy(key, "comp").agg(F.count("*").alias("c")).groupBy(key).agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select(key, F.col("m.comp").alias("major"))
-    mixed = materialize(rows.join(major, key), "mixed")
-    names = [c for c in mixed.columns if c != key]
-    x = mixed.where("comp <> major").select(F.col(key).alias("x_key"), *[F.col(c).alias(f"x_{c}") for c in names])
-    y = mixed.select(F.col(key).alias("y_key"), *[F.col(c).alias(f"y_{c}") for c in names])
-    meets = (F.col("x_key") == F.col("y_key")) & (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("y_major")) | (F.col("x_rep") < F.col("y_rep")))
-    meets &= (F.col("x_b2").bitwiseAND(F.col("y_b2")) != 0) & (F.col("x_b3").bitwiseAND(F.col("y_b3")) != 0) & _size_fits("x_n", "y_n", percent)
-    meets &= _bits_fit([F.col(f"x_g{i}") for i in range(longs)], [F.col(f"y_g{i}") for i in range(longs)], "x_n", "y_n", percent)
-    if also is not None:
-        meets &= also
-    return x.join(y, meets).select(F.least("x_rep", "y_rep").alias("x"), F.greatest("x_rep", "y_rep").alias("y"))
+def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs whose sizes and signatures allow a link and which share prefix tokens under the second and the
+    third order as well."""
+
+    def check(names: list[str], test):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = [test(*row) for row in zip(*(b.column(c).to_pylist() for c in names))]
+                yield b.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    def close_enough(nx: int, ny: int, sx: bytes, sy: bytes) -> bool:
+        if 100 * min(nx, ny) < percent * max(nx, ny):
+            return False
+        size = min(len(sx), len(sy))
+        a, b = (folded(np.frombuffer(s, np.uint8)[None], size) for s in (sx, sy))
+        return (100 + percent) * int(np.bitwise_count(a ^ b).sum()) <= (100 - percent) * (nx + ny)
+
+    def meet(x2: bytes, y2: bytes, x3: bytes, y3: bytes) -> bool:
+        return all(len(np.intersect1d(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32))) for a, b in ((x2, y2), (x3, y3)))
+
+    def with_sides(pairs: DataFrame, columns: list[str]) -> DataFrame:
+        own = nodes.select("rep", *columns).join(small(pairs.select(F.explode(F.array("x", "y")).alias("rep")).distinct()), "rep", "left_semi")
+        side = lambda s: own.select(F.col("rep").alias(s), *[F.col(c).alias(s + c) for c in columns])
+        return pairs.join(side("x"), "x").join(side("y"), "y")
+
+    near = materialize(with_sides(pairs, ["n", "sig"]).select("x", "y", "xn", "yn", "xsig", "ysig").mapInArrow(check(["xn", "yn", "xsig", "ysig"], close_enough), "x long, y long"), "near")
+    kept = materialize(with_sides(near, ["p2", "p3"]).select("x", "y", "xp2", "yp2", "xp3", "yp3").mapInArrow(check(["xp2", "yp2", "xp3", "yp3"], meet), "x long, y long"), "pairs")
+    discard(near)
+    return kept
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -271,68 +403,32 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     columns are ignored. Shingles are compared by 64-bit hashes.
     """
     docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    orders = Orders(k, percent, *word_levels(docs))
-    rows = materialize(token_rows(docs, orders), "sets")
+    words, common = levels(docs, k)
+    rows = materialize(token_rows(docs, Orders(k, percent, *words, *common)), "sets")
     key = ["n", "s1", "s2"]
     keys = materialize(rows.select("doc_id", *key), "keys")
     classes = keys.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     # the representatives: rows less those that a smaller id with an equal set stands for
     others = materialize(keys.where("n > 0 and doc_id is not null").join(classes, key).where("doc_id <> rep").select("doc_id", "s1").distinct(), "others")
-    nodes = rows.where("n > 0 and doc_id is not null").join(small(others), ["doc_id", "s1"], "left_anti").select(F.col("doc_id").alias("rep"), "n", "p1", "p2", "p3", "sig")
-    # one bit per prefix token of the second and third order: a cheap form of the intersection for the posting join
-    nodes = materialize(nodes.withColumns({"b2": _bits("p2"), "b3": _bits("p3")}), "nodes")
-    discard(rows)
-    lists = materialize(posting_lists(nodes), "lists")
+    nodes = rows.where("n > 0 and doc_id is not null").join(small(others), ["doc_id", "s1"], "left_anti").withColumnRenamed("doc_id", "rep")
+    lists = materialize(posting_lists(nodes.select("rep", "p1")), "lists")
 
     shared = lists.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("c"))
-    first = shared.groupBy("rep").agg(F.max(F.struct("c", -F.col("head"))).alias("m")).select((-F.col("m.col2")).alias("x"), F.col("rep").alias("y"), F.col("m.c").alias("c"))
+    first = shared.groupBy("rep").agg(F.max(F.struct("c", -F.col("head"))).alias("m")).select((-F.col("m.col2")).alias("x"), F.col("rep").alias("y"))
     first = materialize(first, "first")
-    tried = _filtered(first.select("x", "y"), nodes, percent)
+    tried = _filtered(first, nodes, percent)
     linked = verified(tried, docs, k, percent)
-
-    # what is linked by now is one component; every pair of nodes of different components remains, in two ways:
-    forest = components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    width = range(SIGNATURE_LONGS)
-    state = nodes.select("rep", "n", "b2", "b3", F.col("sig").alias("s"), *[_folded("sig", i).alias(f"g{i}") for i in range(POSTING_LONGS)])
-    groups = components(first.where(F.col("c") >= GROUP_TOKENS).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    state = state.join(groups.select(F.col("node").alias("rep"), F.col("comp").alias("group")), "rep", "left").join(forest.withColumnRenamed("node", "rep"), "rep", "left")
-    state = materialize(state.withColumns({"group": F.coalesce("group", "rep"), "comp": F.coalesce("comp", "rep")}), "state")
-    # within a group of nodes that follow each other's heads, by nodes: one row each, compared by its whole signature
-    rest = _across(state.select("group", "rep", "n", "b2", "b3", "comp", *[F.col("s")[i].alias(f"g{i}") for i in width]), "group", len(width), percent)
-    # across groups, by the posting lists
-    listed = lists.select("tok", "rep").join(state.drop("s"), "rep")
-    more_rest = _across(listed, "tok", POSTING_LONGS, percent, F.col("x_group") != F.col("y_group"))
-    rest = materialize(rest.union(more_rest).distinct(), "rest")
+    # what is linked by now is one component; every pair of nodes of different components remains
+    rest = across(lists, components(linked.select(F.col("x").alias("a"), F.col("y").alias("b"))), nodes, percent)
     kept = _filtered(rest.join(tried, ["x", "y"], "left_anti"), nodes, percent)
-    discard(rest, lists, state, nodes, first)
+    discard(rest, lists, first, rows, others)
     more = verified(kept, docs, k, percent)
 
-    all_links = linked.union(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    comps = components(all_links)
+    comps = components(linked.union(more).select(F.col("x").alias("a"), F.col("y").alias("b")))
     named = classes.join(comps, classes.rep == comps.node, "left").select(*key, F.coalesce("comp", "rep").alias("component"))
     return keys.join(named, key, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _bits(p: str):
-    """The 64-bit mask with a bit for each token of a prefix."""
-    return F.expr(f"aggregate({p}, 0L, (a, t) -> a | shiftleft(1L, pmod(t, 64)))")
-
-
-def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes fit and which share prefix tokens under the second and the third order as well."""
-    pairs = materialize(pairs.distinct(), "pairs")
-    ids = small(pairs.select(F.explode(F.array("x", "y")).alias("rep")).distinct())
-    own = materialize(nodes.select("rep", "n", "p2", "p3", "sig").join(ids, "rep", "left_semi"), "own")
-    x = own.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("p2").alias("x2"), F.col("p3").alias("x3"), F.col("sig").alias("xs"))
-    y = own.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("p2").alias("y2"), F.col("p3").alias("y3"), F.col("sig").alias("ys"))
-    width = range(SIGNATURE_LONGS)
-    near = _bits_fit([F.col("xs")[i] for i in width], [F.col("ys")[i] for i in width], "nx", "ny", percent)
-    kept = pairs.join(x, "x").join(y, "y").where(_size_fits("nx", "ny", percent) & near & F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3")).select("x", "y").distinct()
-    kept = materialize(kept, "pairs")
-    discard(pairs, own)
-    return kept
-
-
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=90)
 

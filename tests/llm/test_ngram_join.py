@@ -65,6 +65,45 @@ def test_local_lists_lose_nothing(frame, monkeypatch):
     assert {r.doc_id: r.component_id for r in m.ngram_join(frame(texts, 6), 3, 80).collect()} == {k: v[1] for k, v in brute(texts, 3, 80).items()}
 
 
+def test_blocks_lose_nothing(frame, monkeypatch):
+    """Long lists dealt out in pairs of blocks, pairs looked at in small steps, signatures of different sizes."""
+    for name, value in (("BLOCK", 3), ("STEP_PAIRS", 5), ("STEP_BYTES", 200), ("SIGNATURE_BYTES", (8, 64))):
+        monkeypatch.setattr(m, name, value)
+    texts = corpus(9, 30)
+    assert {r.doc_id: r.component_id for r in m.ngram_join(frame(texts, 6), 3, 80).collect()} == {k: v[1] for k, v in brute(texts, 3, 80).items()}
+
+
+def test_near_copies_of_one_text(frame):
+    """A large group of near copies, of which many miss the first of them, and a passage that all other texts share."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    base_ = [r.choice(words) for _ in range(120)]
+    passage = [r.choice(words) for _ in range(40)]
+    texts = []
+    for _ in range(1500):
+        w = list(base_)
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = r.choice(words)
+        texts.append(" ".join(w))
+    for _ in range(300):
+        texts.append(" ".join(passage + [r.choice(words) for _ in range(r.randint(1, 12))]))
+    got = {x.doc_id: x.component_id for x in m.ngram_join(frame(texts, 12), 3, 90).collect()}
+    assert got == {k: v[1] for k, v in brute(texts, 3, 90).items()}
+
+
+def test_signatures_bound_differences():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for n in (1, 30, 300, 3000, 30_000):
+        a = r.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[: n - n // 7], r.integers(0, 2**63, n // 9).astype(np.uint64)])
+        x, y = (np.frombuffer(m.signature(t), np.uint8)[None] for t in (a, b))
+        size = min(x.shape[1], y.shape[1])
+        differ = int(np.bitwise_count(m.folded(x, size) ^ m.folded(y, size)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and (n > 100) <= (differ > 0)
+
+
 def test_prefixes_of_similar_sets_always_meet():
     import numpy as np
 
