@@ -7,9 +7,12 @@ names in ``spark.checkpoint.dir`` so that a lost executor never loses data.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,12 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a private one is made only where the session names none (tests)."""
+    """The folder all executors share. A private one is made only where the session names none and the executors are
+    threads of this process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sluice-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -76,6 +82,22 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidy(run):
+    """An Arrow function that hands the memory it used back to the system when a task ends: workers live on, and what
+    one stage held would stand beside what the next one needs."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 #: Rows of two or three integers that are sent to every task at most (about 16 MB).
 BROADCAST_ROWS = 500_000
 
@@ -126,6 +148,30 @@ def row_groups(at: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+# ---------------------------------------------------------------- spans
+
+
+class Spans:
+    """Intervals [start, end) that can be asked, in logarithmic time, whether one of them meets another."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        own = sorted(spans)
+        self.start = [a for a, _ in own]
+        self.reach = list(accumulate((b for _, b in own), max))  # the farthest end of those up to here
+        self.more: list[tuple[int, int]] = []
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_left(self.start, b)
+        if i and self.reach[i - 1] > a:
+            return True
+        j = bisect_left(self.more, (b,))
+        return j > 0 and self.more[j - 1][1] > a
+
+    def add(self, a: int, b: int) -> None:
+        """An interval that meets none of those already added."""
+        insort(self.more, (a, b))
+
+
 # ---------------------------------------------------------------- hashing
 
 
@@ -234,8 +280,8 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
 
 
 class Bloom:
-    """A Bloom filter over 64-bit integers. Its size is fixed (4 MB), so it can always be sent to every task;
-    when more keys enter than it can tell apart it only lets more rows through, which the exact join behind it drops."""
+    """A Bloom filter over 64-bit integers of at most 32 MB, so it can always be sent to every task; when more keys
+    enter than it can tell apart it only lets more rows through, which the exact join behind it drops."""
 
     def __init__(self, bits: int = 1 << 25, data: np.ndarray | None = None):
         self.bits = bits
@@ -258,8 +304,14 @@ class Bloom:
         return out
 
 
-def bloom_of(df: DataFrame, column: str, bits: int = 1 << 25) -> Bloom:
-    """The filter of an integer column: partial filters on the executors, combined on the driver (16 at most, ``bits`` each)."""
+#: Bits of a filter: BLOOM_BITS for each key, to a power of two, within these bounds.
+BLOOM_BITS, BLOOM_LEAST, BLOOM_MOST = 12, 1 << 16, 1 << 28
+
+
+def bloom_of(df: DataFrame, column: str) -> Bloom:
+    """The filter of an integer column of a written table, as large as its number of rows asks for: partial filters on the
+    executors, combined on the driver one after the other (16 at most)."""
+    bits = min(max(1 << (BLOOM_BITS * df.count()).bit_length(), BLOOM_LEAST), BLOOM_MOST)
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Bloom(bits)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches
+from .base import Spans, bounded_batches, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -49,8 +49,9 @@ LOOSE_KINDS = tuple(k for k, _, _ in _LOOSE)
 LABELERS = ("strict", "cue_for", "cue_against", "base", "checksum", "shape", "context")
 #: Candidates whose classifier probability reaches this are reported.
 THRESHOLD = 0.7
-#: Vote and feature patterns that go to the driver at most (the most frequent; all vote and feature values are discrete).
-PATTERNS = 50_000
+#: Values of each feature. All votes and features are discrete and most votes are features too, so no more than
+#: 6 x 8 x 7 x 5 x 2 x 2 x 2 x 3 x 3 x 2 = 241,920 patterns of them exist; all that occur go to the driver, with their counts.
+FEATURE_VALUES = (len(_LOOSE), 8, 7, 5, 2, 2, 2, 3)
 
 
 def luhn(digits: str) -> bool:
@@ -98,6 +99,7 @@ def joined(spans: Iterable[tuple[int, str, int]]) -> str:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, tuple[int, ...], tuple[int, ...]]]:
     """(start, loose kind, end, votes, features) of every looser candidate."""
+    taken = Spans((x, y) for x, _, y in base)
     for k, (kind, cheap, pattern) in enumerate(_LOOSE):
         if not cheap.search(text):
             continue
@@ -107,7 +109,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[in
             body = m[0]
             digits = "".join(c for c in body if "0" <= c <= "9")
             seps = sum(not c.isalnum() for c in body)
-            overlap = any(x < b and a < y for x, _, y in base)
+            overlap = taken.meets(a, b)
             votes = (
                 1 if kind in ("obfuscated", "national", "iban", "person") else 0,
                 1 if _FOR.search(before) else 0,
@@ -164,7 +166,7 @@ class WeakModel:
     @staticmethod
     def _design(f: np.ndarray) -> np.ndarray:
         one = [np.ones((len(f), 1))]
-        one += [(f[:, [c]] == np.arange(m)).astype(float) for c, m in enumerate((len(_LOOSE), 8, 7, 5, 2, 2, 2, 3))]
+        one += [(f[:, [c]] == np.arange(m)).astype(float) for c, m in enumerate(FEATURE_VALUES)]
         return np.hstack(one)
 
     def probability(self, features: list[tuple[int, ...]]) -> np.ndarray:
@@ -187,7 +189,7 @@ def fit_weak_model(docs: DataFrame) -> WeakModel:
             yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in seen], pa.list_(pa.int32())), pa.array(seen.values(), pa.int64())], names=["pattern", "n"])
 
     m = len(LABELERS)
-    rows = bounded_batches(docs).select("text").mapInArrow(count, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pattern").limit(PATTERNS).collect()
+    rows = bounded_batches(docs).select("text").mapInArrow(tidy(count), "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pattern").collect()
     return WeakModel([(tuple(r.pattern[:m]), tuple(r.pattern[m:]), r.n) for r in rows])
 
 
@@ -214,11 +216,11 @@ def find_pii(docs: DataFrame, model: WeakModel, threshold: float = THRESHOLD) ->
                 more: list[tuple[int, str, int]] = []
                 if found:
                     p = model.probability([c[4] for c in found])
-                    taken = [(s, e) for s, _, e in base]
+                    taken = Spans((s, e) for s, _, e in base)
                     for i in sorted(range(len(found)), key=lambda i: (-p[i], found[i][:3])):
                         s, k, e = found[i][:3]
-                        if p[i] >= threshold and all(e <= x or y <= s for x, y in taken):
-                            taken.append((s, e))
+                        if p[i] >= threshold and not taken.meets(s, e):
+                            taken.add(s, e)
                             more.append((s, LOOSE_KINDS[k], e))
                 order = {k: i for i, k in enumerate(KINDS + LOOSE_KINDS)}
                 kinds = Counter(k for _, k, _ in base)
@@ -228,7 +230,7 @@ def find_pii(docs: DataFrame, model: WeakModel, threshold: float = THRESHOLD) ->
             types = [pa.int64()] * 5 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in _OUT.split(", ")])
 
-    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, _OUT)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(find), _OUT)
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from sluice.llm import pii, secrets
+from sluice.llm import base, pii, secrets
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -172,3 +172,17 @@ def test_rows(odd_frame):
     assert len(rows) == df.count() and by[4].n_assign == 1 and by[4].spans == "assign:0:16"
     none = df.limit(0)
     assert pii.find_pii(none, pii.fit_weak_model(none)).count() == 0 and secrets.find_secrets(none, secrets.fit_network(none)).count() == 0
+
+
+def test_spans_that_meet():
+    r = random.Random(1)
+    for _ in range(200):
+        own = [(a, a + r.randint(1, 9)) for a in (r.randrange(60) for _ in range(r.randint(0, 8)))]
+        spans, added = base.Spans(own), []
+        for _ in range(20):
+            a = r.randrange(60)
+            b = a + r.randint(1, 6)
+            assert spans.meets(a, b) == any(x < b and a < y for x, y in own + added)
+            if not spans.meets(a, b):
+                spans.add(a, b)
+                added.append((a, b))
