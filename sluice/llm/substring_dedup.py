@@ -26,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, Bloom, bloom_of, bounded_batches, discard, int_list, materialize, mix, powers, row_groups, shuffle_partitions, text_bytes
+from .base import U64, Bloom, bloom_of, bounded_batches, discard, int_list, materialize, mix, powers, row_groups, shuffle_partitions, text_bytes, tidy
 
 LENGTH = 100
 K = 32
 #: Bytes worked on at once; longer texts overlap by LENGTH - 1.
 PIECE = 1 << 18
 _POS = 20
-#: Segments of one minimizer in a part, and bytes of segments under one suffix array, about.
-PART, ARRAY_BYTES = 4096, 2 << 20
+#: Segments of one minimizer in a part at most, and bytes of segments under one suffix array, about.
+PART, ARRAY_BYTES = 4096, 1 << 20
+#: Bytes of text whose segments meet at once, about: a partition has as many buckets as it needs.
+BUCKET_BYTES = 16 << 20
 _BASE = 0xD1B54A32D192ED03
 _INVERSE = pow(_BASE, -1, 2**64)
 #: Stands for a null id, which is after all others.
@@ -202,7 +204,9 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Fa
     """
     spark = docs.sparkSession
     docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    buckets = shuffle_partitions(spark)
+    parts = shuffle_partitions(spark)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = parts * max(1, -(-total // (parts * BUCKET_BYTES)))
     k = min(K, max(8, length // 2))
 
     def ids_of(b: pa.RecordBatch) -> np.ndarray:
@@ -240,11 +244,10 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Fa
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
             names, blobs = [], []
-            for q in range(buckets):
+            for q in np.flatnonzero(np.diff(edges)).tolist():
                 own = by[edges[q] : edges[q + 1]]
-                if len(own):
-                    names.append(q)
-                    blobs.append(_pack(ids, keys, mini[own], seg[own], row[own], start[own], n[own], gone[own]))
+                names.append(q)
+                blobs.append(_pack(ids, keys, mini[own], seg[own], row[own], start[own], n[own], gone[own]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], schema=_BUCKET)
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +268,11 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Fa
             group = np.cumsum(first) - 1
             size = np.bincount(group) if len(x) else group
             many = size[group] > 1 if len(x) else first
-            rank = np.arange(len(x)) - np.flatnonzero(first)[group] if len(x) else group
-            part = np.where(size[group] > PART, 1 + rank // PART, 0) if len(x) else group
+            # parts by bytes, a segment counting as 1 / PART of them at least
+            weight = np.maximum(n[x] + length - 1, ARRAY_BYTES // PART)
+            upto = np.concatenate([[0], np.cumsum(weight)])
+            own = upto[:-1] - upto[np.flatnonzero(first)][group] if len(x) else group
+            part = np.where(np.bincount(group, weight)[group] > ARRAY_BYTES, 1 + own // ARRAY_BYTES, 0) if len(x) else group
             x, part = x[many], part[many]
             out.append((part, mini[x], doc[x], txt[x], start[x], n[x]))
             return _rows(*(np.concatenate(c) for c in zip(*out)))
@@ -282,8 +288,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Fa
         if held:
             yield close(held)
 
-    dealt = docs.mapInArrow(deal, "bucket int, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = materialize(dealt.mapInArrow(meet, _FOUND_DDL), "segments")
+    dealt = docs.mapInArrow(tidy(deal), "bucket int, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = materialize(dealt.mapInArrow(tidy(meet), _FOUND_DDL), "segments")
     open_ = found.where("part >= 0")
     asked = open_.groupBy("doc", "txt").agg(F.collect_list(F.struct("part", "mini", "start", "n")).alias("s"))
 
@@ -300,17 +306,19 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Fa
         return wanted
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            body, at = text_bytes(b.column("text"))
-            s = b.column("s")
-            owner = np.repeat(np.arange(b.num_rows), s.value_lengths().to_numpy())
-            f = s.flatten()
-            part, mini, start, n = (f.field(c).to_numpy() for c in ("part", "mini", "start", "n"))
-            raw = body.tobytes()
-            a = at[owner] + start
-            pieces = [raw[x:y] for x, y in zip(a.tolist(), (a + n + length - 1).tolist())]
-            doc, txt = int_list(b, "doc"), int_list(b, "txt")
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(mini), pa.array(doc[owner]), pa.array(txt[owner]), pa.array(start), pa.array(n), pa.array(pieces, pa.binary())], names=["part", "mini", "doc", "txt", "start", "n", "bytes"])
+        for whole in batches:
+            for i, j in row_groups(text_bytes(whole.column("text"))[1], ARRAY_BYTES):
+                b = whole.slice(i, j - i)
+                body, at = text_bytes(b.column("text"))
+                s = b.column("s")
+                owner = np.repeat(np.arange(b.num_rows), s.value_lengths().to_numpy())
+                f = s.flatten()
+                part, mini, start, n = (f.field(c).to_numpy() for c in ("part", "mini", "start", "n"))
+                raw = body.tobytes()
+                a = at[owner] + start
+                pieces = [raw[x:y] for x, y in zip(a.tolist(), (a + n + length - 1).tolist())]
+                doc, txt = int_list(b, "doc"), int_list(b, "txt")
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(mini), pa.array(doc[owner]), pa.array(txt[owner]), pa.array(start), pa.array(n), pa.array(pieces, pa.binary())], names=["part", "mini", "doc", "txt", "start", "n", "bytes"])
 
     def factors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Spans to remove (kind 0); of minimizers worked on in parts also the strings that are first in their part (1)."""
@@ -363,8 +371,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Fa
             yield close(held)
 
     texts = docs.mapInArrow(texts_of(bloom_of(open_, "doc")), "doc long, txt long, text string")
-    pieces = texts.join(asked, ["doc", "txt"]).select("doc", "txt", "text", "s").mapInArrow(fetch, "part long, mini long, doc long, txt long, start long, n long, bytes binary")
-    factor = materialize(pieces.repartition(buckets, "mini", "part").sortWithinPartitions("mini", "part").mapInArrow(factors, "kind long, h1 long, h2 long, doc long, txt long, start long, n long"), "factors")
+    pieces = texts.join(asked, ["doc", "txt"]).select("doc", "txt", "text", "s").mapInArrow(tidy(fetch), "part long, mini long, doc long, txt long, start long, n long, bytes binary")
+    factor = materialize(pieces.repartition(parts, "mini", "part").sortWithinPartitions("mini", "part").mapInArrow(tidy(factors), "kind long, h1 long, h2 long, doc long, txt long, start long, n long"), "factors")
     single = factor.where("kind = 1")
     first = single.groupBy("h1", "h2").agg(F.min(F.struct("doc", "txt", "start")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", "f")
     across = single.join(first, ["h1", "h2"]).where(F.struct("doc", "txt", "start") != F.col("f"))
@@ -408,8 +416,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Fa
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[c.split()[0] for c in out_ddl.split(", ")])
 
-    scanned = docs.mapInArrow(scan, "doc_id long, doc long, txt long, n_bytes long, sha string, body binary")
-    return scanned.join(spans, ["doc", "txt"], "left").select("doc_id", "n_bytes", "sha", "body", "s").mapInArrow(cut, out_ddl)
+    scanned = docs.mapInArrow(tidy(scan), "doc_id long, doc long, txt long, n_bytes long, sha string, body binary")
+    return scanned.join(spans, ["doc", "txt"], "left").select("doc_id", "n_bytes", "sha", "body", "s").mapInArrow(tidy(cut), out_ddl)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -56,6 +56,7 @@ def test_parts_and_long_texts(frame, monkeypatch):
     monkeypatch.setattr(m, "PART", 3)
     monkeypatch.setattr(m, "PIECE", 700)
     monkeypatch.setattr(m, "ARRAY_BYTES", 2000)
+    monkeypatch.setattr(m, "BUCKET_BYTES", 300)
     texts = corpus(5, 40)
     assert got(frame(texts, 5)) == brute(texts)
 
