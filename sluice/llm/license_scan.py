@@ -3,7 +3,8 @@
 A text and a template are aligned on the words that are unique to both: of these anchors the longest increasing
 subsequence is kept, and the gaps between neighbouring anchors are aligned in the same way, where other words are unique.
 A gap without anchors is matched from both ends, and what is left of it, whatever its size, by an exact longest common
-subsequence. The coverage is the share of the template's words that are aligned.
+subsequence. The coverage is the share of the template's words that are aligned. Licenses whose wordings differ in a word or
+two are told apart by these words: all of them must be aligned, and those of its relatives must not stand between.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, document_words, text_bytes, word_hashes
+from .base import bounded_batches, document_words, text_bytes, word_hashes, tidy
 
 #: Share of the template's words, in percent, that must be aligned.
 PERCENT = 80
@@ -28,13 +29,59 @@ TEMPLATES = (
     ("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT-notice", "Released under the MIT License."),
+    ("AGPL-3.0-notice", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("BSD-notice", "Released under the BSD License."),
+    ("CC-BY-4.0-notice", "Licensed under CC BY 4.0."),
+    ("CC-BY-NC-SA-4.0-notice", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-ND-4.0-notice", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-SA-4.0-notice", "Licensed under CC BY-SA 4.0."),
+    ("CC0-1.0-notice", "Released under the CC0 1.0 Universal Public Domain Dedication."),
+    ("EPL-2.0-notice", "Licensed under the Eclipse Public License, Version 2.0."),
+    ("GPL-2.0-notice", "This work is licensed under the GNU General Public License, version 2."),
+    ("ISC-notice", "Released under the ISC License."),
+    ("LGPL-2.1-notice", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0-notice", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("MPL-2.0-notice", "Licensed under the Mozilla Public License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
 )
 
+# The words that tell a license from its relatives (each must be aligned wherever it stands in the template), and
+# words of relatives that must not stand between the first and the last aligned word.
+TELLING = {
+    "Apache-2.0-notice": ("apache 2 0", ""),
+    "CC-BY-NC-4.0-notice": ("by nc 4 0", "sa nd"),
+    "GPL-3.0-notice": ("gnu general 3", "lesser affero library"),
+    "MIT-notice": ("mit", ""),
+    "AGPL-3.0-notice": ("affero 3", ""),
+    "BSD-notice": ("bsd", ""),
+    "CC-BY-4.0-notice": ("by 4 0", "nc sa nd"),
+    "CC-BY-NC-SA-4.0-notice": ("by nc sa 4 0", ""),
+    "CC-BY-ND-4.0-notice": ("by nd 4 0", "nc"),
+    "CC-BY-SA-4.0-notice": ("by sa 4 0", "nc"),
+    "CC0-1.0-notice": ("cc0", ""),
+    "EPL-2.0-notice": ("eclipse 2 0", ""),
+    "GPL-2.0-notice": ("gnu general 2", "lesser affero library"),
+    "ISC-notice": ("isc", ""),
+    "LGPL-2.1-notice": ("lesser 2 1", ""),
+    "LGPL-3.0-notice": ("lesser 3", ""),
+    "MPL-2.0-notice": ("mozilla 2 0", ""),
+    "Apache-2.0": ("apache 2 0", ""),
+    "AGPL-3.0": ("affero 3", ""),
+    "GPL-2.0": ("2", "lesser affero"),
+    "GPL-3.0": ("3", "lesser affero"),
+    "LGPL-3.0": ("lesser 3", "affero"),
+    "MPL-2.0": ("mozilla", ""),
+}
+
 #: ASCII letters lower-cased, all other ASCII but digits turned into spaces; words are what stands between.
 _WORDS = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 
@@ -114,24 +161,31 @@ def common(a: list, b: list) -> list[tuple[int, int]]:
     return out
 
 
+def hashes(text: str) -> np.ndarray:
+    body = np.frombuffer(text.encode().translate(_WORDS), np.uint8)
+    return word_hashes(body, np.array([0, len(body)]))[0]
+
+
 class Template:
-    def __init__(self, name: str, text: str):
-        body = np.frombuffer(text.encode().translate(_WORDS), np.uint8)
-        self.name = name
-        self.words = word_hashes(body, np.array([0, len(body)]))[0]
+    """A template's words, the positions among them that must be aligned, and words that must not stand between."""
+
+    def __init__(self, name: str, text: str, must: str, never: str):
+        self.name, self.words = name, hashes(text)
+        self.must = np.flatnonzero(np.isin(self.words, hashes(must)))
+        self.never = hashes(never)
 
 
 class Scanner:
     """Finds templates in the word hashes of texts."""
 
-    def __init__(self, templates: Iterable[tuple[str, str]], percent: int):
-        self.templates = [t for t in (Template(*x) for x in templates) if len(t.words)]
-        self.vocabulary = np.unique(np.concatenate([t.words for t in self.templates])) if self.templates else np.zeros(0, np.uint64)
+    def __init__(self, templates: Iterable[tuple[str, str]], percent: int, telling: dict[str, tuple[str, str]]):
+        self.templates = [t for t in (Template(*x, *telling.get(x[0], ("", ""))) for x in templates) if len(t.words)]
+        self.vocabulary = np.unique(np.concatenate([x for t in self.templates for x in (t.words, t.never)])) if self.templates else np.zeros(0, np.uint64)
         self.plans = []
         for t in self.templates:
             ids = np.searchsorted(self.vocabulary, t.words)
             need = (percent * len(ids) + 99) // 100
-            self.plans.append((t.name, ids.tolist(), np.bincount(ids, minlength=len(self.vocabulary)), need, max(16, len(ids))))
+            self.plans.append((t.name, ids.tolist(), np.bincount(ids, minlength=len(self.vocabulary)), need, max(16, len(ids)), set(t.must.tolist()), np.searchsorted(self.vocabulary, t.never)))
 
     def find(self, words: np.ndarray) -> list[tuple[str, int, int, int, int]]:
         """(license, aligned words, words of the template, first and one past the last aligned word of the text)."""
@@ -142,7 +196,7 @@ class Scanner:
         known = self.vocabulary[at] == words
         total = np.bincount(at[known], minlength=v)
         out = []
-        for name, ids, count, need, s in self.plans:
+        for name, ids, count, need, s, must, never in self.plans:
             if np.minimum(total, count).sum() < need:  # aligned words are a part of the shared ones
                 continue
             ours = np.where(known, at, -1)
@@ -152,7 +206,9 @@ class Scanner:
                 if np.minimum(np.bincount(part[part >= 0], minlength=v), count).sum() < need:
                     continue
                 pairs = align(part.tolist(), ids)
-                if len(pairs) >= need and (best is None or len(pairs) > best[0]):
+                if len(pairs) < need or best is not None and len(pairs) <= best[0]:
+                    continue
+                if must <= {q for _, q in pairs} and not np.isin(part[pairs[0][0] : pairs[-1][0] + 1], never).any():
                     best = (len(pairs), i + pairs[0][0], i + pairs[-1][0] + 1)
             if best:
                 out.append((name, best[0], len(ids), best[1], best[2]))
@@ -162,16 +218,18 @@ class Scanner:
 _OUT = "doc_id long, license string, aligned long, words long, start long, stop long"
 
 
-def scan_licenses(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLATES, percent: int = PERCENT, telling: dict[str, tuple[str, str]] = TELLING) -> DataFrame:
     """(doc_id, license, aligned, words, start, stop): every document with every template that it covers.
 
     Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased. With s the words of the template
     (16 at least), the windows of a text are its words [i s, (i + 2) s). A template is covered if in some window ``percent`` %
-    of its words are aligned; the row is that of the window with most aligned words, then the first. ``start`` and ``stop``
+    of its words are aligned, all its telling words among them, and no word of a relative (``telling``: license -> both, as
+    texts; a license without an entry has none) stands between the first and the last; the row is that of the window with
+    most aligned words, then the first. ``start`` and ``stop``
     number the text's words. Null and empty texts have none; a null id is kept; repeated rows give repeated results; an
     empty table gives no row; other columns are ignored. The templates go to every task; there are few of them.
     """
-    scanner = Scanner(templates, percent)
+    scanner = Scanner(templates, percent, telling)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _OUT.split(", ")]
@@ -184,7 +242,7 @@ def scan_licenses(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLA
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, _OUT)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(tidy(run), _OUT)
 
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -69,7 +69,14 @@ def test_against_all_windows(frame, prose, seed):
         for name, text in m.TEMPLATES:
             b = words(text)
             s = max(16, len(b))
-            n = max((len(m.align(own[i : i + 2 * s], b)) for i in range(0, len(own), s)), default=0)
+            must, never = map(words, m.TELLING.get(name, ("", "")))
+            n = 0
+            for i in range(0, len(own), s):
+                pairs = m.align(own[i : i + 2 * s], b)
+                assert len(pairs) <= lcs(own[i : i + 2 * s], b) if len(b) < 20 else True
+                if pairs and all(b.index(w) in [q for _, q in pairs] and b.count(w) == sum(b[q] == w for _, q in pairs) for w in must):
+                    if not set(never) & set(own[i + pairs[0][0] : i + pairs[-1][0] + 1]):
+                        n = max(n, len(pairs))
             if 100 * n >= 80 * len(b):
                 want[d, name] = (n, len(b))
     assert got == want and {k for _, k in want} == {k for k, _ in m.TEMPLATES}
@@ -83,6 +90,34 @@ def test_clean_texts_and_odd_rows(odd_frame, frame, prose):
     assert m.scan_licenses(df.limit(0)).count() == 0 and m.scan_licenses(df, []).count() == 0
 
 
+SENTENCES = [
+    ("Released under the BSD License.", {"BSD-notice"}),
+    ("Licensed under CC BY-SA 4.0.", {"CC-BY-SA-4.0-notice"}),
+    ("This text is licensed under CC BY 4.0.", {"CC-BY-4.0-notice"}),
+    ("Licensed under CC BY-NC 4.0.", {"CC-BY-NC-4.0-notice"}),
+    ("Licensed under CC BY-NC-SA 4.0.", {"CC-BY-NC-SA-4.0-notice"}),
+    ("Licensed under CC BY-NC-ND 4.0.", set()),
+    ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0-notice"}),
+    ("This work is licensed under the GNU General Public License, version 3.", {"GPL-3.0-notice"}),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", {"LGPL-3.0-notice"}),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", {"AGPL-3.0-notice"}),
+    ("Licensed under the Eclipse License, Version 2.0.", {"EPL-2.0-notice"}),
+    ("Licensed under the Mozilla Public License, Version 2.0.", {"MPL-2.0-notice"}),
+    ("Licensed under the Apache License, Version 2.0.", {"Apache-2.0-notice"}),
+    ("Licensed under the Apache License, Version 1.1.", set()),
+    ("Licensed under the Example License, Version 2.0.", set()),
+    ("Released under the Example License.", set()),
+    ("RELEASED under the\n# MIT license", {"MIT-notice"}),
+]
+
+
+def test_the_license_that_is_named(frame):
+    got = {i: set() for i in range(len(SENTENCES))}
+    for x in m.scan_licenses(frame([t for t, _ in SENTENCES])).collect():
+        got[x.doc_id].add(x.license)
+    assert [got[i] for i in range(len(SENTENCES))] == [w for _, w in SENTENCES]
+
+
 def test_gaps_of_any_size(frame):
     """No word is unique in doubled lines, so there is no anchor, and a window has more than 10,000 cells."""
     w = dict(m.TEMPLATES)["MIT"].split()
