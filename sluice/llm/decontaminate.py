@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, document_words, shingles, word_hashes
+from .base import bounded_batches, document_words, shingles, word_hashes, tidy
 
 #: BM25 parameters.
 K1, B = 1.2, 0.75
@@ -50,8 +50,8 @@ class Item:
 class Index:
     """Blocked inverted index. ``idf`` maps each term (sorted hashes) to its weight."""
 
-    def __init__(self, items: list[Item], terms: np.ndarray, idf: np.ndarray, percent: int):
-        self.items, self.terms = items, terms
+    def __init__(self, items: list[Item], terms: np.ndarray, idf: np.ndarray, percent: int, stride: int = 16):
+        self.items, self.terms, self.stride = items, terms, stride
         mean = sum(len(i.words) for i in items) / max(1, len(items))
         post: list[tuple[int, int, float]] = []
         essential = np.zeros(len(terms), bool)
@@ -77,7 +77,6 @@ class Index:
         self.block = self.item[new] // BLOCK if post else new
         self.block_max = np.maximum.reduceat(self.impact, new) if post else np.zeros(0)
         self.term_at = np.searchsorted(self.term[new], np.arange(len(terms) + 1)) if post else np.zeros(len(terms) + 1, np.int64)
-        self.stride = max([16, *(len(i.words) for i in items)])
 
     def retrieve(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (passage, item) whose score reaches the threshold; the input are distinct (passage, term) pairs."""
@@ -155,8 +154,8 @@ def _matches(index: Index, w: np.ndarray, percent: int, k: int) -> dict[int, tup
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, shared, n_shingles, answer_shared, answer_words): every document with every test item it leaks.
 
-    Words are runs outside ``[\\x20\\x09-\\x0D]`` after lower-casing A-Z. With s the words of the longest item of an index
-    (16 at least), the passages of a document are its words [i s, (i + 2) s), so any stretch as long as an item lies
+    Words are runs outside ``[\\x20\\x09-\\x0D]`` after lower-casing A-Z. With s the words of the longest item of the
+    whole benchmark (16 at least), the passages of a document are its words [i s, (i + 2) s), so any stretch as long as an item lies
     whole in one. A document leaks an item when one passage has ``percent`` % of the item's distinct k-word shingles (of
     an item of fewer words: the whole sequence) and half of the distinct words of its last sentence; ``shared`` and
     ``answer_shared`` are the largest over such passages. Documents and items without words leak nothing; rows with
@@ -164,12 +163,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int
     other columns are ignored.
     """
     docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    stride = max(16, longest(benchmark))
     parts = []
     for items in _item_groups(benchmark, k):
-        parts.append(_against(docs, items, k, percent))
+        parts.append(_against(docs, items, k, percent, stride))
     return functools.reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], _OUT)
 
 
+def longest(benchmark: DataFrame) -> int:
+    """Words of the longest item, over all of them: passages do not depend on how items are dealt over indexes."""
+
+    def most(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([max((len(w) for _, w in document_words(b.column("text"))), default=0)], pa.int64())], names=["n"])
+
+    return benchmark.select(F.col("text").alias("text")).mapInArrow(tidy(most), "n long").agg(F.max("n")).first()[0] or 0
+
+
 def _item_groups(benchmark: DataFrame, k: int) -> Iterator[list[Item]]:
     held: list[Item] = []
     size = 0
@@ -186,7 +196,7 @@ def _item_groups(benchmark: DataFrame, k: int) -> Iterator[list[Item]]:
         yield held
 
 
-def _against(docs: DataFrame, items: list[Item], k: int, percent: int) -> DataFrame:
+def _against(docs: DataFrame, items: list[Item], k: int, percent: int, stride: int) -> DataFrame:
     terms = np.unique(np.concatenate([i.words for i in items]))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,11 +209,11 @@ def _against(docs: DataFrame, items: list[Item], k: int, percent: int) -> DataFr
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms))), pa.array(np.roll(total, 1))], names=["t", "n"])
 
     # document frequency of each term over all documents; number -1 counts the documents
-    table = docs.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    table = docs.select("text").mapInArrow(tidy(count), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(terms) + 1)
     df[table.column("t").to_numpy() + 1] = table.column("n").to_numpy()
     idf = np.log(1 + (df[0] - df[1:] + 0.5).clip(0.5) / (df[1:] + 0.5))
-    index = Index(items, terms, idf, percent)
+    index = Index(items, terms, idf, percent, stride)
 
     def query(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _OUT.split(", ")]
@@ -217,7 +227,7 @@ def _against(docs: DataFrame, items: list[Item], k: int, percent: int) -> DataFr
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
-    return docs.mapInArrow(query, _OUT)
+    return docs.mapInArrow(tidy(query), _OUT)
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -50,6 +50,17 @@ def case(seed):
     return texts, items
 
 
+def test_the_answer_does_not_depend_on_the_indexes(spark, frame, monkeypatch):
+    """Short items beside a long one, in one index and in many: the passages are those of the whole benchmark."""
+    monkeypatch.setattr(m, "INDEX_BYTES", 200)
+    texts, items = case(4)
+    items.append(" ".join(f"q{i}" for i in range(400)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): tuple(r)[2:] for r in m.contaminated(frame(texts, 4), bench.where("item_id % 6 = 0 or item_id > 50"), percent=60).collect()}
+    kept = [t if i % 6 == 0 or i > 50 else None for i, t in enumerate(items)]
+    assert got == brute(texts, kept, percent=60) and len(got) > 5
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_against_brute_force(spark, frame, seed):
     texts, items = case(seed)
