@@ -3,7 +3,8 @@
 Each language has a probability for every piece of a fixed public vocabulary. The probability of a word is the sum
 over all its segmentations into pieces, by the forward algorithm; a text is the product over its words. The piece
 probabilities are fitted by expectation-maximisation (forward-backward over all segmentations) on the counts of
-each language's words, gathered from a bounded sample of the labelled training documents.
+each language's words, gathered from a bounded sample of the labelled training documents. Predictions look at whole words of
+any length.
 """
 
 from __future__ import annotations
@@ -21,15 +22,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import bounded_batches
+from .base import bounded_batches, tidy
 
-#: Most frequent words of a language that the fit uses, and most languages told apart (the fit runs on the driver).
-WORDS_PER_LANGUAGE, LANGUAGES = 20_000, 200
+#: Most frequent words of a language that the fit uses, of FIT_CHARS letters at most. The fit runs on the driver, one
+#: language after the other.
+WORDS_PER_LANGUAGE, FIT_CHARS = 20_000, 32
 #: Labelled documents of a language that the fit uses, about.
 SAMPLE_PER_LANGUAGE = 5_000
 EM_ROUNDS = 3
-#: Longest piece, in characters; longer words are scored in stretches of WORD_CHARS.
-PIECE_CHARS, WORD_CHARS = 8, 24
+#: Words above so many letters are scored with scaled sums, about LONG_LETTERS of them at once.
+LONG_WORD, LONG_LETTERS = 24, 200_000
 #: Distinct words whose scores are remembered by a task.
 MEMO = 200_000
 #: Texts scored in one call.
@@ -45,19 +47,16 @@ _SPLIT = re.compile(r"[^\W\d_]+")
 
 
 def pieces_of(model_path: str) -> dict[str, int]:
-    """The vocabulary: every letters-only piece of a sentencepiece model up to PIECE_CHARS, lower-cased, without the
-    word marker; single characters come in as they are met (see ``Forward``)."""
+    """The vocabulary: every letters-only piece of a sentencepiece model, lower-cased, without the word marker, as words
+    are; single characters come in as they are met (see ``Forward``)."""
     sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
     found = {sp.id_to_piece(i).replace("▁", "").lower() for i in range(sp.get_piece_size())}
-    return {p: k for k, p in enumerate(sorted(p for p in found if 0 < len(p) <= PIECE_CHARS and _SPLIT.fullmatch(p)))}
+    return {p: k for k, p in enumerate(sorted(p for p in found if _SPLIT.fullmatch(p)))}
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased; very long runs are cut into stretches, all of which count."""
-    out = _SPLIT.findall(text.lower())
-    if any(len(w) > WORD_CHARS for w in out):
-        out = [w[i : i + WORD_CHARS] for w in out for i in range(0, len(w), WORD_CHARS)]
-    return out
+    """Runs of letters, lower-cased."""
+    return _SPLIT.findall(text.lower())
 
 
 class Forward:
@@ -67,6 +66,7 @@ class Forward:
         self.vocabulary = vocabulary
         self.p = np.vstack([p, np.full((1, p.shape[1]), UNKNOWN)])
         self.unknown = len(p)
+        self.longest = max(map(len, vocabulary), default=1)
 
     def lattice(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For words of one length, per end position: (word row, start, piece)."""
@@ -74,7 +74,7 @@ class Forward:
         out = []
         for end in range(1, n + 1):
             rows, starts, ids = [], [], []
-            for start in range(max(0, end - PIECE_CHARS), end):
+            for start in range(max(0, end - self.longest), end):
                 found = [get(w[start:end], -1) for w in words]
                 if end - start == 1:
                     found = [self.unknown if k < 0 else k for k in found]
@@ -90,7 +90,7 @@ class Forward:
         alpha = np.zeros((len(lattice) + 1, m, self.p.shape[1]))
         alpha[0] = 1
         for end, (rows, starts, ids) in enumerate(lattice, 1):
-            for start in range(max(0, end - PIECE_CHARS), end):
+            for start in range(max(0, end - self.longest), end):
                 k = starts == start
                 alpha[end, rows[k]] += alpha[start, rows[k]] * self.p[ids[k]]
         return alpha
@@ -101,11 +101,55 @@ class Forward:
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
-        for own in by_length.values():
+        for n in [n for n in by_length if n <= LONG_WORD]:
+            own = by_length.pop(n)
             for j in range(0, len(own), 20_000):
                 part = own[j : j + 20_000]
                 alpha = self._forward(self.lattice([words[i] for i in part]), len(part))
                 out[part] = np.log(alpha[-1])
+        held: list[int] = []
+        for n in sorted(by_length):  # words of about the same length together
+            for i in by_length[n]:
+                held.append(i)
+                if n * len(held) * self.p.shape[1] >= 4 * LONG_LETTERS or n > 2 * len(words[held[0]]):
+                    out[held] = self._long(held, words)
+                    held = []
+        if held:
+            out[held] = self._long(held, words)
+        return out
+
+    def _long(self, which: list[int], words: list[str]) -> np.ndarray:
+        """As ``log_scores``, for long words, shortest first: only the sums that the longest piece can reach back to are
+        kept, and each word's are scaled to 1 at every position, so that nothing vanishes."""
+        own, get = [words[i] for i in which], self.vocabulary.get
+        m, back = len(own), self.longest
+        size = np.array([len(w) for w in own])
+        out, scale = np.empty((m, self.p.shape[1])), np.zeros((m, self.p.shape[1]))
+        window = np.zeros((back, m, self.p.shape[1]))  # window[end % back]: sums up to end
+        window[0] = 1
+        first = 0  # words before it have ended
+        for end in range(1, int(size[-1]) + 1):
+            rows, starts, ids = [], [], []
+            for r in range(first, m):
+                w = own[r]
+                for start in range(max(0, end - back), end):
+                    k = get(w[start:end])
+                    if k is None:
+                        if start < end - 1:
+                            continue
+                        k = self.unknown
+                    rows.append(r)
+                    starts.append(start % back)
+                    ids.append(k)
+            now = np.zeros((m, self.p.shape[1]))
+            np.add.at(now, rows, window[starts, rows] * self.p[ids])
+            top = np.where(now > 0, now, 1.0)
+            window /= top
+            window[end % back] = now > 0
+            scale += np.log(top)
+            done = int(np.searchsorted(size, end, "right"))
+            out[first:done] = scale[first:done]
+            first = done
         return out
 
     def expectation(self, words: list[str], counts: np.ndarray) -> np.ndarray:
@@ -122,7 +166,7 @@ class Forward:
             weight = counts[own] / alpha[n]
             for end in range(n, 0, -1):
                 rows, starts, ids = lattice[end - 1]
-                for start in range(max(0, end - PIECE_CHARS), end):
+                for start in range(max(0, end - self.longest), end):
                     k = starts == start
                     r, p = rows[k], ids[k]
                     through = beta[end, r] * self.p[p]
@@ -155,18 +199,22 @@ class LanguageModel:
         vocabulary = dict(vocabulary)
         for c in sorted({c for own in counts.values() for w in own for c in w}):
             vocabulary.setdefault(c, len(vocabulary))
-        words = sorted({w for own in counts.values() for w in own})
-        table = np.array([[counts[g].get(w, 0) for g in languages] for w in words], float).reshape(len(words), len(languages))
-        # start: pieces in proportion to how often they occur anywhere, so that no segmentation is excluded
-        p = np.full((len(vocabulary), len(languages)), 1 / max(1, len(vocabulary)))
-        for _ in range(rounds if words else 0):
-            uses = Forward(vocabulary, p).expectation(words, table)[:-1]
-            uses += 0.01  # smoothing: every piece stays possible in every language
-            p = uses / uses.sum(0)
-        if not words:
-            return cls(languages, vocabulary, p)
-        score, letters = Forward(vocabulary, p).log_scores(words), np.array([len(w) for w in words])
-        return cls(languages, vocabulary, p, (table * score).sum(0) / np.maximum(1, letters @ table))
+        p, usual = np.full((len(vocabulary), len(languages)), 1 / max(1, len(vocabulary))), np.full(len(languages), -np.inf)
+        for g, language in enumerate(languages):  # the languages do not depend on each other
+            words = sorted(counts[language])
+            if not words:
+                continue
+            n = np.array([[counts[language][w]] for w in words], float)
+            # start: all pieces alike, so that no segmentation is excluded
+            own = p[:, g : g + 1]
+            for _ in range(rounds):
+                uses = Forward(vocabulary, own).expectation(words, n)[:-1]
+                uses += 0.01  # smoothing: every piece stays possible in every language
+                own = uses / uses.sum(0)
+            p[:, g : g + 1] = own
+            score, letters = Forward(vocabulary, own).log_scores(words), np.array([len(w) for w in words])
+            usual[g] = (n * score).sum() / max(1, letters @ n[:, 0])
+        return cls(languages, vocabulary, p, usual)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language or ``und``, its posterior). Without letters, or without any language learned: ``und`` and 0."""
@@ -208,8 +256,9 @@ def fit_language_model(docs: DataFrame, model_path: str, words_per_language: int
     """Learn from ``text`` and non-null ``lang`` of documents that are not held out.
 
     The fit uses a bounded sample: about ``sample`` documents of each language, chosen by a hash of the id (all of
-    them where a language has fewer), and of these the most frequent words; LANGUAGES x ``words_per_language`` rows
-    at most go to the driver. Without any labelled document the model knows no language.
+    them where a language has fewer), and of these the most frequent words of FIT_CHARS letters at most; so many rows a
+    language at most go to the driver. Every label is a language, however rare; a task's memory grows with the number of
+    labels (pieces x languages). Without any labelled document the model knows no language.
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,19 +271,19 @@ def fit_language_model(docs: DataFrame, model_path: str, words_per_language: int
 
         for b in batches:
             for text, lang in zip(b.column("text"), b.column("lang").to_pylist()):
-                total.setdefault(lang, Counter()).update(words_of(text.as_py()))
+                total.setdefault(lang, Counter()).update(w for w in words_of(text.as_py()) if len(w) <= FIT_CHARS)
             if sum(map(len, total.values())) > MEMO:
                 yield flush()
         if any(total.values()):
             yield flush()
 
     labelled = bounded_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held())
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return LanguageModel.fit({}, {})
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, sample / r.n))])
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("text", "lang")
-    words = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = chosen.mapInArrow(tidy(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     counts: dict[str, dict[str, int]] = {}
     for lang, word, n in words.withColumn("r", rank).where(F.col("r") <= words_per_language).select("lang", "word", "n").toLocalIterator():
@@ -260,7 +309,7 @@ def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, ...] = ("l
                 more = [pa.array([x[j] for x in found], k) for j, (_, (_, k)) in enumerate(zip(names, kinds))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *names])
 
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(tidy(predict), schema)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -30,6 +30,31 @@ def test_forward_sums_all_segmentations():
             assert row[g] == pytest.approx(math.log(want))
 
 
+def test_long_words_are_scored_whole():
+    """Words of any length, by sums in logarithms over all segmentations."""
+    r = np.random.default_rng(3)
+    pieces = {p: k for k, p in enumerate(["a", "b", "ab", "aba", "ba", "bbabbabab", "c" * 30])}
+    p = r.random((7, 3)) * 1e-3
+    words = ["".join(r.choice(list("abcx"), n)) for n in (25, 25, 26, 40, 70, 300, 900)] + ["c" * 61, "ab" * 50]
+    got = m.Forward(pieces, p).log_scores(words)
+    for w, row in zip(words, got):
+        for g in range(3):
+            at = [0.0] + [-math.inf] * len(w)
+            for end in range(1, len(w) + 1):
+                parts = [at[s] + math.log(p[pieces[w[s:end]], g] if w[s:end] in pieces else m.UNKNOWN) for s in range(max(0, end - 30), end) if w[s:end] in pieces or s == end - 1]
+                at[end] = max(parts) + math.log(sum(math.exp(x - max(parts)) for x in parts))
+            assert row[g] == pytest.approx(at[-1])
+
+
+def test_every_label_is_a_language(frame):
+    texts = [f"{a}{b}ta {b}{a}no" for a in "bcdfghjklm" for b in "aeiou" for _ in range(6)]
+    train = frame(texts).selectExpr("doc_id", "text", "concat('l', doc_id div 6) lang")
+    model = m.fit_language_model(train.unionByName(train.selectExpr("doc_id + 1000 doc_id", "text", "lang")), MODEL)
+    assert len(model.languages) == 50
+    got = {r.doc_id: r.lang_pred for r in m.identify(train, model).collect()}
+    assert sum(got[i] == f"l{i // 6}" for i in got) > 0.9 * len(got)
+
+
 def test_expectation_by_enumeration():
     pieces = {p: k for k, p in enumerate(["a", "b", "ab", "aba", "ba", "bb"])}
     p = np.random.default_rng(2).random((6, 1))
