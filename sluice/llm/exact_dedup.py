@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bloom_of, bounded_batches, materialize, shuffle_partitions
+from .base import bloom_of, bounded_batches, materialize, shuffle_partitions, tidy
 
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Limits of a memtable: bytes of distinct normalised text, and rows.
@@ -108,7 +108,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if table.rows:
             yield table.flush(part + flushed)
 
-    runs = materialize(docs.mapInArrow(to_runs, _RUN_DDL), "runs")
+    runs = materialize(docs.mapInArrow(tidy(to_runs), _RUN_DDL), "runs")
     heads = runs.where("head")
     # compaction, first half: digests of several runs; a count per digest needs no text
     several = heads.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
@@ -144,8 +144,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int32()))], names=["digest", "doc_id", "variant"])
 
-    texts = docs.mapInArrow(candidates, "digest binary, doc_id long, norm binary")
-    variants = texts.repartition(shuffle_partitions(spark), "digest").sortWithinPartitions("digest", F.col("doc_id").asc_nulls_last()).mapInArrow(verify, "digest binary, doc_id long, variant int").distinct()
+    texts = docs.mapInArrow(tidy(candidates), "digest binary, doc_id long, norm binary")
+    variants = texts.repartition(shuffle_partitions(spark), "digest").sortWithinPartitions("digest", F.col("doc_id").asc_nulls_last()).mapInArrow(tidy(verify), "digest binary, doc_id long, variant int").distinct()
     v = variants.select(F.col("digest").alias("v_digest"), F.col("doc_id").alias("v_id"), "variant")
     known = hits.join(v, (hits.digest == v.v_digest) & hits.rep_id.eqNullSafe(v.v_id)).select("digest", "rep_id", "rep_chars", "rep_size", "run", "variant")
     known = materialize(known, "verified")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, bloom_of, bounded_batches, components, discard, document_words, int_list, materialize, mix, shingles, shuffle_partitions, small, text_bytes
+from .base import U64, bloom_of, bounded_batches, components, discard, document_words, int_list, materialize, mix, shingles, shuffle_partitions, small, text_bytes, tidy
 
 #: Words and shingles whose frequency is known to the token orders; all others count as rarer. The tables (3 MB) go to every
 #: task. They decide about the orders only, never about the result.
@@ -73,7 +73,7 @@ def levels(docs: DataFrame, k: int) -> tuple[tuple[np.ndarray, np.ndarray], tupl
         if held[0]:
             yield close()
 
-    counted = materialize(docs.select("text").mapInArrow(count, "kind int, w long, n long").groupBy("kind", "w").agg(F.sum("n").alias("n")), "counts")
+    counted = materialize(docs.select("text").mapInArrow(tidy(count), "kind int, w long, n long").groupBy("kind", "w").agg(F.sum("n").alias("n")), "counts")
     out = []
     for kind, most in enumerate((FREQUENT_WORDS, FREQUENT_SHINGLES)):
         top = counted.where(F.col("kind") == kind).select("w", "n").orderBy(F.desc("n"), "w").limit(most).toArrow()
@@ -146,7 +146,7 @@ def token_rows(docs: DataFrame, orders: Orders) -> DataFrame:
             columns = zip(*out) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=[c.split()[0] for c in _ROW_DDL.split(", ")])
 
-    return docs.mapInArrow(rows, _ROW_DDL)
+    return docs.mapInArrow(tidy(rows), _ROW_DDL)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -223,8 +223,8 @@ def posting_lists(nodes: DataFrame) -> DataFrame:
         if held:
             yield close(held)
 
-    dealt = nodes.select("rep", "p1").mapInArrow(deal, "bucket int, kind int, tok binary, rep binary, head binary")
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "tok long, rep long, head long")
+    dealt = nodes.select("rep", "p1").mapInArrow(tidy(deal), "bucket int, kind int, tok binary, rep binary, head binary")
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(gather), "tok long, rep long, head long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -238,7 +238,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             if hit.any():
                 yield b.filter(pa.array(hit))
 
-    texts = materialize(docs.where("doc_id is not null").mapInArrow(wanted, "doc_id long, text string"), "texts")
+    texts = materialize(docs.where("doc_id is not null").mapInArrow(tidy(wanted), "doc_id long, text string"), "texts")
     tx = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
     ty = texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty"))
 
@@ -251,7 +251,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 keep.append(both > 0 and 100 * both >= percent * (len(a) + len(c) - both))
             yield b.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    out = materialize(pairs.select("x", "y").join(tx, "x").join(ty, "y").select("x", "y", "tx", "ty").mapInArrow(compare, "x long, y long").distinct(), "links")
+    out = materialize(pairs.select("x", "y").join(tx, "x").join(ty, "y").select("x", "y", "tx", "ty").mapInArrow(tidy(compare), "x long, y long").distinct(), "links")
     discard(texts)
     return out
 
@@ -354,7 +354,7 @@ def across(lists: DataFrame, forest: DataFrame, nodes: DataFrame, percent: int)
             yield close()
 
     by = ["tok", "i", "j"]
-    pairs = materialize(dealt.repartition(parts, *by).sortWithinPartitions(*by, "side").mapInArrow(compare, "x long, y long").distinct(), "rest")
+    pairs = materialize(dealt.repartition(parts, *by).sortWithinPartitions(*by, "side").mapInArrow(tidy(compare), "x long, y long").distinct(), "rest")
     discard(mixed)
     return pairs
 
@@ -386,8 +386,8 @@ def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         side = lambda s: own.select(F.col("rep").alias(s), *[F.col(c).alias(s + c) for c in columns])
         return pairs.join(side("x"), "x").join(side("y"), "y")
 
-    near = materialize(with_sides(pairs, ["n", "sig"]).select("x", "y", "xn", "yn", "xsig", "ysig").mapInArrow(check(["xn", "yn", "xsig", "ysig"], close_enough), "x long, y long"), "near")
-    kept = materialize(with_sides(near, ["p2", "p3"]).select("x", "y", "xp2", "yp2", "xp3", "yp3").mapInArrow(check(["xp2", "yp2", "xp3", "yp3"], meet), "x long, y long"), "pairs")
+    near = materialize(with_sides(pairs, ["n", "sig"]).select("x", "y", "xn", "yn", "xsig", "ysig").mapInArrow(tidy(check(["xn", "yn", "xsig", "ysig"], close_enough)), "x long, y long"), "near")
+    kept = materialize(with_sides(near, ["p2", "p3"]).select("x", "y", "xp2", "yp2", "xp3", "yp3").mapInArrow(tidy(check(["xp2", "yp2", "xp3", "yp3"], meet)), "x long, y long"), "pairs")
     discard(near)
     return kept
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, materialize
+from .base import bounded_batches, materialize, tidy
 from .tokens import crc32, tokenizer
 
 #: Open windows of a partition.
@@ -147,7 +147,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0
 
         return merge
 
-    table = materialize(docs.mapInArrow(online, _PIECE_DDL), "packed")
+    table = materialize(docs.mapInArrow(tidy(online), _PIECE_DDL), "packed")
     done = [table.where("not open")]
     level = 1
     while True:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, materialize, shared_dir, shuffle_partitions
+from .base import bounded_batches, materialize, shared_dir, shuffle_partitions, tidy
 from .tokens import crc32, tokenizer
 
 #: Ids in a shard, about; a longer document is a shard of its own.
@@ -223,7 +223,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
     where, root = fs.FileSystem.from_uri(folder)
     where.create_dir(root, recursive=True)
-    shards = materialize(ordered.mapInArrow(write, _SHARD_DDL), "shards")
+    shards = materialize(ordered.mapInArrow(tidy(write), _SHARD_DDL), "shards")
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return shards.join(parts.select("part", "before"), "part").withColumn("base", F.col("before") + inside).drop("before")
@@ -247,7 +247,7 @@ def read_shards(shards: DataFrame, folder: str, keep_ids: bool = False) -> DataF
                     columns.append(pa.array([d.astype("<u4").tobytes() for d in docs], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ddl.split(", ")])
 
-    return shards.select("path", "base").repartition(shuffle_partitions(spark), "path").mapInArrow(read, ddl)
+    return shards.select("path", "base").repartition(shuffle_partitions(spark), "path").mapInArrow(tidy(read), ddl)
 
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:
