@@ -71,7 +71,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 #: Bytes of Arrow data handed to a Python worker at once, unless the session has a setting of its own.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
