@@ -1,4 +1,4 @@
-"""Text, ranking and detection metrics as queries: partial sums per row, combined by grouping."""
+"""Text and ranking metrics as queries: partial sums per row, combined by grouping."""
 
 from __future__ import annotations
 
@@ -115,44 +115,3 @@ def roc_auc(df: DataFrame, score: str, target: str) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
     g = g.join(blocks, "part").withColumn("before", F.col("p0") + F.coalesce(F.sum("p").over(inside), F.lit(0)))
     return g.agg(F.sum(F.col("q") * (F.col("before") + F.col("p") / 2)).alias("a"), F.sum("p").alias("pos"), F.sum("q").alias("neg")).select((F.col("a") / F.nullif(F.col("pos") * F.col("neg"), F.lit(0))).alias("auc"))
-
-
-def coco(truth: DataFrame, found: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)) -> DataFrame:
-    """(class, threshold, ap, recall): greedy matching per image and class by falling score, then a precision-recall
-    curve per class with 101 recall points. Groups are the boxes of an image, which detectors bound."""
-    sides = ["ymin", "xmin", "ymax", "xmax"]
-    levels = list(thresholds)
-
-    def match(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(["truth", "score", "k"], ascending=[True, False, True])
-        t, d = pdf[pdf.truth == 1][sides].to_numpy(), pdf[pdf.truth == 0]
-        b = d[sides].to_numpy()
-        h = np.minimum(b[:, None, 2], t[None, :, 2]) - np.maximum(b[:, None, 0], t[None, :, 0])
-        w = np.minimum(b[:, None, 3], t[None, :, 3]) - np.maximum(b[:, None, 1], t[None, :, 1])
-        both = np.maximum(h, 0) * np.maximum(w, 0)
-        area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-        iou = both / np.maximum(area(b)[:, None] + area(t)[None] - both, 1e-12)
-        out = []
-        for level in levels:
-            free = np.ones(len(t), bool)
-            for i in range(len(b)):
-                own = np.where(free, iou[i], -1) if len(t) else np.zeros(0)
-                hit = len(t) > 0 and own.max() >= level
-                if hit:
-                    free[own.argmax()] = False
-                out.append((int(pdf["class"].iloc[0]), level, float(d.score.iloc[i]), int(d.k.iloc[i]), int(pdf.img.iloc[0]), int(hit)))
-        return pd.DataFrame(out, columns=["class", "threshold", "score", "k", "img", "hit"])
-
-    both = truth.select("img", "class", "k", *sides, F.lit(0.0).alias("score"), F.lit(1).alias("truth")).unionByName(found.select("img", "class", "k", *sides, F.col("score").cast("double"), F.lit(0).alias("truth")))
-    hits = both.groupBy("img", "class").applyInPandas(match, "class long, threshold double, score double, k long, img long, hit int")
-    total = truth.groupBy("class").agg(F.count("*").alias("total"))
-    w = Window.partitionBy("class", "threshold").orderBy(F.desc("score"), "img", "k")
-    curve = hits.withColumns({"n": F.row_number().over(w), "tp": F.sum("hit").over(w.rowsBetween(Window.unboundedPreceding, 0))}).join(total, "class")
-    curve = curve.withColumns({"recall": F.col("tp") / F.col("total"), "precision": F.col("tp") / F.col("n")})
-    curve = curve.withColumn("best", F.max("precision").over(w.rowsBetween(0, Window.unboundedFollowing)))
-    # a recall point r takes the precision of the first place that reaches it
-    step = F.floor(F.col("recall") * 100) - F.floor(F.coalesce(F.lag("recall").over(w), F.lit(-0.01)) * 100)
-    return curve.withColumn("step", step).groupBy("class", "threshold").agg(F.round(F.sum(F.col("step") * F.col("best")) / 101, 6).alias("ap"), F.round(F.max("recall"), 6).alias("recall"))

@@ -154,25 +154,21 @@ def sample_balanced(df: DataFrame, group: str, label: str, order: str, size: int
 
 
 def nms(df: DataFrame, group: list[str], score: str, key: str, threshold: float, most: int) -> DataFrame:
-    """Greedy non-maximum suppression per group (an image's class), which is inherently sequential. A group is the
-    detections of one image and class, which detectors bound."""
-    def run(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values([score, key], ascending=[False, True])
-        b = pdf[list(SIDES)].to_numpy()
-        size = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        alive, keep = np.ones(len(b), bool), []
-        for i in range(len(b)):
-            if alive[i] and len(keep) < most:
-                keep.append(i)
-                h = np.minimum(b[i, 2], b[:, 2]) - np.maximum(b[i, 0], b[:, 0])
-                w = np.minimum(b[i, 3], b[:, 3]) - np.maximum(b[i, 1], b[:, 1])
-                both = np.maximum(h, 0) * np.maximum(w, 0)
-                alive &= both <= threshold * (size[i] + size - both)
-        return pdf.iloc[keep]
-
-    return df.groupBy(*group).applyInPandas(run, df.schema)
+    """Greedy non-maximum suppression per group (an image's class), ``most`` boxes at most: a fold over the boxes of a
+    group, best score first, inside the JVM. A group is the detections of one image and class, which detectors bound.
+    Ties go to the smaller key; null scores come last; a box with a null side meets none."""
+    kept = F.struct((-F.col(score).cast("double")).alias("low"), F.col(key).alias("key"), *[F.col(s).cast("double").alias(s) for s in SIDES], F.struct(*df.columns).alias("row"))
+    last = F.struct(F.col(score).isNull().alias("none"), kept.alias("b"))
+    sides = lambda x: [x[s] for s in SIDES]
+
+    def covers(a: Column, b: Column) -> Column:
+        both = intersection(sides(a), sides(b))
+        return F.coalesce(both > threshold * (area(sides(a)) + area(sides(b)) - both), F.lit(False))
+
+    g = df.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(last)), lambda x: x.b).alias("_all"))
+    none = F.filter("_all", lambda x: F.lit(False))
+    fold = F.aggregate("_all", none, lambda acc, x: F.when((F.size(acc) < most) & ~F.exists(acc, lambda y: covers(y, x)), F.concat(acc, F.array(x))).otherwise(acc))
+    return g.select(F.explode(fold).alias("_kept")).select("_kept.row.*")
 
 
 def hard_negatives(df: DataFrame, group: str, positive: str, loss: str, ratio: int = 3) -> DataFrame:

@@ -148,7 +148,16 @@ def win_hard_neg_topk(spark, sf):
     return B.hard_negatives(boxes(spark, sf).withColumn("pos", F.col("class") == 0), "img", "pos", "score").select("img", "k", "hard")
 
 
-@query("nms")
+# boxes of an image's class in the order of falling score; a row adds itself to the list of kept ones unless one of them covers it
+_OVER = "list_filter(kept, lambda y: greatest(least(y.ymax, o.ymax) - greatest(y.ymin, o.ymin), 0) * greatest(least(y.xmax, o.xmax) - greatest(y.xmin, o.xmin), 0) > 0.5 * ((y.ymax - y.ymin) * (y.xmax - y.xmin) + (o.ymax - o.ymin) * (o.xmax - o.xmin) - greatest(least(y.ymax, o.ymax) - greatest(y.ymin, o.ymin), 0) * greatest(least(y.xmax, o.xmax) - greatest(y.xmin, o.xmin), 0)))"
+_BOX = "{'k': o.k, 'ymin': o.ymin, 'xmin': o.xmin, 'ymax': o.ymax, 'xmax': o.xmax}"
+NMS_SQL = f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY img, class ORDER BY score DESC, k) AS rn FROM {BOX_SQL}),
+ r AS (SELECT img, class, rn, [{_BOX}] AS kept FROM o WHERE rn = 1
+  UNION ALL SELECT o.img, o.class, o.rn, CASE WHEN len(kept) < 100 AND len({_OVER}) = 0 THEN list_append(kept, {_BOX}) ELSE kept END FROM r JOIN o ON o.img = r.img AND o.class = r.class AND o.rn = r.rn + 1)
+SELECT img, unnest(kept).k AS k FROM (SELECT img, class, max_by(kept, rn) AS kept FROM r GROUP BY 1, 2)"""
+
+
+@query("nms", NMS_SQL)
 def nms(spark, sf):
     b = boxes(spark, sf)
     return B.nms(b.select("img", "k", *B.SIDES, "score", "class"), ["img", "class"], "score", "k", 0.5, 100).select("img", "k")
@@ -159,12 +168,40 @@ def agg_matched(spark, sf):
     return matches(spark, sf).groupBy("img").agg(F.sum((F.col("match") >= 0).cast("long")).alias("matched"))
 
 
-@query("agg_coco")
+# candidates of a detection, best first; the detections that have some, in the order of falling score, take the first that is free
+_COCO_SQL = f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY img, class ORDER BY score DESC, k) AS rank FROM {BOX_SQL} WHERE k % 2 = 0),
+ p AS (SELECT b.img, b.class, b.rank, list({{'k': a.k, 'iou': {_IOU}}} ORDER BY {_IOU} DESC, a.k DESC) AS near FROM (SELECT * FROM {BOX_SQL} WHERE k % 2 = 1) a JOIN d b ON a.img = b.img AND a.class = b.class WHERE b.rank <= 100 AND {_IOU} >= 0.5 GROUP BY 1, 2, 3),
+ q AS (SELECT p.*, l.i / 100.0 AS level, row_number() OVER (PARTITION BY img, class, l.i ORDER BY rank) AS rn FROM p, (VALUES (50), (55), (60), (65), (70), (75), (80), (85), (90), (95)) l(i)),
+ r AS (SELECT img, class, level, rn, rank, list_filter(near, lambda c: c.iou >= level)[1].k AS got, list_filter([list_filter(near, lambda c: c.iou >= level)[1].k], lambda k: k IS NOT NULL) AS taken FROM q WHERE rn = 1
+  UNION ALL SELECT q.img, q.class, q.level, q.rn, q.rank, list_filter(q.near, lambda c: c.iou >= q.level AND NOT list_contains(r.taken, c.k))[1].k,
+   list_concat(r.taken, list_filter([list_filter(q.near, lambda c: c.iou >= q.level AND NOT list_contains(r.taken, c.k))[1].k], lambda k: k IS NOT NULL))
+  FROM r JOIN q ON q.img = r.img AND q.class = r.class AND q.level = r.level AND q.rn = r.rn + 1),
+ n AS (SELECT class, CAST(count(*) AS BIGINT) AS total FROM {BOX_SQL} WHERE k % 2 = 1 GROUP BY 1),
+ s AS (SELECT d.class, l.i / 100.0 AS threshold, row_number() OVER (PARTITION BY d.class, l.i ORDER BY score DESC, d.img, d.rank) AS seen,
+   count(r.got) OVER (PARTITION BY d.class, l.i ORDER BY score DESC, d.img, d.rank ROWS UNBOUNDED PRECEDING) AS hits
+  FROM d CROSS JOIN (VALUES (50), (55), (60), (65), (70), (75), (80), (85), (90), (95)) l(i) LEFT JOIN r ON r.img = d.img AND r.class = d.class AND r.rank = d.rank AND r.level = l.i / 100.0 WHERE d.rank <= 100),
+ c AS (SELECT s.class, threshold, p.i AS point, max(hits / seen) FILTER (100 * hits >= p.i * total) AS best FROM (SELECT class, threshold, hits, min(seen) AS seen FROM s WHERE hits > 0 GROUP BY 1, 2, 3) s JOIN n ON n.class = s.class, range(101) p(i) GROUP BY 1, 2, 3)
+SELECT n.class, CAST(l.i / 100.0 AS DOUBLE) AS threshold, round(coalesce((SELECT sum(best) FROM c WHERE c.class = n.class AND c.threshold = l.i / 100.0), 0) / 101, 6) AS ap,
+ round(coalesce((SELECT max(hits) FROM s WHERE s.class = n.class AND s.threshold = l.i / 100.0), 0) / total, 6) AS recall
+FROM n, (VALUES (50), (55), (60), (65), (70), (75), (80), (85), (90), (95)) l(i)"""
+
+
+def detections(spark, sf):
+    b = boxes(spark, sf)
+    return b.where("k % 2 = 1").select("img", "class", F.col("k").cast("long").alias("k"), *B.SIDES), b.where("k % 2 = 0").select("img", "class", "k", *B.SIDES, "score")
+
+
+@query("agg_coco", _COCO_SQL)
 def agg_coco(spark, sf):
     """Average precision and recall of detections against truth at ten thresholds: greedy matching per image and class."""
-    from ..functions.metrics import coco
+    from ..functions.detection import coco
 
-    b = boxes(spark, sf)
-    truth = b.where("k % 2 = 1").select("img", "class", "k", *B.SIDES)
-    found = b.where("k % 2 = 0").select("img", "class", "k", *B.SIDES, "score")
-    return coco(truth, found)
+    return coco(*detections(spark, sf))
+
+
+@query("agg_coco_summary")
+def agg_coco_summary(spark, sf):
+    """The twelve measures over classes, thresholds and size ranges."""
+    from ..functions.detection import coco_summary
+
+    return coco_summary(*detections(spark, sf))
