@@ -1,8 +1,9 @@
 """Text functions as column expressions, and the subword tokenizer."""
 
+import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -60,7 +61,7 @@ def cut_at(tokens, end: str) -> Column:
 
 
 # Entities of the tokenizer convention, in the order in which they are undone.
-HTML = [("&#124;", "|"), ("&lt;", "<"), ("&gt;", ">"), ("&bra;", "["), ("&ket;", "]"), ("&quot;", '"'), ("&apos;", "'"), ("&#91;", "["), ("&#93;", "]"), ("&amp;", "&")]
+HTML = [("&bar;", "|"), ("&#124;", "|"), ("&lt;", "<"), ("&gt;", ">"), ("&bra;", "["), ("&ket;", "]"), ("&quot;", '"'), ("&apos;", "'"), ("&#91;", "["), ("&#93;", "]"), ("&amp;", "&")]
 
 
 def deescape_html(text) -> Column:
@@ -72,7 +73,7 @@ def squeeze(text) -> Column:
 
 
 def tokenize_13a(text) -> Column:
-    """The mteval 13a convention."""
+    """The mteval 13a convention; its patterns are fixed values."""
     c = replace_all(text, [("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")])
     c = F.concat(F.lit(" "), c, F.lit(" "))
     c = F.regexp_replace(c, r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 ")
@@ -83,7 +84,7 @@ def tokenize_13a(text) -> Column:
 
 
 def tokenize_international(text) -> Column:
-    """The mteval v14 convention: punctuation apart from digits, symbols apart."""
+    """The mteval v14 convention: punctuation apart from digits, symbols apart; its patterns are fixed values."""
     c = F.regexp_replace(_c(text), r"(\P{N})(\p{P})", "$1 $2 ")
     c = F.regexp_replace(c, r"(\p{P})(\P{N})", " $1 $2")
     c = F.regexp_replace(c, r"(\p{S})", " $1 ")
@@ -192,6 +193,78 @@ class SubwordTokenizer:
         return cls(sorted(vocabulary or alphabet, key=lambda p: (-len(p), p)))
 
 
+#: Characters of the pieces that are counted at once; longer ones are counted where their beginnings are frequent.
+FIRST_CHARS = 16
+
+
+def piece_counts(words: DataFrame, vocabulary: list[str] | None, least: int) -> dict[str, int]:
+    """Pieces that occur ``least`` times or more: all prefixes from the start of each piece of the present segmentation (every
+    character without a vocabulary) to the end of the word, weighted. ``words`` has the columns w, n.
+
+    A piece is at most as frequent as its beginnings, so longer ones are counted only behind frequent beginnings, in
+    steps of double length: no long word is ever unfolded into all its pieces. Only the frequent ones, at most the sum
+    of all counts by ``least`` for each length, come to the driver."""
+    import pandas as pd
+
+    starts = F.sequence(F.lit(1), F.length("w"))
+    if vocabulary is not None:
+
+        @F.pandas_udf("array<int>")
+        def cut(w: pd.Series) -> pd.Series:
+            coder = SubwordTokenizer(vocabulary)
+
+            def of(token: str) -> list[int]:
+                out, at = [], 1
+                for k in coder.encode_token(token):
+                    out.append(at)
+                    at += len(coder.vocabulary[k])
+                return out
+
+            return w.map(of)
+
+        starts = cut("w")
+    now = words.select("n", "w", F.explode(starts).alias("i")).select("n", F.expr("substring(w, i)").alias("rest")).groupBy("rest").agg(F.sum("n").alias("n"))
+    out: dict[str, int] = {}
+    lo, hi = 0, FIRST_CHARS
+    while True:
+        ends = F.sequence(F.lit(lo + 1), F.least(F.lit(hi), F.length("rest")))
+        got = now.select("n", "rest", F.explode(ends).alias("k")).groupBy(F.expr("substring(rest, 1, k)").alias("piece")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
+        out.update((r.piece, r.n) for r in got)
+        more = [(r.piece,) for r in got if len(r.piece) == hi]
+        if not more:
+            return out
+        frequent = words.sparkSession.createDataFrame(more, "piece string")
+        now = now.where(F.length("rest") > hi).join(F.broadcast(frequent), F.substring("rest", 1, hi) == F.col("piece"), "left_semi")
+        lo, hi = hi, 2 * hi
+
+
+def learn_subwords(words: DataFrame, target: int, threshold: int, rounds: int = 4, least: tuple[int, int] = (1, 1000)) -> list[str]:
+    """A vocabulary of about ``target`` pieces, learned from all words (columns w, n; escaped). The least count of a piece is
+    found by bisection within ``least``, until the size is closer than ``threshold``; of the sizes tried, the closest is
+    taken. Characters always stay. An empty table gives the escape characters."""
+    from ..storage import materialize
+
+    words = materialize(words.select("w", "n"), "words")
+    alphabet = {r.c for r in words.select(F.explode(F.split("w", "")).alias("c")).distinct().collect()} - {""} | set("\\_u;0123456789")
+
+    def generate(count: int) -> list[str]:
+        vocabulary: list[str] | None = None
+        for _ in range(rounds):
+            found = SubwordTokenizer.discount(piece_counts(words, vocabulary, count), count)
+            vocabulary = sorted(alphabet | {p for p, _ in found}, key=lambda p: (-len(p), p))
+        return vocabulary or []
+
+    (lo, hi), best = least, None
+    while True:
+        count = (lo + hi) // 2
+        now = generate(count)
+        if best is None or abs(len(now) - target) < abs(len(best) - target):
+            best = now
+        if abs(len(now) - target) < threshold or lo >= hi or count < 2:
+            return best
+        lo, hi = (count + 1, hi) if len(now) > target else (lo, count - 1)
+
+
 def subword_encode(text, vocabulary: list[str]) -> Column:
     """Ids of each white-space token of a text by the greedy encoder, as an Arrow-batched function."""
     import pandas as pd
@@ -205,34 +278,48 @@ def subword_encode(text, vocabulary: list[str]) -> Column:
     return run(_c(text))
 
 
+# Marks of the detokenizing convention. Curly quotes count as the straight double one.
+_OPENING, _CLOSING, _QUOTES = frozenset("([{"), frozenset(",.?!:;\\%}])"), frozenset("'\"„“”")
+
+
+def _sticks(token: str, last: str, open_quotes: set[str]) -> tuple[bool, bool]:
+    """Whether a token is written without a space before it, and without one behind it, unless its neighbour says so too.
+    ``open_quotes`` has the quotes that are open, and is kept up."""
+    if _OPENING.issuperset(token) or all(unicodedata.category(c) == "Sc" for c in token):
+        return False, True
+    if _CLOSING.issuperset(token):
+        return True, False
+    if token[0] in "'’|" and token[1:2].isascii() and token[1:2].isalpha() and last[-1:].isascii() and last[-1:].isalnum():
+        return True, False  # the rest of a contraction
+    if token not in _QUOTES:
+        return False, False
+    mark = "'" if token == "'" else '"'
+    if mark in open_quotes:
+        open_quotes.discard(mark)
+        return True, False
+    if mark == "'" and last.endswith("s"):
+        return True, False  # of a plural
+    open_quotes.add(mark)
+    return False, True
+
+
+def moses_join(tokens: list[str]) -> str:
+    """The tokens as a sentence."""
+    out, open_quotes, last, glue = [], set(), "", True
+    for w in tokens:
+        before, after = _sticks(w, last, open_quotes)
+        out += [w] if before or glue else [" ", w]
+        last, glue = w, after
+    return "".join(out)
+
+
 def moses_detokenize(text) -> Column:
-    """Put tokens together: no space before closing and after opening punctuation, quotes alternate."""
+    """The white-space tokens of a text put together as a sentence: no space before closing and behind opening marks, quotes in turn."""
     import pandas as pd
 
-    def one(t: str | None) -> str | None:
-        if t is None:
-            return None
-        out, glue, quotes = "", True, {'"': 0, "'": 0}
-        for w in t.split():
-            if w in quotes:
-                opening = quotes[w] % 2 == 0
-                quotes[w] += 1
-                out += ("" if glue or not opening else " ") + w
-                glue = opening
-            elif all(c in ".,?!:;)]}%»" for c in w):
-                out += w
-                glue = False
-            elif all(c in "([{¿¡«$€" for c in w):
-                out += ("" if glue else " ") + w
-                glue = True
-            else:
-                out += ("" if glue or (w.startswith("'") and len(w) > 1) else " ") + w
-                glue = False
-        return out.strip()
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(one)
+        return s.map(lambda t: None if t is None else moses_join(t.split()))
 
     return run(_c(text))
 

@@ -231,6 +231,30 @@ def choose_from(frames: list[DataFrame], order, name: str = "pos") -> DataFrame:
     return global_index(reduce(DataFrame.unionByName, parts), ["_rn", "origin"], name).drop("_rn")
 
 
+#: A key with more rows is joined by a broadcast, whatever the number of keys; so few keys can be that large.
+HOT_ROWS, HOT_KEYS = 100_000, 100_000
+
+
+def _by_key(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with the columns of its key in ``table`` (_key0.., _n rows, ..); nulls are a key.
+
+    A table of few keys is broadcast. Else the keys are dealt out by a shuffle, but for those that hold so many rows that
+    one task should not take them: at most HOT_KEYS of them can exist, and they are broadcast."""
+    from .joins import BROADCAST_ROWS
+
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    n, total = table.agg(F.count("*"), F.sum("_n")).first()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), same)
+    hot = F.col("_n") > max(HOT_ROWS, total // HOT_KEYS)
+    few, many = F.broadcast(table.where(hot)), table.where(~hot)
+    return rows.join(few, same).unionByName(rows.join(few, same, "left_anti").join(many, same))
+
+
+def _key_columns(keys: list[str]) -> list[Column]:
+    return [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+
+
 def key_index(df: DataFrame, key, order, name: str = "rn") -> DataFrame:
     """Add the 0-based position of each row among the rows of its key.
 
@@ -239,9 +263,8 @@ def key_index(df: DataFrame, key, order, name: str = "rn") -> DataFrame:
     """
     keys = [key] if isinstance(key, str) else list(key)
     rows = global_index(df, [*keys, *_columns(order)], "_rn")
-    first = rows.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.min("_rn").alias("_first"))
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
-    return rows.join(first, same).withColumn(name, F.col("_rn") - F.col("_first")).drop("_rn", "_first", *[f"_key{i}" for i in range(len(keys))])
+    first = materialize(rows.groupBy(*_key_columns(keys)).agg(F.min("_rn").alias("_first"), F.count("*").alias("_n")), "keys")
+    return _by_key(rows, first, keys).withColumn(name, F.col("_rn") - F.col("_first")).drop("_rn", "_first", "_n", *[f"_key{i}" for i in range(len(keys))])
 
 
 def group_by_window(df: DataFrame, key, size: int, order, drop_remainder: bool = False) -> DataFrame:
@@ -250,6 +273,5 @@ def group_by_window(df: DataFrame, key, size: int, order, drop_remainder: bool =
     rows = key_index(df, keys, order, "_i").withColumns({"window": F.floor(F.col("_i") / size), "at": F.col("_i") % size}).drop("_i")
     if not drop_remainder:
         return rows
-    counts = rows.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_n"))
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
-    return rows.join(counts, same).where((F.col("window") + 1) * size <= F.col("_n")).drop("_n", *[f"_key{i}" for i in range(len(keys))])
+    counts = materialize(rows.groupBy(*_key_columns(keys)).agg(F.count("*").alias("_n")), "counts")
+    return _by_key(rows, counts, keys).where((F.col("window") + 1) * size <= F.col("_n")).drop("_n", *[f"_key{i}" for i in range(len(keys))])

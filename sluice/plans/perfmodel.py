@@ -35,6 +35,26 @@ def ranked(stats: DataFrame) -> DataFrame:
     return stats.withColumn("rate", F.col("per_core_rate") * F.col("parallelism")).withColumn("rank", F.row_number().over(Window.orderBy("rate", "topo")))
 
 
+def node_table(stats: DataFrame) -> DataFrame:
+    """Everything that the statistics say about each stage, slowest first by ``rank``: rates with one core and with those it
+    has, busy share, time alone and with the stages before it, elements and bytes in and out, share of time in
+    functions of the user, memory of what its cores hold at once, latency of a root element."""
+    before = Window.orderBy("topo")
+    consumed = F.lag("bytes_per_elem").over(before)
+    return ranked(stats).select(
+        "name", F.col("rank").cast("long").alias("rank"), "topo", "op", "parallelism", "element_ratio", "cardinality", "expected_dataset_size", "is_random",
+        F.col("per_core_rate").alias("core_max_rate"), F.col("rate").alias("parallel_max_rate"), (F.col("cores_used") / F.col("parallelism")).alias("p_busy"),
+        F.col("cores_used").alias("num_cores_used"), F.col("cpu_s").alias("processing_time"), F.sum("cpu_s").over(before).alias("aggregate_processing_time"),
+        F.when((F.col("op") == "map") & (F.col("cpu_s") > 0), F.lit(1.0)).otherwise(F.lit(0.0)).alias("p_udf"),
+        F.col("elements").alias("elements_produced"), F.coalesce(F.lag("elements").over(before), F.lit(0)).alias("elements_consumed"),
+        F.col("bytes_per_elem").alias("bytes_produced"), F.coalesce(consumed, F.lit(0.0)).alias("bytes_consumed"), F.coalesce(F.col("bytes_per_elem") / F.nullif(consumed, F.lit(0.0)), F.lit(0.0)).alias("byte_ratio"),
+        (F.col("bytes_per_elem") * F.col("elements") / F.nullif(F.col("cpu_s") / F.nullif(F.col("cores_used"), F.lit(0.0)), F.lit(0.0))).alias("bandwidth_used"),
+        (F.col("cardinality") / F.nullif(F.first("cardinality").over(before), F.lit(0))).alias("dataset_record_ratio"),
+        F.coalesce("parent_name", F.lit("")).alias("parent_name"), (F.col("bytes_per_elem") * F.col("parallelism")).alias("max_memory_used"),
+        (F.col("cpu_s") / F.col("elements") / F.col("parallelism") * F.col("element_ratio")).alias("autotune_latency_s"),
+    )
+
+
 def bottleneck(stats: DataFrame, valid_only: bool = False, ignore: tuple[str, ...] = ()) -> DataFrame:
     """The slowest stage; with ``valid_only`` among those that can be given more cores."""
     own = ranked(stats).where(~F.col("name").isin(*ignore)) if ignore else ranked(stats)

@@ -78,6 +78,21 @@ def an_ranked_nodes(spark, sf):
     return P.ranked(fix(spark)).select("name", F.col("rank").cast("long"))
 
 
+_NODE_TABLE = f"""SELECT name, row_number() OVER (ORDER BY per_core_rate * parallelism, topo) AS rank, topo, op, parallelism, element_ratio, cardinality, expected_dataset_size, is_random,
+ per_core_rate AS core_max_rate, per_core_rate * parallelism AS parallel_max_rate, round(cores_used / parallelism, 6) AS p_busy, cores_used AS num_cores_used, cpu_s AS processing_time,
+ round(sum(cpu_s) OVER t, 6) AS aggregate_processing_time, CASE WHEN op = 'map' AND cpu_s > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p_udf,
+ elements AS elements_produced, coalesce(lag(elements) OVER t, 0) AS elements_consumed, bytes_per_elem AS bytes_produced, coalesce(lag(bytes_per_elem) OVER t, 0) AS bytes_consumed,
+ round(coalesce(bytes_per_elem / lag(bytes_per_elem) OVER t, 0), 6) AS byte_ratio, round(bytes_per_elem * elements / (cpu_s / cores_used), 6) AS bandwidth_used,
+ round(cardinality / first_value(cardinality) OVER t, 6) AS dataset_record_ratio, coalesce(parent_name, '') AS parent_name, bytes_per_elem * parallelism AS max_memory_used,
+ round(cpu_s / elements / parallelism * element_ratio, 6) AS autotune_latency_s FROM {FIX} WINDOW t AS (ORDER BY topo)"""
+
+
+@query("an_node_table", _NODE_TABLE)
+def an_node_table(spark, sf):
+    n = P.node_table(fix(spark))
+    return n.withColumns({c: F.round(c, 6) for c in ("p_busy", "aggregate_processing_time", "byte_ratio", "bandwidth_used", "dataset_record_ratio", "autotune_latency_s")})
+
+
 @query("an_bottleneck", f"SELECT name, per_core_rate FROM {FIX} WHERE is_parallel OR op = 'batch' ORDER BY per_core_rate LIMIT 1")
 def an_bottleneck(spark, sf):
     return P.bottleneck(fix(spark), valid_only=True).select("name", "per_core_rate")

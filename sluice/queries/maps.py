@@ -189,17 +189,9 @@ def fn_escape(spark, sf):
 
 
 def _pieces(spark, sf):
-    """A small vocabulary learned from the counts of the most frequent words, which all counts enter."""
-    w = docs(spark, sf).select(F.explode(X.words("text")).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(300)
-    counts = {X_escape(r.w): r["count"] for r in w.collect()}
-    alphabet = docs(spark, sf).select(F.explode(F.split(F.regexp_replace("text", r"\s+", ""), "")).alias("c")).distinct()
-    chars = {r.c for r in alphabet.collect() if r.c}
-    learned = X.SubwordTokenizer.learn(counts, max(2, sum(counts.values()) // 2000))
-    return sorted(set(learned.vocabulary) | chars | set("\\_u"), key=lambda p: (-len(p), p))
-
-
-def X_escape(w):
-    return w.replace("\\", "\\\\").replace("_", "\\u") + "_"
+    """A vocabulary of about 500 pieces, learned from the counts of all words."""
+    w = docs(spark, sf).select(F.explode(X.words("text")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return X.learn_subwords(w.select(X.escape_token("w").alias("w"), "n"), 500, 50)
 
 
 @query("fn_subword_encode")
@@ -507,9 +499,9 @@ def fn_prices(spark, sf):
     return spark.range(1).select(F.round(F.lit(96 * CPU_HOUR + 300 * GB_HOUR), 6).alias("dollars"))
 
 
-@query("udtf_explode", f"SELECT doc_id, w FROM (SELECT doc_id, unnest({DW}[1:3]) AS w FROM documents)")
+@query("udtf_explode", f"SELECT doc_id, w FROM (SELECT doc_id, unnest({DW}) AS w FROM documents)")
 def udtf_explode(spark, sf):
-    return docs(spark, sf).select("doc_id", F.explode(F.slice(X.words("text"), 1, 3)).alias("w"))
+    return docs(spark, sf).select("doc_id", F.explode(X.words("text")).alias("w"))
 
 
 @query("udf_random", "SELECT false AS plain, true AS random")

@@ -136,12 +136,15 @@ def agg_token_budget(spark, sf):
     return d.where("upto <= 500000").agg(F.count("*").alias("docs"), F.sum("w").alias("words"))
 
 
-@query("agg_subtoken_counts", f"SELECT g, CAST(sum(n) AS BIGINT) AS n FROM (SELECT substr(w, i, k) AS g, n, w FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM (SELECT w || '_' AS w, count(*) AS n FROM (SELECT unnest({DW}) AS w FROM documents) GROUP BY 1)), range(1, 5) r(k) WHERE i + k - 1 <= length(w)) GROUP BY g")
+@query("agg_subtoken_counts", f"SELECT g, CAST(sum(n) AS BIGINT) AS n FROM (SELECT substr(w, i, k) AS g, n FROM (SELECT w, n, i, unnest(range(1, length(w) - i + 2)) AS k FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM (SELECT w || '_' AS w, count(*) AS n FROM (SELECT unnest({DW}) AS w FROM documents) GROUP BY 1)))) GROUP BY g")
 def agg_subtoken_counts(spark, sf):
-    """Weighted counts of all pieces of up to four characters, from every character of every word."""
+    """Weighted counts of all pieces, from every character of every word to each of its ends: as many rows a word as the
+    square of its length, which is the feature; learning counts only frequent ones (``text.piece_counts``)."""
     w = t(spark, sf, "documents").select(F.explode(X.words("text")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).withColumn("w", F.concat("w", F.lit("_")))
-    w = w.select("w", "n", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("i")).select("w", "n", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(4), F.length("w") - F.col("i") + 1))).alias("k"))
-    return w.groupBy(F.expr("substring(w, i, k)").alias("g")).agg(F.sum("n").alias("n"))
+    rest = w.select("n", "w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("i")).select("n", F.expr("substring(w, i)").alias("rest"))
+    # equal ends of words are one row before their prefixes are made
+    rest = rest.groupBy("rest").agg(F.sum("n").alias("n")).select("n", "rest", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("k"))
+    return rest.groupBy(F.expr("substring(rest, 1, k)").alias("g")).agg(F.sum("n").alias("n"))
 
 
 @query("agg_unique_counts", "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT c_nationkey) AS BIGINT) AS uniques, CAST(count(*) - count(DISTINCT c_nationkey) AS BIGINT) AS collisions FROM customer")

@@ -39,6 +39,19 @@ def src_tfrecord(spark, sf):
     return readers.read_records(spark, path).select(F.from_json(F.col("record").cast("string"), "o_orderkey long, o_orderstatus string").alias("r")).select("r.*")
 
 
+@query("src_examples", "SELECT o_orderkey, o_orderstatus, CAST(o_totalprice AS FLOAT) AS price, CAST(count(l_linenumber) AS BIGINT) AS n, CAST(coalesce(sum(l_partkey), 0) AS BIGINT) AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
+def src_examples(spark, sf):
+    """Orders with the parts of their lines as Example records, written and parsed."""
+    from ..sources import examples as X
+
+    lines = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))
+    o = t(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("price"), "parts")
+    path = new_path(spark, "examples")
+    writers.write_records(o.select(X.encode_examples(o, o.columns).alias("record")), path)
+    e = readers.read_records(spark, path).select(X.parse_examples("record", "o_orderkey long, o_orderstatus string, price float, parts array<long>").alias("e")).select("e.*")
+    return e.select("o_orderkey", "o_orderstatus", "price", F.size("parts").cast("long").alias("n"), F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x).alias("parts"))
+
+
 @query("src_textline", "SELECT doc_id, CAST(i - 1 AS BIGINT) AS line, l AS value FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)")
 def src_textline(spark, sf):
     return readers.lines_of(t(spark, sf, "documents"), "text", ["doc_id"]).select("doc_id", F.col("line").cast("long"), "value")

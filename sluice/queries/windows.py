@@ -131,20 +131,22 @@ def topo_sort(spark, sf):
     return S.depths(spark, spark.createDataFrame(_DAG, "src string, dst string"))
 
 
-@query("pack")
+_PACK_ROWS = f"(SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS b, CAST(least(64, len({DW})) AS BIGINT) AS a, CAST(least(20, len({DW})) AS BIGINT) AS c FROM documents)"
+
+
+_PACK_SQL = f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY doc_id) AS i FROM {_PACK_ROWS}),
+r AS (SELECT doc_id, b, i, CAST(0 AS BIGINT) AS row, a AS fa, c AS fc FROM d WHERE i = 1
+UNION ALL SELECT d.doc_id, d.b, d.i, CASE WHEN r.fa + d.a <= 64 AND r.fc + d.c <= 64 THEN r.row ELSE r.row + 1 END, CASE WHEN r.fa + d.a <= 64 AND r.fc + d.c <= 64 THEN r.fa + d.a ELSE d.a END, CASE WHEN r.fa + d.a <= 64 AND r.fc + d.c <= 64 THEN r.fc + d.c ELSE d.c END FROM r JOIN d ON d.b = r.b AND d.i = r.i + 1)"""
+
+
+@query("pack", f"{_PACK_SQL} SELECT b AS batch_id, row, CAST(64 AS BIGINT) AS n, CAST(coalesce(max(example) FILTER (a > 0), 0) AS BIGINT) AS examples FROM (SELECT r.b, r.row, d.a, row_number() OVER (PARTITION BY r.b, r.row ORDER BY r.doc_id) AS example FROM r JOIN d ON d.doc_id = r.doc_id) GROUP BY 1, 2")
 def pack(spark, sf):
     """Greedy packing of word-length sequences into rows of 64, in batches of 64 examples."""
     d = t(spark, sf, "documents").select("doc_id", F.transform(F.slice(X.words("text"), 1, 64), lambda w: F.length(w)).alias("inputs"), F.transform(F.slice(X.words("text"), 1, 20), lambda w: F.length(w)).alias("targets"))
     return P.pack(d, "doc_id", ["inputs", "targets"], 64, 64).select("batch_id", "row", F.size("inputs").cast("long").alias("n"), F.array_max("inputs_segmentation").cast("long").alias("examples"))
 
 
-_PACK_ROWS = f"(SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS b, CAST(least(64, len({DW})) AS BIGINT) AS a, CAST(least(20, len({DW})) AS BIGINT) AS c FROM documents)"
-
-
-@query("pack_lengths", f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY doc_id) AS i FROM {_PACK_ROWS}),
-r AS (SELECT doc_id, b, i, CAST(0 AS BIGINT) AS row, a AS fa, c AS fc FROM d WHERE i = 1
-UNION ALL SELECT d.doc_id, d.b, d.i, CASE WHEN r.fa + d.a <= 64 AND r.fc + d.c <= 64 THEN r.row ELSE r.row + 1 END, CASE WHEN r.fa + d.a <= 64 AND r.fc + d.c <= 64 THEN r.fa + d.a ELSE d.a END, CASE WHEN r.fa + d.a <= 64 AND r.fc + d.c <= 64 THEN r.fc + d.c ELSE d.c END FROM r JOIN d ON d.b = r.b AND d.i = r.i + 1)
-SELECT doc_id, b AS batch_id, row FROM r""")
+@query("pack_lengths", f"{_PACK_SQL} SELECT doc_id, b AS batch_id, row FROM r")
 def pack_lengths(spark, sf):
     """Which packed row each example goes to."""
     w = F.size(X.words("text"))

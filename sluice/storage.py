@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where none is named, as in tests."""
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where none is named and the executors are threads
+    of this process, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sluice-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

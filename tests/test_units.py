@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sluice.functions import detection as DT
 from sluice.functions import images as I
 from sluice.functions import metrics as M
 from sluice.functions import text as X
@@ -147,6 +148,97 @@ def test_vocabulary_gets_special_tokens(spark, tmp_path):
     assert got == ["<unk>", "<s>", "</s>", "b", "a"]
 
 
+def test_series_of_large_groups(spark, monkeypatch):
+    """Groups cut into blocks give what one window gives."""
+    from sluice.operators import series as S
+
+    r = random.Random(11)
+    rows = [(r.choice(["a", "a", "a", "b", None]), i, r.choice([1, 1, 1, 2]), float(r.choice([1, 2])), r.choice([True, False])) for i in range(240)]
+    df = spark.createDataFrame(rows, "g string, i int, n int, s double, f boolean").repartition(4)
+    runs = {
+        "diff": lambda: S.diff(df, "n", "i", ["g"]), "rates": lambda: S.rates(df, "n", "s", "i", ["g"]), "plateau": lambda: S.plateau(df, "s", "i", ["g"]), "cycle": lambda: S.cycle(df, "n", "i", ["g"], 3),
+        "converged": lambda: S.converged(df, "n", "s", "i", ["g"], 2, 0.2, 3.0), "segments": lambda: S.segments(df, "f", "n", "i", ["g"]), "position": lambda: S.position(df, "i", ["g"]),
+    }
+    flat = lambda d: sorted((repr({k: round(v, 9) if isinstance(v, float) else v for k, v in sorted(x.asDict().items())}) for x in d.collect()))
+    whole = {k: flat(f()) for k, f in runs.items()}
+    monkeypatch.setattr(S, "BLOCK", 8)
+    assert all(len(v) for v in whole.values())
+    for k, f in runs.items():
+        assert flat(f()) == whole[k], k
+    ties = spark.createDataFrame([("a", i // 3, i) for i in range(60)], "g string, i int, n int").withColumn("s", F.lit(1.0))
+    got = {x.n: x.cumulative for x in S.rates(ties, "n", "s", "i", ["g"]).collect()}
+    assert got == {i: sum(range(i // 3 * 3 + 3)) / (i // 3 * 3 + 3) for i in range(60)}
+
+
+def test_example_records(spark):
+    from sluice.sources import examples as E
+
+    golden = bytes.fromhex("0a0d0a0b0a016112061a040a02ac02")
+    assert E.encode({"a": [300]}) == golden and E.decode(golden) == {"a": [300]}
+    assert E.decode(bytes.fromhex("0a0e0a0c0a016112071a05080108ac02")) == {"a": [1, 300]}  # numbers that are not packed
+    r = random.Random(3)
+    for _ in range(200):
+        own = {"i": [r.randint(-(2**63), 2**63 - 1) for _ in range(r.randint(0, 4))], "f": [float(r.randint(-9, 9)) / 4 for _ in range(r.randint(1, 3))], "é": [bytes(r.randrange(256) for _ in range(r.randint(0, 300))) for _ in range(r.randint(1, 3))]}
+        assert E.decode(E.encode(own)) == own
+    with pytest.raises(ValueError):
+        E.decode(golden[:-1])
+    df = spark.createDataFrame([(E.encode({"k": [7], "s": ["x"], "v": [1, 2]}),), (E.encode({}),), (None,)], "r binary")
+    got = df.select(E.parse_examples("r", "k long, s string, v array<long>", {"k": -1}).alias("e")).collect()
+    assert [tuple(x.e) if x.e else None for x in got] == [(7, "x", [1, 2]), (-1, None, []), None]
+
+
+def test_parallelism_is_in_the_plan(spark):
+    from sluice.queries.analysis import demo
+
+    plan = lambda spec: spec.build(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    plain, wide = demo(), demo().set_parallelism({"decode": 5, "sums": 2}).raise_parallelism("decode")
+    assert "Repartition" not in plan(plain) and "Repartition 6" in plan(wide) and "Repartition 2" in plan(wide)
+    assert wide.prefix("decode").build(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 6
+    assert "Repartition" not in plan(wide.reset_parallelism())
+
+
+@pytest.mark.parametrize("few", [10**6, 2])
+def test_positions_of_many_keys(spark, monkeypatch, few):
+    """By a broadcast, and by a shuffle beside the broadcast of hot keys; a null is a key."""
+    from sluice.operators import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(R, "HOT_ROWS", 20)
+    monkeypatch.setattr(R, "HOT_KEYS", 10**9)
+    r = random.Random(8)
+    rows = [(r.choice([1, 1, 1, 2, None, *range(3, 40)]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, i int").repartition(5)
+    got = {x.i: x.rn for x in R.key_index(df, "k", "i").collect()}
+    seen, want = {}, {}
+    for k, i in rows:
+        want[i] = seen[k] = seen.get(k, -1) + 1
+    assert got == want
+    full = {x.i: (x.window, x.at) for x in R.group_by_window(df, "k", 3, "i", drop_remainder=True).collect()}
+    assert full == {i: (n // 3, n % 3) for (k, i), n in ((row, want[row[1]]) for row in rows) if (n // 3 + 1) * 3 <= seen[k] + 1}
+
+
+def test_subwords_are_learned_from_all_words(spark, monkeypatch):
+    """The frequent pieces, and the vocabulary, equal those of plain loops over whole words; beginnings are counted in steps."""
+    monkeypatch.setattr(X, "FIRST_CHARS", 3)
+    r = random.Random(6)
+    parts = ["un", "happi", "ness", "ly", "re", "do", "ing", "é", "a"]
+    counts = {}
+    for _ in range(120):
+        w = "".join(r.choice(parts) for _ in range(r.randint(1, 6))) + "_"
+        counts[w] = counts.get(w, 0) + r.randint(1, 5)
+    words = spark.createDataFrame(list(counts.items()), "w string, n long").repartition(4)
+    for vocabulary in (None, sorted({c for w in counts for c in w} | {"un", "happi", "ing_"}, key=lambda p: (-len(p), p))):
+        want = X.SubwordTokenizer.count_pieces(counts, set(vocabulary) if vocabulary else None, 10**6)
+        for least in (1, 7, 30):
+            assert X.piece_counts(words, vocabulary, least) == {p: n for p, n in want.items() if n >= least}
+    plain = X.SubwordTokenizer.learn(counts, 20, 2, 10**6).vocabulary
+    assert X.learn_subwords(words, len(plain), 1, 2, (20, 20)) == plain
+    target = len(plain) + 10
+    got = X.learn_subwords(words, target, 4, 2, (1, 60))
+    assert abs(len(got) - target) <= abs(len(plain) - target) and set("unhapi_") <= set(got)
+    assert set(X.learn_subwords(words.limit(0), 10, 2)) == set("\\_u;0123456789")
+
+
 def test_nms_is_greedy(spark):
     rows = [(1, 0, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 1, 0.0, 0.0, 10.0, 9.0, 0.8), (1, 2, 20.0, 20.0, 30.0, 30.0, 0.7), (2, 0, 0.0, 0.0, 1.0, 1.0, 0.1)]
     df = spark.createDataFrame(rows, "img int, k int, ymin double, xmin double, ymax double, xmax double, score double")
@@ -155,7 +247,7 @@ def test_nms_is_greedy(spark):
 
 def test_perfect_detections_have_full_precision(spark):
     t = spark.createDataFrame([(i, c, k, 10.0 * k, 0.0, 10.0 * k + 5, 5.0) for i in range(3) for c in (1, 2) for k in range(4)], "img long, class long, k long, ymin double, xmin double, ymax double, xmax double")
-    got = M.coco(t, t.withColumn("score", F.lit(1.0) / (1 + F.col("k")))).collect()
+    got = DT.coco(t, t.withColumn("score", F.lit(1.0) / (1 + F.col("k")))).collect()
     assert len(got) == 20 and all(r.ap == 1 and r.recall == 1 for r in got)
 
 
@@ -172,6 +264,24 @@ def test_bleu_of_equal_texts(spark):
     assert M.bleu_simple(s).first().bleu == pytest.approx(1) and M.bleu_exponential(s).first().bleu == pytest.approx(100) and M.bleu_smoothed(s).first().bleu == pytest.approx(100)
 
 
+MOSES = [
+    ("he said „ hello “ and left", 'he said „hello“ and left'),
+    ("the dogs ' bowl", "the dogs' bowl"),
+    ("it cost £ 5 , or € 6 .", "it cost £5, or €6."),
+    ("do n't , it 's Bob ’s", "do n't, it's Bob’s"),
+    ("a ( b ) [ c ] { d }", "a (b) [c] {d}"),
+    ("' a ' and ' b '", "'a' and 'b'"),
+    ("50 % of C : \\ ; x", "50% of C:\\; x"),
+    ('" x " y', '"x" y'),
+    ("", ""),
+]
+
+
+@pytest.mark.parametrize("text, want", MOSES)
+def test_moses_marks(text, want):
+    assert X.moses_join(text.split()) == want
+
+
 def test_moses(spark):
     df = spark.createDataFrame([('He said , " go ( now ) ! "',)], "t string")
     assert df.select(X.moses_detokenize("t").alias("d")).first().d == 'He said, "go (now)!"'
