@@ -41,6 +41,9 @@ COUNT_WORDS = 1 << 20
 SIGNATURE_BYTES = (32, 1024)
 #: Members of a posting list that are compared with each other in one task; longer lists are dealt out in pairs of blocks.
 BLOCK = 4096
+#: Tokens of the smallest that a node has in lists of several components: a pair that shares one of them is a row of the
+#: list of the smallest only.
+FIRST_TOKENS = 8
 #: Pairs looked at in one step, and bytes of their signatures.
 STEP_PAIRS, STEP_BYTES = 1 << 20, 32 << 20
 
@@ -256,9 +259,13 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return out
 
 
-def near_pairs(key: np.ndarray, side: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(key: np.ndarray, side: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: list[bytes], percent: int, tok: np.ndarray | None = None, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(x, y), x < y: the pairs of rows with the same key, of different components, whose sizes and signatures allow a link.
-    Rows are sorted by key and side; where a key has two sides, only rows of different ones meet."""
+    Rows are sorted by key and side; where a key has two sides, only rows of different ones meet.
+
+    ``head`` has the smallest of the tokens ``tok`` under which a row's node occurs, -1 where there are fewer. If two rows have
+    one in common that is smaller than the token of their key, they meet there as well, and are left out here; so a
+    pair is found under its smallest common token at least."""
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     stop = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
     two = np.repeat(side[first] != side[stop[first] - 1], stop[first] - first)
@@ -292,7 +299,7 @@ def near_pairs(key: np.ndarray, side: np.ndarray, rep: np.ndarray, comp: np.ndar
         a, b = np.where(rep[a] < rep[b], a, b), np.where(rep[a] < rep[b], b, a)
         if len(a):
             same = (rep[a], rep[b], which[a], which[b])
-            order = np.lexsort(same[::-1])
+            order = np.lexsort((tok[a] if tok is not None else key[a], *same[::-1]))  # of equal pairs that under the smallest token
             new = np.concatenate([[True], np.any([c[order][1:] != c[order][:-1] for c in same], axis=0)])
             a, b = a[order][new], b[order][new]
         most = (100 - percent) * (n[a] + n[b]) // (100 + percent)
@@ -303,6 +310,10 @@ def near_pairs(key: np.ndarray, side: np.ndarray, rep: np.ndarray, comp: np.ndar
                 size = min(wa, wb)
                 differ = np.bitwise_count((folded(table[wa][place[a[x]]], size) ^ folded(table[wb][place[b[x]]], size)).view(U64)).sum(1, dtype=np.int64)
                 x = x[differ <= most[x]]
+                if head is not None and len(x):
+                    ha, hb = head[a[x]], head[b[x]]
+                    before = (ha[:, :, None] == hb[:, None, :]) & (ha != -1)[:, :, None] & (ha < tok[a[x]][:, None])[:, :, None]
+                    x = x[~before.any((1, 2))]
                 found.append(np.stack([rep[a[x]], rep[b[x]]]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -322,8 +333,10 @@ def across(lists: DataFrame, forest: DataFrame, nodes: DataFrame, percent: int)
     mixed = materialize(listed.join(kinds, "tok"), "mixed")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = mixed.join(nodes.select("rep", "n", "sig"), "rep").withColumn("side", block).withColumn("other", other)
-    dealt = dealt.select("tok", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "comp", "n", "sig")
+    firsts = mixed.where("tok <> -1").groupBy("rep").agg(F.slice(F.array_sort(F.collect_set("tok")), 1, FIRST_TOKENS).alias("head"))
+    sides = nodes.select("rep", "n", "sig").join(firsts, "rep", "left").withColumn("head", F.coalesce("head", F.array().cast("array<bigint>")))
+    dealt = mixed.join(sides, "rep").withColumn("side", block).withColumn("other", other)
+    dealt = dealt.select("tok", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "comp", "n", "sig", "head")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -333,7 +346,12 @@ def across(lists: DataFrame, forest: DataFrame, nodes: DataFrame, percent: int)
             t = pa.Table.from_batches(held)
             tok, i, j, side, rep, comp, n = (t.column(c).to_numpy() for c in ("tok", "i", "j", "side", "rep", "comp", "n"))
             change = np.concatenate([[False], (tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-            x, y = near_pairs(np.cumsum(change), side, rep, comp, n, t.column("sig").to_pylist(), percent)
+            lists_ = t.column("head").combine_chunks()
+            size = lists_.value_lengths().to_numpy()
+            head = np.full((len(size), FIRST_TOKENS), -1, np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            head[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = lists_.flatten().to_numpy()
+            x, y = near_pairs(np.cumsum(change), side, rep, comp, n, t.column("sig").to_pylist(), percent, tok, head)
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
 
         for b in batches:
