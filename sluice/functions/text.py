@@ -1,8 +1,12 @@
 """Text functions as column expressions, and the subword tokenizer."""
 
 import unicodedata
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -193,51 +197,318 @@ class SubwordTokenizer:
         return cls(sorted(vocabulary or alphabet, key=lambda p: (-len(p), p)))
 
 
-#: Characters of the pieces that are counted at once; longer ones are counted where their beginnings are frequent.
+#: Characters up to which pieces are counted one length after the other; longer ones in steps of double length.
 FIRST_CHARS = 16
+#: Counts that a task holds before it merges them.
+HELD_COUNTS = 1 << 20
+
+
+class PieceTree:
+    """Pieces as a tree: node 0 is the empty one, and the beginnings of a piece are its ancestors."""
+
+    def __init__(self, pieces: Iterable[str] = ()):
+        self.pieces, self.parent = [""], [0]
+        self.number: dict[str, int] | None = None
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # by length: (node before << 21 | character, sorted; node)
+        by_length: dict[int, list[str]] = {}
+        for p in pieces:
+            by_length.setdefault(len(p), []).append(p)
+        number = {"": 0}
+        for _, own in sorted(by_length.items()):
+            nodes = self.add(np.array([number[p[:-1]] << 21 | ord(p[-1]) for p in own], np.int64))
+            number.update((self.pieces[k], k) for k in nodes)
+
+    def add(self, key: np.ndarray) -> range:
+        """One more length: the nodes of the keys (node before << 21 | character)."""
+        key = np.sort(key)
+        nodes = range(len(self.pieces), len(self.pieces) + len(key))
+        before = (key >> 21).tolist()
+        self.number = None
+        self.pieces += [self.pieces[k] + chr(c) for k, c in zip(before, (key & 0x1FFFFF).tolist())]
+        self.parent += before
+        self.levels.append((key, np.arange(nodes.start, nodes.stop)))
+        return nodes
+
+    def walk(self, chars: np.ndarray, stop: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(node of the longest piece that begins at each of the places ``at`` and ends before ``stop``, which of them got
+        to the last length)."""
+        node, on = np.zeros(len(at), np.int64), np.arange(len(at))
+        for d, (keys, nodes) in enumerate(self.levels):
+            on = on[at[on] + d < stop[on]]
+            key = node[on] << 21 | chars[at[on] + d]
+            q = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[q] == key
+            on = on[hit]
+            node[on] = nodes[q[hit]]
+        return node, on
+
+    def sums(self, counts: np.ndarray) -> np.ndarray:
+        """Counts of the nodes with those of all nodes below them."""
+        out, parent = counts.copy(), np.array(self.parent)
+        for _, nodes in reversed(self.levels):
+            np.add.at(out, parent[nodes], out[nodes])
+        return out
 
+    def longest(self, vocabulary: Iterable[str]) -> np.ndarray:
+        """Length of the longest piece of ``vocabulary`` that each node begins with; 1 where there is none."""
+        if self.number is None:
+            self.number = {p: k for k, p in enumerate(self.pieces)}
+        out, parent = np.zeros(len(self.pieces), np.int32), np.array(self.parent)
+        own = np.array([k for p in vocabulary if (k := self.number.get(p))], np.int64)
+        out[own] = 1
+        for d, (_, nodes) in enumerate(self.levels):
+            out[nodes] = np.where(out[nodes] > 0, d + 1, out[parent[nodes]])
+        return np.maximum(out, 1)
+
+
+def _characters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of the words one after the other, and where each word ends."""
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return chars, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(count, first) if len(first) else count
+
+
+def _counted(df: DataFrame, found) -> DataFrame:
+    """(key, n): the sums by key of the (keys, counts) that ``found`` returns for the Arrow batches of ``df``."""
+
+    def run(batches):
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        for b in batches:
+            key, count = _merged(*([x] for x in found(b)))
+            keys.append(key)
+            counts.append(count)
+            if sum(map(len, keys)) > HELD_COUNTS and len(keys) > 1:
+                key, count = _merged(keys, counts)
+                if len(key) > HELD_COUNTS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count)], names=["key", "n"])
+                    keys, counts = [], []
+                else:
+                    keys, counts = [key], [count]
+        key, count = _merged(keys, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count)], names=["key", "n"])
 
-def piece_counts(words: DataFrame, vocabulary: list[str] | None, least: int) -> dict[str, int]:
-    """Pieces that occur ``least`` times or more: all prefixes from the start of each piece of the present segmentation (every
-    character without a vocabulary) to the end of the word, weighted. ``words`` has the columns w, n.
+    return df.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-    A piece is at most as frequent as its beginnings, so longer ones are counted only behind frequent beginnings, in
-    steps of double length: no long word is ever unfolded into all its pieces. Only the frequent ones, at most the sum
-    of all counts by ``least`` for each length, come to the driver."""
-    import pandas as pd
 
-    starts = F.sequence(F.lit(1), F.length("w"))
-    if vocabulary is not None:
+def _cut(stop: np.ndarray, nodes: np.ndarray, longest: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, words) at which the greedy segmentation of the words begins a piece: first ones, second ones and so on.
+    ``nodes`` has the node at each place."""
+    out = []
+    at, word = np.concatenate([[0], stop[:-1]]).astype(np.int64), np.arange(len(stop))
+    on = at < stop
+    while on.any():
+        at, word = at[on], word[on]
+        out.append((at, word))
+        at = at + longest[nodes[at]]
+        on = at < stop[word]
+    return out
 
-        @F.pandas_udf("array<int>")
-        def cut(w: pd.Series) -> pd.Series:
-            coder = SubwordTokenizer(vocabulary)
 
-            def of(token: str) -> list[int]:
-                out, at = [], 1
-                for k in coder.encode_token(token):
-                    out.append(at)
-                    at += len(coder.vocabulary[k])
-                return out
-
-            return w.map(of)
+def piece_counts(words: DataFrame, vocabulary: list[str] | None, least: int) -> dict[str, int]:
+    """Pieces that occur ``least`` times or more: all prefixes from the start of each piece of the present segmentation (every
+    character without a vocabulary) to the end of the word, weighted. ``words`` has the columns w, n.
 
-        starts = cut("w")
-    now = words.select("n", "w", F.explode(starts).alias("i")).select("n", F.expr("substring(w, i)").alias("rest")).groupBy("rest").agg(F.sum("n").alias("n"))
-    out: dict[str, int] = {}
-    lo, hi = 0, FIRST_CHARS
+    A piece is at most as frequent as its beginnings, so a length is counted only behind the frequent pieces of the length
+    before, whose tree goes to the tasks; those above FIRST_CHARS in steps of double length. No word is ever unfolded
+    into all its pieces. Only the frequent ones, at most the sum of all counts by ``least`` for each length, come to the
+    driver."""
+    whole = PieceTree(_closed(vocabulary)) if vocabulary is not None else None
+    longest = whole.longest(vocabulary) if whole else None
+
+    def starts(w: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        chars, stop = _characters(w)
+        at, word = np.arange(len(chars)), np.repeat(np.arange(len(stop)), np.diff(stop, prepend=0))
+        if whole:
+            pieces = _cut(stop, whole.walk(chars, stop[word], at)[0], longest)
+            at, word = (np.concatenate([p[k] for p in pieces] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        return chars, stop, at, word
+
+    def longer(tree: PieceTree):
+        def found(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            chars, stop, at, word = starts(b.column("w").to_pylist())
+            d = len(tree.levels)
+            node, on = tree.walk(chars, stop[word], at)
+            on = on[at[on] + d < stop[word[on]]]
+            return node[on] << 21 | chars[at[on] + d], b.column("n").to_numpy()[word[on]]
+
+        return found
+
+    words = words.select("w", F.col("n").cast("long").alias("n"))
+    tree, out = PieceTree(), {}
+    while len(tree.levels) < FIRST_CHARS:
+        got = _counted(words, longer(tree)).where(F.col("n") >= least).orderBy("key").toArrow()
+        if not got.num_rows:
+            return out
+        nodes = tree.add(got.column("key").to_numpy())
+        out.update(zip((tree.pieces[k] for k in nodes), got.column("n").to_pylist()))
+
+    # the rests of the words behind frequent beginnings
+    def rests(batches):
+        for b in batches:
+            w, n = b.column("w").to_pylist(), b.column("n").to_numpy()
+            chars, stop, at, word = starts(w)
+            _, on = tree.walk(chars, stop[word], at)
+            begin = np.concatenate([[0], stop])
+            own = [w[k][i:] for k, i in zip(word[on].tolist(), (at[on] - begin[word[on]]).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(n[word[on]], pa.int64())], names=["rest", "n"])
+
+    now = words.mapInArrow(rests, "rest string, n long").groupBy("rest").agg(F.sum("n").alias("n"))
+    lo, hi = FIRST_CHARS, 2 * FIRST_CHARS
     while True:
         ends = F.sequence(F.lit(lo + 1), F.least(F.lit(hi), F.length("rest")))
+        now = now.where(F.length("rest") > lo)
         got = now.select("n", "rest", F.explode(ends).alias("k")).groupBy(F.expr("substring(rest, 1, k)").alias("piece")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
         out.update((r.piece, r.n) for r in got)
         more = [(r.piece,) for r in got if len(r.piece) == hi]
         if not more:
             return out
         frequent = words.sparkSession.createDataFrame(more, "piece string")
-        now = now.where(F.length("rest") > hi).join(F.broadcast(frequent), F.substring("rest", 1, hi) == F.col("piece"), "left_semi")
+        now = now.join(F.broadcast(frequent), F.substring("rest", 1, hi) == F.col("piece"), "left_semi")
         lo, hi = hi, 2 * hi
 
 
+def _closed(pieces: Iterable[str]) -> set[str]:
+    """The pieces and all their beginnings."""
+    return {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+
+
+#: Words whose pieces a task counts at once, and the least share of a count that they must have to tell which may be frequent.
+CHUNK_WORDS, CHUNK_LEAST = 1 << 18, 8
+
+
+def _chunk_pieces(w: list[str], n: np.ndarray, frequent) -> list[str]:
+    """The pieces of some words, beginning and ending anywhere, for whose counts ``frequent`` holds; it must hold for their beginnings."""
+    text = "".join(w)
+    chars, stop = _characters(w)
+    size = np.diff(stop, prepend=0)
+    at, end, weight = np.arange(len(chars)), np.repeat(stop, size), np.repeat(n, size)
+    node, d, out = np.zeros(len(at), np.int64), 0, []
+    while len(at):
+        key = node << 21 | chars[at + d]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        many = frequent(np.add.reduceat(weight[order], first))
+        d += 1
+        out += [text[i : i + d] for i in at[order[first[many]]].tolist()]
+        number = np.repeat(np.where(many, np.cumsum(many) - 1, -1), np.diff(first, append=len(key)))
+        on = order[(number >= 0) & (at[order] + d < end[order])]
+        node = np.empty(len(at), np.int64)
+        node[order] = number
+        at, end, weight, node = at[on], end[on], weight[on], node[on]
+    return out
+
+
+def frequent_pieces(words: DataFrame, least: int) -> list[str]:
+    """All pieces, beginning and ending anywhere in a word, that occur ``least`` times or more, their beginnings, and maybe others. The words
+    are counted in chunks; a piece is kept that has, in some chunk, its share of ``least`` by words. One below its share in
+    every chunk is below ``least`` in all. Where the shares are too small to tell, lengths are counted one by one."""
+    total = words.count()
+    if total > CHUNK_WORDS and least * CHUNK_WORDS < CHUNK_LEAST * total:
+        return list(piece_counts(words, None, least))
+
+    def run(batches):
+        w: list[str] = []
+        n: list[np.ndarray] = []
+
+        def close() -> pa.RecordBatch:
+            pieces = _chunk_pieces(w, np.concatenate(n), lambda count: count * total >= least * len(w))
+            return pa.RecordBatch.from_arrays([pa.array(pieces, pa.string())], names=["piece"])
+
+        for b in batches:
+            w += b.column("w").to_pylist()
+            n.append(b.column("n").to_numpy())
+            if len(w) >= CHUNK_WORDS:
+                yield close()
+                w, n = [], []
+        if w:
+            yield close()
+
+    found = words.select("w", F.col("n").cast("long").alias("n")).mapInArrow(run, "piece string").distinct()
+    return found.toArrow().column("piece").to_pylist()
+
+
+def _node_column(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of all words of a batch, and the offsets of the words in them."""
+    column = b.column("nodes")
+    _, at, flat = column.buffers()
+    at = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+    return np.frombuffer(flat, np.int32)[at[0] : at[-1]] if flat is not None else np.zeros(0, np.int32), at - at[0]
+
+
+class _Segments:
+    """All words as nodes: the longest piece at each place that is frequent anywhere. A piece of a segmentation is at most as
+    frequent as it is at all places, so the nodes suffice to cut words by any vocabulary of frequent pieces and to count
+    the pieces; words are not read again."""
+
+    def __init__(self, words: DataFrame, least: int):
+        from ..storage import materialize
+
+        self.least, self.tree = least, PieceTree(frequent_pieces(words, least))
+        tree = self.tree
+
+        def nodes(batches):
+            for b in batches:
+                chars, stop = _characters(b.column("w").to_pylist())
+                size = np.diff(stop, prepend=0)
+                node, _ = tree.walk(chars, np.repeat(stop, size), np.arange(len(chars)))
+                flat = pa.py_buffer(node.astype(np.int32).tobytes())
+                at = pa.py_buffer(np.concatenate([[0], 4 * stop]).astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(stop), [None, at, flat]), b.column("n")], names=["nodes", "n"])
+
+        self.nodes = materialize(words.select("w", F.col("n").cast("long").alias("n")).mapInArrow(nodes, "nodes binary, n long"), "segments")
+        self.counts = self._counts(None, least)
+        if len(self.counts) + 1 == len(tree.pieces):
+            return
+        # nodes that are not frequent become their longest frequent beginnings
+        self.tree = PieceTree(self.counts)
+        number = {p: k for k, p in enumerate(self.tree.pieces)}
+        now, parent = np.array([number.get(p, -1) for p in tree.pieces], np.int32), np.array(tree.parent)
+        for _, own in tree.levels:
+            now[own] = np.where(now[own] < 0, now[parent[own]], now[own])
+
+        def renamed(batches):
+            for b in batches:
+                node, at = _node_column(b)
+                flat, at = pa.py_buffer(now[node].tobytes()), pa.py_buffer((4 * at).astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), b.num_rows, [None, at, flat]), b.column("n")], names=["nodes", "n"])
+
+        self.nodes = materialize(self.nodes.mapInArrow(renamed, "nodes binary, n long"), "segments")
+
+    def at_all(self, least: int) -> dict[str, int]:
+        """The pieces that occur ``least`` times or more at any places."""
+        return {p: n for p, n in self.counts.items() if n >= least}
+
+    def cut_by(self, vocabulary: list[str], least: int) -> dict[str, int]:
+        """Those that do where the words are cut by ``vocabulary``."""
+        return self._counts(self.tree.longest(vocabulary), least)
+
+    def _counts(self, longest: np.ndarray | None, least: int) -> dict[str, int]:
+        def found(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            (node, at), n = _node_column(b), b.column("n").to_numpy()
+            if longest is None:
+                return node.astype(np.int64), np.repeat(n, np.diff(at))
+            pieces = _cut(at[1:], node, longest)
+            place, word = (np.concatenate([p[k] for p in pieces] or [np.zeros(0, np.int64)]) for k in (0, 1))
+            return node[place].astype(np.int64), n[word]
+
+        got = _counted(self.nodes, found).toArrow()
+        counts = np.zeros(len(self.tree.pieces), np.int64)
+        counts[got.column("key").to_numpy()] = got.column("n").to_numpy()
+        counts = self.tree.sums(counts)
+        return {self.tree.pieces[k]: int(counts[k]) for k in np.flatnonzero(counts >= least).tolist() if k}
+
+
 def learn_subwords(words: DataFrame, target: int, threshold: int, rounds: int = 4, least: tuple[int, int] = (1, 1000)) -> list[str]:
     """A vocabulary of about ``target`` pieces, learned from all words (columns w, n; escaped). The least count of a piece is
     found by bisection within ``least``, until the size is closer than ``threshold``; of the sizes tried, the closest is
@@ -246,12 +517,19 @@ def learn_subwords(words: DataFrame, target: int, threshold: int, rounds: int =
 
     words = materialize(words.select("w", "n"), "words")
     alphabet = {r.c for r in words.select(F.explode(F.split("w", "")).alias("c")).distinct().collect()} - {""} | set("\\_u;0123456789")
+    segments: _Segments | None = None
 
     def generate(count: int) -> list[str]:
+        nonlocal segments
+        if rounds and (segments is None or count < segments.least):
+            segments = _Segments(words, count)
         vocabulary: list[str] | None = None
         for _ in range(rounds):
-            found = SubwordTokenizer.discount(piece_counts(words, vocabulary, count), count)
-            vocabulary = sorted(alphabet | {p for p, _ in found}, key=lambda p: (-len(p), p))
+            found = SubwordTokenizer.discount(segments.at_all(count) if vocabulary is None else segments.cut_by(vocabulary, count), count)
+            now = sorted(alphabet | {p for p, _ in found}, key=lambda p: (-len(p), p))
+            if now == vocabulary:  # the same again in every round that follows
+                break
+            vocabulary = now
         return vocabulary or []
 
     (lo, hi), best = least, None
@@ -265,15 +543,57 @@ def learn_subwords(words: DataFrame, target: int, threshold: int, rounds: int =
         lo, hi = (count + 1, hi) if len(now) > target else (lo, count - 1)
 
 
-def subword_encode(text, vocabulary: list[str]) -> Column:
-    """Ids of each white-space token of a text by the greedy encoder, as an Arrow-batched function."""
-    import pandas as pd
+class _WordIds(dict):
+    """Word -> number of its ids in a flat array; words are encoded when they are first asked for."""
 
-    @F.pandas_udf("array<int>")
-    def run(s: pd.Series) -> pd.Series:
-        coder = SubwordTokenizer(vocabulary)
-        escape = lambda t: t.replace("\\", "\\\\").replace("_", "\\u") + "_"
-        return s.map(lambda t: [k for w in (t or "").split() for k in coder.encode_token(escape(w))])
+    def __init__(self, vocabulary: list[str]):
+        super().__init__()
+        self.vocabulary = vocabulary
+        self.start_anew()
+
+    def start_anew(self) -> None:
+        self.clear()
+        self.coder, self.flat, self.at = SubwordTokenizer(self.vocabulary), array("i"), array("q", [0])
+
+    def __missing__(self, word: str) -> int:
+        self.flat.extend(self.coder.encode_token(word.replace("\\", "\\\\").replace("_", "\\u") + "_"))
+        self.at.append(len(self.flat))
+        self[word] = len(self.at) - 2
+        return len(self.at) - 2
+
+    def texts(self, texts: list[str | None]) -> pa.ListArray:
+        """The ids of each text."""
+        if len(self) >= 1 << 20:
+            self.start_anew()
+        own = [np.fromiter(map(self.__getitem__, (t or "").split()), np.int64) for t in texts]
+        word = np.concatenate(own) if own else np.zeros(0, np.int64)
+        at, flat = np.array(self.at), np.array(self.flat, np.int32)
+        n = at[word + 1] - at[word]
+        stop = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(at[word] - stop[:-1], n) + np.arange(stop[-1])]
+        ends = stop[np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+
+
+#: Characters of the texts that are encoded at once.
+ENCODE_CHARS = 1 << 20
+
+
+def subword_encode(text, vocabulary: list[str]) -> Column:
+    """Ids of each white-space token of a text by the greedy encoder, as an Arrow-batched function; a word is encoded once."""
+
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = _WordIds(vocabulary)
+        for b in batches:
+            out, held, size = [], [], 0
+            for t in b.to_pylist():
+                held.append(t)
+                size += len(t or "")
+                if size > ENCODE_CHARS:
+                    out.append(words.texts(held))
+                    held, size = [], 0
+            yield pa.concat_arrays([*out, words.texts(held)])
 
     return run(_c(text))
 

@@ -336,3 +336,29 @@ def test_streams(spark, tmp_path):
     for r in got:
         size = sum(k == r.k for _, k in rows)
         assert r.w == size // 20 and r.n == 20 * r.w
+
+
+def test_subwords_are_learned_in_chunks(spark, monkeypatch):
+    """The same vocabulary for any size of chunks, with few jobs; encoding equals the plain encoder, for nulls and odd white space too."""
+    r = random.Random(9)
+    parts = ["un", "happi", "ness", "ly", "re", "do", "ing", "é", "😀a", "\\u"]
+    counts = {}
+    for _ in range(400):
+        w = "".join(r.choice(parts) for _ in range(r.randint(1, 6))) + "_"
+        counts[w] = counts.get(w, 0) + r.randint(1, 5)
+    words = spark.createDataFrame(list(counts.items()), "w string, n long").repartition(3)
+    every = X.SubwordTokenizer.count_pieces(counts, None, 10**6)
+    plain = X.SubwordTokenizer.learn(counts, 30, 4, 10**6).vocabulary
+    for size, least in ((7, 10**6), (50, 0), (10**6, 0)):
+        monkeypatch.setattr(X, "CHUNK_WORDS", size)
+        monkeypatch.setattr(X, "CHUNK_LEAST", least)
+        assert {p for p, n in every.items() if n >= 30} <= set(X.frequent_pieces(words, 30))
+        assert X._Segments(words, 30).counts == {p: n for p, n in every.items() if n >= 30}
+        assert X.learn_subwords(words, len(plain), 1, 4, (30, 30)) == plain
+    monkeypatch.setattr(X, "ENCODE_CHARS", 40)
+    texts = [None, "", " ", *(" \t\n"[i % 3].join(r.choices([w[:-1].replace("\\u", "_") for w in counts], k=i % 9)) for i in range(60))]
+    coder = X.SubwordTokenizer(plain)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(4)
+    got = {x.i: x.ids for x in df.select("i", X.subword_encode("text", plain).alias("ids")).collect()}
+    escaped = lambda w: w.replace("\\", "\\\\").replace("_", "\\u") + "_"
+    assert got == {i: [k for w in (t or "").split() for k in coder.encode_token(escaped(w))] for i, t in enumerate(texts)}
