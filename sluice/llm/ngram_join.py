@@ -11,9 +11,10 @@ tokens. The buckets in which two signatures differ are at most the tokens in whi
 too many are dropped without looking at the sets.
 
 Equal sets are one node. Every node is first compared with the head of a posting list that it shares most tokens with; what
-is linked then is one component. Only pairs of *different* components remain; those of a posting list are compared by
-their signatures inside tasks, in blocks of a list, and only the few that are left become rows. So no link between
-different components is lost, no list is gathered in one task, and a group of copies costs about one row per member.
+is linked then is one component. Only pairs of *different* components remain; those of a posting list are compared
+inside tasks, in blocks of a list, by their signatures and then by their sets, and only links that join components become
+rows. So no link between different components is lost, no list is gathered in one task, and a group of copies or near copies
+costs about one row per member.
 """
 
 from __future__ import annotations
@@ -41,6 +42,10 @@ COUNT_WORDS = 1 << 20
 SIGNATURE_BYTES = (32, 1024)
 #: Members of a posting list that are compared with each other in one task; longer lists are dealt out in pairs of blocks.
 BLOCK = 4096
+#: Bytes of the sets of a block, about, where lists are compared exactly.
+BLOCK_BYTES = 16 << 20
+#: Pairs between two looks at the components that they join.
+FOREST_PAIRS = 1 << 14
 #: Tokens of the smallest that a node has in lists of several components: a pair that shares one of them is a row of the
 #: list of the smallest only.
 FIRST_TOKENS = 8
@@ -259,8 +264,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return out
 
 
-def near_pairs(key: np.ndarray, side: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: list[bytes], percent: int, tok: np.ndarray | None = None, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y), x < y: the pairs of rows with the same key, of different components, whose sizes and signatures allow a link.
+def near_pairs(key: np.ndarray, side: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: list[bytes], percent: int, tok: np.ndarray | None = None, head: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers (a, b), rep[a] < rep[b], and buckets that differ, some at a time: the pairs of rows with the same key, of different components, whose sizes and signatures allow a link.
     Rows are sorted by key and side; where a key has two sides, only rows of different ones meet.
 
     ``head`` has the smallest of the tokens ``tok`` under which a row's node occurs, -1 where there are fewer. If two rows have
@@ -285,7 +290,6 @@ def near_pairs(key: np.ndarray, side: np.ndarray, rep: np.ndarray, comp: np.ndar
         place[own] = np.arange(len(own))
         table[w] = np.frombuffer(b"".join([kinds[i] for i in own.tolist()]), np.uint8).reshape(-1, w)
     width, place = sizes[which], place[which]
-    found: list[np.ndarray] = []
     upto = np.concatenate([[0], np.cumsum(many)])
     i = 0
     while i < len(key):
@@ -309,72 +313,151 @@ def near_pairs(key: np.ndarray, side: np.ndarray, rep: np.ndarray, comp: np.ndar
             for x in (own[q : q + step] for q in range(0, len(own), step)):
                 size = min(wa, wb)
                 differ = np.bitwise_count((folded(table[wa][place[a[x]]], size) ^ folded(table[wb][place[b[x]]], size)).view(U64)).sum(1, dtype=np.int64)
-                x = x[differ <= most[x]]
+                near = differ <= most[x]
+                x, differ = x[near], differ[near]
                 if head is not None and len(x):
                     ha, hb = head[a[x]], head[b[x]]
                     before = (ha[:, :, None] == hb[:, None, :]) & (ha != -1)[:, :, None] & (ha < tok[a[x]][:, None])[:, :, None]
-                    x = x[~before.any((1, 2))]
-                found.append(np.stack([rep[a[x]], rep[b[x]]]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x, y = np.unique(np.concatenate(found, 1), axis=1)
-    return x, y
+                    here = ~before.any((1, 2))
+                    x, differ = x[here], differ[here]
+                if len(x):
+                    yield a[x], b[x], differ
 
 
-def across(lists: DataFrame, forest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(x, y) of nodes that share a posting list, are of different components (``forest``: node, comp; others are alone),
-    and whose sizes and signatures allow a link.
+class _Forest:
+    """Components of some nodes, joined step by step."""
+
+    def __init__(self, comp: np.ndarray):
+        _, self.own = np.unique(comp, return_inverse=True)
+        self.up = list(range(int(self.own.max(initial=-1)) + 1))
+
+    def top(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def tops(self) -> np.ndarray:
+        """The component of each node."""
+        return np.array([self.top(i) for i in range(len(self.up))], np.int64)[self.own]
+
+    def join(self, a: int, b: int) -> None:
+        self.up[self.top(int(self.own[a]))] = self.top(int(self.own[b]))
+
+    def apart(self, a: int, b: int) -> bool:
+        return self.top(int(self.own[a])) != self.top(int(self.own[b]))
+
+
+def _similar(sets: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], third: tuple[np.ndarray, np.ndarray], percent: int) -> bool:
+    """Whether two nodes share prefix tokens under the second and the third order, and enough of their sets."""
+    if not all(len(np.intersect1d(*p, assume_unique=False)) for p in (second, third)):
+        return False
+    both = len(np.intersect1d(*sets, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both)
+
+
+def _dealt(members: DataFrame, sides: DataFrame, columns: list[str]) -> DataFrame:
+    """The members (tok, rep, comp, blocks) of lists with the ``columns`` of ``sides``, dealt out in pairs of blocks (i, j) and
+    sorted by list, blocks and side."""
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = members.join(sides, "rep").withColumn("side", block).withColumn("other", other)
+    dealt = dealt.select("tok", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "comp", *columns)
+    by = ["tok", "i", "j"]
+    return dealt.repartition(shuffle_partitions(members.sparkSession), *by).sortWithinPartitions(*by, "side")
+
+
+def _whole_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Some lists (tok, i, j) at a time, whole, of BLOCK rows or BLOCK_BYTES bytes and more."""
+    held: list[pa.RecordBatch] = []
+    rows, size, last = 0, 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        tok, i, j = (int_list(b, c) for c in ("tok", "i", "j"))
+        key = (tok[0], i[0], j[0])
+        turns = np.flatnonzero((tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        cut = 0 if key != last else (int(turns[0]) if len(turns) else None)
+        if held and (rows >= BLOCK or size >= BLOCK_BYTES) and cut is not None:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            b, held, rows, size = b.slice(cut), [], 0, 0
+        held.append(b)
+        rows += b.num_rows
+        size += b.nbytes
+        last = (tok[-1], i[-1], j[-1])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near_rows(t: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``near_pairs`` of whole lists."""
+    tok, i, j, side, rep, comp, n = (t.column(c).to_numpy() for c in ("tok", "i", "j", "side", "rep", "comp", "n"))
+    change = np.concatenate([[False], (tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+    lists_ = t.column("head").combine_chunks()
+    size = lists_.value_lengths().to_numpy()
+    head = np.full((len(size), FIRST_TOKENS), -1, np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    head[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = lists_.flatten().to_numpy()
+    return near_pairs(np.cumsum(change), side, rep, comp, n, t.column("sig").to_pylist(), percent, tok, head)
+
+
+def across(lists: DataFrame, forest: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (x, y) between nodes that share a posting list and are of different components (``forest``: node, comp; others are
+    alone); a pair that is linked but missing is of one component by other links.
 
     Lists of one component go at once. A list of more than BLOCK members is dealt out in pairs of blocks, so a task holds
-    two blocks at most; the comparisons of such a list are made in all tasks, and only what they leave is a row."""
-    parts = shuffle_partitions(lists.sparkSession)
+    two blocks at most. Sizes and signatures tell which members have a near one in their list; only these are dealt out
+    again, with their sets and prefixes, and compared exactly inside the tasks. A task leaves only links that join
+    components, fewer than it has members: no pair is a row before it is a link, however many members are near."""
     listed = lists.select("tok", "rep").join(small(forest.select(F.col("node").alias("rep"), "comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     kinds = listed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("tok", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     mixed = materialize(listed.join(kinds, "tok"), "mixed")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     firsts = mixed.where("tok <> -1").groupBy("rep").agg(F.slice(F.array_sort(F.collect_set("tok")), 1, FIRST_TOKENS).alias("head"))
-    sides = nodes.select("rep", "n", "sig").join(firsts, "rep", "left").withColumn("head", F.coalesce("head", F.array().cast("array<bigint>")))
-    dealt = mixed.join(sides, "rep").withColumn("side", block).withColumn("other", other)
-    dealt = dealt.select("tok", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "comp", "n", "sig", "head")
+    sides = nodes.join(firsts, "rep", "left").withColumn("head", F.coalesce("head", F.array().cast("array<bigint>")))
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows, last = 0, None
+    def select(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_lists(batches):
+            hit = np.zeros(t.num_rows, bool)
+            for a, b, _ in _near_rows(t, percent):
+                hit[a] = hit[b] = True
+            yield from t.select(["tok", "rep", "comp", "n"]).filter(pa.array(hit)).combine_chunks().to_batches()
 
-        def close() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            tok, i, j, side, rep, comp, n = (t.column(c).to_numpy() for c in ("tok", "i", "j", "side", "rep", "comp", "n"))
-            change = np.concatenate([[False], (tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-            lists_ = t.column("head").combine_chunks()
-            size = lists_.value_lengths().to_numpy()
-            head = np.full((len(size), FIRST_TOKENS), -1, np.int64)
-            row = np.repeat(np.arange(len(size)), size)
-            head[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = lists_.flatten().to_numpy()
-            x, y = near_pairs(np.cumsum(change), side, rep, comp, n, t.column("sig").to_pylist(), percent, tok, head)
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+    near = _dealt(mixed, sides.select("rep", "n", "sig", "head"), ["n", "sig", "head"]).mapInArrow(tidy(select), "tok long, rep long, comp long, n long")
+    near = materialize(near.groupBy("tok", "rep", "comp").agg(F.max("n").alias("n")), "near")
+    keys = bloom_of(near, "rep")
 
+    def token_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            tok, i, j = (int_list(b, c) for c in ("tok", "i", "j"))
-            key = (tok[0], i[0], j[0])
-            turns = np.flatnonzero((tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            cut = 0 if key != last else (int(turns[0]) if len(turns) else None)
-            if held and rows >= BLOCK and cut is not None:
-                held.append(b.slice(0, cut))
-                yield close()
-                b, held, rows = b.slice(cut), [], 0
-            held.append(b)
-            rows += b.num_rows
-            last = (tok[-1], i[-1], j[-1])
-        if held:
-            yield close()
+            hit = keys.has(int_list(b, "doc_id"))
+            if hit.any():
+                b = b.filter(pa.array(hit))
+                own = [np.unique(shingles(w, k)).tobytes() for _, w in document_words(b.column("text"))]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own, pa.binary())], names=["rep", "tokens"])
 
-    by = ["tok", "i", "j"]
-    pairs = materialize(dealt.repartition(parts, *by).sortWithinPartitions(*by, "side").mapInArrow(tidy(compare), "x long, y long").distinct(), "rest")
-    discard(mixed)
-    return pairs
+    sets = materialize(docs.where("doc_id is not null").mapInArrow(tidy(token_sets), "rep long, tokens binary"), "sets")
+    blocks = near.groupBy("tok").agg(F.ceil(F.greatest(F.count("*") / BLOCK, 8 * F.sum("n") / BLOCK_BYTES)).cast("int").alias("blocks"))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_lists(batches):
+            rep = t.column("rep").to_numpy()
+            own, second, third = ([np.frombuffer(x.as_py(), kind) for x in t.column(c)] for c, kind in (("tokens", U64), ("p2", np.uint32), ("p3", np.uint32)))
+            joined = _Forest(t.column("comp").to_numpy())
+            links: list[tuple[int, int]] = []
+            for a, b, differ in _near_rows(t, percent):
+                order = np.argsort(differ, kind="stable")  # the likeliest first: what they join need not be compared
+                for at in (order[q : q + FOREST_PAIRS] for q in range(0, len(order), FOREST_PAIRS)):
+                    tops = joined.tops()
+                    for x, y in zip(*(z[at][tops[a[at]] != tops[b[at]]].tolist() for z in (a, b))):
+                        if joined.apart(x, y) and _similar((own[x], own[y]), (second[x], second[y]), (third[x], third[y]), percent):
+                            joined.join(x, y)
+                            links.append((int(rep[x]), int(rep[y])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["x", "y"])
+
+    sides = sides.join(sets, "rep")
+    rows = _dealt(near.select("tok", "rep", "comp").join(blocks, "tok"), sides.select("rep", "n", "sig", "head", "p2", "p3", "tokens"), ["n", "sig", "head", "p2", "p3", "tokens"])
+    links = materialize(rows.mapInArrow(tidy(compare), "x long, y long").distinct(), "rest")
+    discard(mixed, near, sets)
+    return links
 
 
 def _filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -437,10 +520,8 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     tried = _filtered(first, nodes, percent)
     linked = verified(tried, docs, k, percent)
     # what is linked by now is one component; every pair of nodes of different components remains
-    rest = across(lists, components(linked.select(F.col("x").alias("a"), F.col("y").alias("b"))), nodes, percent)
-    kept = _filtered(rest.join(tried, ["x", "y"], "left_anti"), nodes, percent)
-    discard(rest, lists, first, rows, others)
-    more = verified(kept, docs, k, percent)
+    more = across(lists, components(linked.select(F.col("x").alias("a"), F.col("y").alias("b"))), nodes, docs, k, percent)
+    discard(lists, first, rows, others)
 
     comps = components(linked.union(more).select(F.col("x").alias("a"), F.col("y").alias("b")))
     named = classes.join(comps, classes.rep == comps.node, "left").select(*key, F.coalesce("comp", "rep").alias("component"))

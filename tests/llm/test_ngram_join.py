@@ -145,3 +145,26 @@ def test_components(spark):
             up[a] = up[b] = min(up[a], up[b])
     loops = {v for v in up if all(a == b for a, b in edges if v in (a, b))}
     assert got == {v: c for v, c in up.items() if v not in loops}
+
+
+def test_pairs_of_a_near_group_are_no_rows(frame, spark, monkeypatch):
+    """Many texts that are near each other, none of them a link: rows grow with the members, not with the pairs."""
+    r = random.Random(4)
+    base_ = [f"v{i}" for i in range(150)]
+    texts = []
+    for _ in range(60):
+        w = list(base_)
+        for p in r.sample(range(150), 2):
+            w[p] = f"x{r.random()}"
+        texts.append(" ".join(w))
+    written, own = {}, m.materialize
+
+    def count(df, name="step"):
+        out = own(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(m, "materialize", count)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in m.ngram_join(frame(texts, 3), 5, 80).collect()}
+    assert got == brute(texts, 5, 80)
+    assert written["rest"] < 2 * len(texts) and written["pairs"] <= len(texts) and "near" in written
