@@ -159,6 +159,46 @@ def test_threshold_keeps_the_recall_where_classes_overlap():
     assert (net.probability(strips)[y == 1] >= net.threshold).mean() >= secrets.RECALL
 
 
+def labelled_texts(n, seed=21):
+    """Many secrets and many other tokens, some of them often."""
+    r = random.Random(seed)
+    hexs = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    words = lambda: "".join(r.choice("thing er ed ness ation re un".split()) for _ in range(8))
+    out = [f"some words here token = {hexs()} and more" if i % 2 else f"a long {words()} word with 1234567{i}" for i in range(n)]
+    return out + out[:2] * 50 + [f"at last a path of {'/'.join(words() for _ in range(40))}", None, ""]
+
+
+def test_fit_uses_all_findings(frame):
+    """However the documents are dealt: one task with all of them offers no less than eight."""
+    docs = frame(labelled_texts(1600), 8)
+    one, eight = (secrets.fit_network(d) for d in (docs.coalesce(1), docs))
+    assert all(np.array_equal(one.p[k], eight.p[k]) for k in one.p) and one.threshold == eight.threshold
+    count = {}
+    for t in labelled_texts(1600):
+        held = base.Spans((a, e) for a, _, e in secrets.base_spans(t or ""))
+        for a, e in secrets.tokens(t or ""):
+            key = (int(held.meets(a, e)), secrets.strip(t, a, e))
+            count[key] = count.get(key, 0) + 1
+    assert {(x.y, x.w): x.n for x in secrets.findings(docs).collect()} == count
+
+
+def test_fit_in_many_tasks(frame, monkeypatch):
+    """Averaged networks, scores in small groups, and the threshold against the plain quantile."""
+    monkeypatch.setattr(secrets, "SHARE_CHARS", 20_000)
+    docs = frame(labelled_texts(1600))
+    net = secrets.fit_network(docs)
+    rows = secrets.findings(docs).where("pmod(h, 4) = 3").collect()
+    strips = [s for x in rows for s in 2 * x.n * [x.w]]
+    strips[::2] = map(secrets.bare, strips[::2])
+    y = np.array([x.y for x in rows for _ in range(2 * x.n)], float)
+    plain = secrets.CharCnn()
+    plain.p = net.p
+    plain.calibrate(strips, y)
+    assert (net.scale, net.shift, net.threshold) == pytest.approx((plain.scale, plain.shift, plain.threshold), rel=1e-4)
+    p = net.probability(strips)
+    assert (p[y == 1] >= net.threshold).mean() >= secrets.RECALL and (p[y == 0] >= net.threshold).mean() <= 0.02
+
+
 def test_rows(odd_frame):
     texts = ["mail é a@b.co", "same text", None, "", "token = abcdefgh"]
     df = odd_frame(texts)
