@@ -8,6 +8,7 @@ names in ``spark.checkpoint.dir`` so that a lost executor never loses data.
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from bisect import bisect_left, insort
@@ -82,18 +83,41 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: What a worker process keeps from task to task, as long as they are tasks of one function.
+kept: list[dict] = []
+_last = [""]
+
+
+def hand_back() -> None:
+    """Free memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def begin(function: str) -> None:
+    """Drop what the tasks of another function have left in this worker: what they kept, and what they held when their
+    last task ended, such as models."""
+    if function != _last[0]:
+        _last[0] = function
+        for cache in kept:
+            cache.clear()
+        gc.collect()
+        hand_back()
+
+
 def tidy(run):
-    """An Arrow function that hands the memory it used back to the system when a task ends: workers live on, and what
-    one stage held would stand beside what the next one needs."""
+    """An Arrow function that hands the memory it used back to the system when a task ends, and what it kept when tasks of
+    another function begin: workers live on, and what one stage held would stand beside what the next one needs."""
+    function = f"{run.__module__}.{run.__qualname__}"
 
     def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(function)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            hand_back()
 
     return wrapped
 
@@ -186,13 +210,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C55
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
+kept.append(_powers)
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        step = np.full(max(n, CHUNK_BYTES + 1024), base, U64)
+        step = np.full(-(-max(n, 1) >> 16 << 16), base, U64)
         step[0] = 1
         with np.errstate(over="ignore"):
             have = _powers[base] = np.cumprod(step)

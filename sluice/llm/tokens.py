@@ -21,10 +21,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the pa
 
 from tokenizers import Tokenizer  # noqa: E402
 
-from .base import CHUNK_BYTES, U64, mix, powers, row_groups, text_bytes  # noqa: E402
+from .base import CHUNK_BYTES, U64, kept, mix, powers, row_groups, text_bytes  # noqa: E402
 
 #: Distinct chunks whose ids are remembered; beyond it the memo starts anew.
 MEMO = 1_000_000
+#: Bytes of texts whose chunks are found at once.
+GROUP_BYTES = 1 << 18
 #: New chunks sent through the library in one text.
 JOINED = 500
 _BASES = tuple((b, pow(b, -1, 2**64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
@@ -39,6 +41,7 @@ _CLASS[[0xC2, 0xE1, 0xE2, 0xE3]] = _LEAD
 _OTHER_SPACES = np.unique(np.array([int.from_bytes(c.encode().ljust(3, b"\0")[:3], "big") for c in map(chr, range(128, 0x3001)) if c.isspace()], np.uint32))
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
+kept.append(_tokenizers)
 
 
 class Memo:
@@ -109,7 +112,7 @@ class ChunkTokenizer:
     def encode_column(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each row in order; a null row is empty."""
         body, at = text_bytes(column)
-        for i, j in row_groups(at):
+        for i, j in row_groups(at, GROUP_BYTES):
             part, own = body[at[i] : at[j]], at[i : j + 1] - at[i]
             if j - i == 1 and len(part) > 4 * CHUNK_BYTES:
                 yield self._long(part)
@@ -233,7 +236,7 @@ class ChunkTokenizer:
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
-    """One tokenizer per worker process and file."""
+    """One tokenizer per worker process and file, for the tasks of one function."""
     if path not in _tokenizers:
         _tokenizers[path] = ChunkTokenizer(path)
     return _tokenizers[path]

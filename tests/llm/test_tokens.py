@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from sluice.llm import packing, repair, tokens
+from sluice.llm import base, packing, repair, tokens
 
 WORDS, BYTES = (public_tokenizers.path(f"{x}.json") for x in ("word_bpe_49k", "byte_bpe_50k"))
 HARD = ["un.\nLe mot\nsuit", "a  b", " a", "a ", "\n\n x", "word\n next \n more", "it's  'tis 's", "x   y", "é ́x", "a　b c", "tab\tz  \t", "Σ ΑΣ ς", "<|endoftext|> a", "1234 5 6,7", "a\0b \0 c", "İ I i", "🙂 🙂🙂", "x" * 500 + " y"]
@@ -42,6 +42,24 @@ def test_lone_line_breaks_and_long_texts(path):
         assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids, (t or "")[:80]
 
 
+def test_workers_keep_nothing_of_another_stage():
+    """A tokenizer and its memo serve the tasks of one function; the next function's tasks begin without them."""
+    path, seen = BYTES, []
+
+    def encodes(batches):
+        seen.append(tokens.tokenizer(path))
+        seen[-1].encode_batch(["some words"])
+        yield from batches
+
+    def another(batches):
+        seen.append((dict(tokens._tokenizers), dict(base._powers)))
+        yield from batches
+
+    for f in (encodes, encodes, another):
+        assert list(base.tidy(f)(iter([1]))) == [1]
+    assert seen[0] is seen[1] and seen[2] == ({}, {})
+
+
 def test_packing(frame, prose):
     texts = prose() + HARD
     library = Tokenizer.from_file(BYTES)
