@@ -31,8 +31,7 @@ SHARD_IDS = 2_000_000
 #: Pairs replaced in one round at most, and occurrences that make a pair frequent.
 ROUND_RULES, FREQUENT = 4_000, 8
 SYMBOLS = 1 << 16
-#: Bits of the hash that leaves out rare pairs before the exact count.
-_BUCKETS = 18
+_MIX = np.uint32(0x9E3779B1)
 
 
 def compress(ids: np.ndarray, vocabulary: int, barrier: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,18 +44,14 @@ def compress(ids: np.ndarray, vocabulary: int, barrier: int) -> tuple[np.ndarray
     while (room := min(ROUND_RULES, SYMBOLS - vocabulary - len(rules))) > 0:
         key = (s[:-1] << np.uint32(16)) | s[1:]
         # pairs that can be replaced: without a barrier, and only every other one of a run
-        fits = (s[:-1] != barrier) & (s[1:] != barrier)
+        inside = s != barrier
+        fits = inside[:-1] & inside[1:]
         twin = np.flatnonzero(s[:-1] == s[1:])
         if len(twin):
             begins = np.diff(twin, prepend=-2) != 1
             fits[twin[(twin - twin[np.maximum.accumulate(np.where(begins, np.arange(len(twin)), 0))]) % 2 == 1]] = False
-        # a frequent pair lies in a bucket with as many pairs at least; those are counted exactly
-        at = np.flatnonzero(fits)
-        key = key[at]
-        bucket = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BUCKETS)
-        many = np.bincount(bucket, minlength=1 << _BUCKETS)[bucket] >= FREQUENT
-        at, key = at[many], key[many]
-        order = np.sort(key)
+        order = key[fits]
+        order.sort()
         first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else np.zeros(0, np.int64)
         count = np.diff(first, append=len(order))
         first, count = first[count >= FREQUENT], count[count >= FREQUENT]
@@ -75,13 +70,20 @@ def compress(ids: np.ndarray, vocabulary: int, barrier: int) -> tuple[np.ndarray
         if not new:
             break
         picked = np.array(new, np.uint32)
-        up = np.argsort(picked)
-        picked = picked[up]
+        # by a hash of 16 bits; a pair is sought among those that share its hash
+        mixed = (picked * _MIX) >> np.uint32(16)
+        up = np.argsort(mixed)
+        picked, share = picked[up], np.bincount(mixed, minlength=1 << 16)
         is_left, is_right = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
         is_left[picked >> 16] = is_right[picked & 0xFFFF] = True
-        near = is_left[key >> 16] & is_right[key & 0xFFFF]
-        at, key = at[near], key[near]
-        q = np.minimum(np.searchsorted(picked, key), len(picked) - 1)
+        fits &= is_left[s[:-1]]
+        fits &= is_right[s[1:]]
+        at = np.flatnonzero(fits)
+        key = key[at]
+        q = np.minimum(np.cumsum(share) - share, len(picked) - 1)[(key * _MIX) >> np.uint32(16)]
+        for _ in range(int(share.max()) - 1):
+            other = np.flatnonzero(picked[q] != key)
+            q[other] = np.minimum(q[other] + 1, len(picked) - 1)
         hit = picked[q] == key
         at = at[hit]
         s[at] = (vocabulary + len(rules) + up[q[hit]]).astype(np.uint32)

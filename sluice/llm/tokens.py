@@ -3,13 +3,17 @@
 Both vocabularies used here split a text into pre-tokens before any merge, and no pre-token extends over the beginning
 of a single space, or over a single line break, that stands between two characters that are not white space, nor over
 the end of a word and a mark behind it. These therefore cut the text into chunks whose ids do not depend on each other:
-each distinct chunk is sent through the tokenizers library once and its ids are reused. Chunks are found, hashed
+each distinct chunk is sent through the tokenizers library once and its ids are reused. Chunks are found, keyed
 (128 bits) and looked up by numpy over the bytes of many texts at once. Texts with any other white space around a cut,
 or with special tokens, go through the library whole.
+
+For the word vocabulary, what the library does to a text before its merges is simple where all letters are those of
+ASCII and U+00C0 to U+00FF: numpy does it for many chunks at once (``BareWords``), and the library only merges.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -19,7 +23,7 @@ import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
 
-from tokenizers import Tokenizer  # noqa: E402
+from tokenizers import Tokenizer, pre_tokenizers  # noqa: E402
 
 from .base import CHUNK_BYTES, U64, kept, mix, powers, row_groups, text_bytes  # noqa: E402
 
@@ -27,8 +31,8 @@ from .base import CHUNK_BYTES, U64, kept, mix, powers, row_groups, text_bytes  #
 MEMO = 1_000_000
 #: Bytes of texts whose chunks are found at once.
 GROUP_BYTES = 1 << 18
-#: New chunks sent through the library in one text.
-JOINED = 500
+#: New chunks sent through the library in one text, and to its merges only.
+JOINED, BARE = 500, 2000
 _BASES = tuple((b, pow(b, -1, 2**64)) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 _SPACE, _BREAK, _MARK, _LETTER, _ODD, _LEAD = 1, 2, 4, 8, 16, 32
@@ -40,12 +44,67 @@ _CLASS[[0, 9, 11, 12, 13, 28, 29, 30, 31]] = _ODD
 _CLASS[[0xC2, 0xE1, 0xE2, 0xE3]] = _LEAD
 _OTHER_SPACES = np.unique(np.array([int.from_bytes(c.encode().ljust(3, b"\0")[:3], "big") for c in map(chr, range(128, 0x3001)) if c.isspace()], np.uint32))
 
+#: Steps before the merges that ``BareWords`` can take over.
+_WORD_STEPS = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+)
+#: Sorts of bytes in a pre-token. Letters are those of ASCII and, as two bytes, U+00C0 to U+00FF without the two signs among
+#: them; an apostrophe may begin an ending such as 's.
+_GAP, _WORD, _SIGN, _DIGIT, _HARD = range(5)
+_SORT = np.full(256, _HARD, np.uint8)
+_SORT[0x21:0x7F], _SORT[ord("'")] = _SIGN, _HARD
+_SORT[0x30:0x3A] = _DIGIT
+_SORT[list(b" \n")] = _GAP
+_SORT[(_CLASS & _LETTER) != 0] = _SORT[0xC3] = _WORD
+_SORT[0x80:0xC0], _SORT[[0x97, 0xB7]] = _WORD, _HARD
+#: The character by which the vocabulary writes each byte, the same with white space as a space, and lower-case bytes.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_CHARACTER = np.zeros(256, np.uint16)
+_CHARACTER[_PRINTED] = _PRINTED
+_CHARACTER[[x for x in range(256) if x not in _PRINTED]] = np.arange(256, 512 - len(_PRINTED))
+_CHARACTER_OR_SPACE = _CHARACTER.copy()
+_CHARACTER_OR_SPACE[list(b" \n")] = 0x20
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[0x41:0x5B] += 0x20
+_LOWERED[0x80:0x9F] += 0x20
+
 _tokenizers: dict[str, ChunkTokenizer] = {}
 kept.append(_tokenizers)
 
 
+#: The lowest 0 to 8 bytes of a word.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def chunk_keys(body: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of each chunk, two words: exact up to 16 bytes, which have no byte 0; hashes of longer ones."""
+    size = end - begin
+    padded = np.zeros(len(body) + 16, np.uint8)
+    padded[: len(body)] = body
+    word = np.ndarray(len(body) + 9, "<u8", padded, strides=(1,))
+    key = np.empty((len(begin), 2), U64)
+    key[:, 1] = mix(word[begin + 8] & _LOWEST[np.clip(size - 8, 0, 8)])
+    key[:, 0] = mix((word[begin] & _LOWEST[np.minimum(size, 8)]) ^ key[:, 1])
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        size = size[long]
+        stop = np.cumsum(size)
+        at, n = stop - size, int(stop[-1])
+        text = body[np.repeat(begin[long] - at, size) + np.arange(n)].astype(U64) + U64(1)
+        total = np.zeros(n + 1, U64)
+        with np.errstate(over="ignore"):
+            for c, (base, inverse) in enumerate(_BASES):
+                np.cumsum(text * powers(base, n), out=total[1:])
+                key[long, c] = mix((total[stop] - total[at]) * powers(inverse, n)[at] + size.astype(U64))
+    return key
+
+
 class Memo:
-    """128-bit chunk hash -> ids, as arrays: an open-addressing table over one flat array of ids."""
+    """128-bit chunk key -> ids, as arrays: an open-addressing table over one flat array of ids."""
 
     def __init__(self, most: int):
         self.bits = max(10, (2 * most).bit_length())
@@ -63,24 +122,24 @@ class Memo:
             entry = self.slots[slot]
             own = key[open_]
             there = entry >= 0
-            same = there & (self.key[entry] == own).all(1)
+            known = self.key[entry]
+            same = there & (known[:, 0] == own[:, 0]) & (known[:, 1] == own[:, 1])
             out[open_[same]] = entry[same]
             on = there & ~same
             open_, slot = open_[on], (slot[on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def add(self, key: np.ndarray, ids: list[np.ndarray]) -> None:
-        """Distinct unknown keys."""
+    def add(self, key: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Distinct unknown keys; their ids one after the other, and the numbers of these."""
         first, n = self.n, self.n + len(key)
         if n > len(self.key):
             self.key = np.concatenate([self.key, np.zeros((max(n, 2 * len(self.key)) - len(self.key), 2), U64)])
             self.at = np.concatenate([self.at, np.zeros(len(self.key) + 1 - len(self.at), np.int64)])
         self.key[first:n] = key
-        self.at[first + 1 : n + 1] = self.at[first] + np.cumsum([len(x) for x in ids])
+        self.at[first + 1 : n + 1] = self.at[first] + np.cumsum(size)
         if self.at[n] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(self.at[n], 2 * len(self.flat)) - len(self.flat), np.uint32)])
-        if ids:
-            self.flat[self.at[first] : self.at[n]] = np.concatenate(ids)
+        self.flat[self.at[first] : self.at[n]] = ids
         self.n = n
         entry = np.arange(first, n)
         slot = (key[:, 0] >> U64(64 - self.bits)).astype(np.int64)
@@ -97,12 +156,79 @@ class Memo:
         return self.flat[np.repeat(self.at[entry] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)], n
 
 
+class BareWords:
+    """Ids of chunks of plain letters, signs and digits by the merges of the library's own model alone.
+
+    Such a chunk is its own composed form; its pre-tokens are runs of letters, runs of signs, and single digits. They are
+    lower-cased (``same``), written in the vocabulary's characters and parted by spaces here. Each ends in the one id whose token
+    has the suffix of a word's end, so no offsets are needed.
+    """
+
+    def __init__(self, library: Tokenizer, suffix: str):
+        self.library = Tokenizer(library.model)  # the same model, not a copy
+        self.library.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = library.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+
+    @staticmethod
+    def of(library: Tokenizer) -> BareWords | None:
+        """None where the library takes other steps, or lacks a byte."""
+        normal, pre = (json.loads(x.__getstate__()) if x else {} for x in (library.normalizer, library.pre_tokenizer))
+        if (normal.get("normalizers"), pre.get("pretokenizers")) != _WORD_STEPS or library.post_processor:
+            return None
+        model = library.model
+        suffix = getattr(model, "end_of_word_suffix", None)
+        if not suffix or model.dropout or model.continuing_subword_prefix or model.ignore_merges:
+            return None
+        letters = [chr(c) + x for c in _CHARACTER for x in ("", suffix)]
+        return None if any(model.token_to_id(x) is None for x in letters) else BareWords(library, suffix)
+
+    @staticmethod
+    def same(body: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which chunks are plain; the bytes with these in lower case, and beginnings without the space before a word:
+        plain chunks that are equal then have the same ids."""
+        hard = np.zeros(len(body) + 1, np.int64)
+        np.cumsum(_SORT[body] == _HARD, out=hard[1:])
+        plain = hard[end] == hard[begin]
+        lowered = np.where(np.repeat(plain, end - begin), _LOWERED[body], body)
+        return plain, lowered, begin + (plain & (body[begin] == 0x20) & (end - begin > 1))
+
+    def learn(self, body: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain chunks in lower case one after the other, and their numbers."""
+        size = end - begin
+        text = body[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        stop = np.cumsum(size)
+        sort = _SORT[text]
+        fresh = sort == _DIGIT
+        fresh[1:] |= sort[1:] != sort[:-1]
+        fresh[stop - size] = True
+        fresh &= sort != _GAP
+        # a space before each pre-token
+        to = np.arange(len(text)) + np.cumsum(fresh)
+        spaced = np.full(len(text) + int(fresh.sum()), 0x20, np.uint16)
+        spaced[to] = _CHARACTER_OR_SPACE[text]
+        to = np.concatenate([[0], to[stop - 1] + 1])
+        words = np.diff(np.concatenate([[0], np.cumsum(fresh)])[np.concatenate([[0], stop])])
+        ids, count = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(size), BARE):
+            own = words[i : i + BARE]
+            part = spaced[to[i] : to[i + len(own)]].tobytes().decode("utf-16-le")
+            ids.append(np.array(self.library.encode_batch_fast([part], add_special_tokens=False)[0].ids, np.uint32))
+            done = np.concatenate([[0], np.flatnonzero(self.last[ids[-1]]) + 1])
+            if len(done) != own.sum() + 1 or done[-1] != len(ids[-1]):
+                raise ValueError("the ids of words cannot be told apart")
+            count.append(np.diff(done[np.concatenate([[0], np.cumsum(own)])]))
+        return np.concatenate(ids), np.concatenate(count)
+
+
 class ChunkTokenizer:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str, most: int = MEMO):
         self.library, self.most = Tokenizer.from_file(path), most
         self.memo = Memo(most)
+        self.bare = BareWords.of(self.library)
         ids, begin = self._encode("a\na")
         self.line_break = ids[np.searchsorted(begin, 1) : np.searchsorted(begin, 2)]
 
@@ -182,23 +308,27 @@ class ChunkTokenizer:
         start[1:n] |= mark
         begin = np.flatnonzero(start[:n])
         end = np.append(begin[1:], n)
-        key = np.empty((len(begin), 2), U64)
-        with np.errstate(over="ignore"):
-            for c, (base, inverse) in enumerate(_BASES):
-                total = np.zeros(n + 1, U64)
-                np.cumsum((body.astype(U64) + U64(1)) * powers(base, n), out=total[1:])
-                key[:, c] = mix((total[end] - total[begin]) * powers(inverse, n)[begin] + (end - begin).astype(U64))
+        at = np.searchsorted(begin, at)
+        if self.bare:
+            plain, body, begin = self.bare.same(body, begin, end)
+        key = chunk_keys(body, begin, end)
         if self.memo.n > self.most:
             self.memo = Memo(self.most)
         entry = self.memo.find(key)
         while len(miss := np.flatnonzero(entry < 0)):
             _, first = np.unique(key[miss, 0] ^ (key[miss, 1] << U64(1)), return_index=True)
             first = miss[first]
-            raw = body.tobytes()
-            self.memo.add(key[first], self._learn([raw[a:b].decode() for a, b in zip(begin[first].tolist(), end[first].tolist())]))
+            if self.bare:
+                own = first[plain[first]]
+                self.memo.add(key[own], *self.bare.learn(body, begin[own], end[own]))
+                first = first[~plain[first]]
+            if len(first):
+                raw = body.tobytes()
+                own = self._learn([raw[a:b].decode() for a, b in zip(begin[first].tolist(), end[first].tolist())])
+                self.memo.add(key[first], np.concatenate(own), np.array([len(x) for x in own]))
             entry[miss] = self.memo.find(key[miss])
         ids, per_chunk = self.memo.gather(entry)
-        done = np.concatenate([[0], np.cumsum(per_chunk)])[np.searchsorted(begin, at)]
+        done = np.concatenate([[0], np.cumsum(per_chunk)])[at]
         return [ids[a:b] for a, b in zip(done[:-1].tolist(), done[1:].tolist())]
 
     def _learn(self, chunks: list[str]) -> list[np.ndarray]:

@@ -157,3 +157,75 @@ def test_grammar_odd_rows(odd_frame, tmp_path):
     assert sum(r.n_tokens for r in rows) == max(r.start + r.n_tokens for r in rows)
     folder = f"file://{tmp_path}/y"
     assert repair.read_shards(repair.write_shards(df.limit(0), folder, WORDS), folder).count() == 0
+
+
+def test_bare_words_equal_the_library():
+    """Chunks of plain letters, signs and digits go to the merges alone; all others to the whole library."""
+    library, own = Tokenizer.from_file(WORDS), tokens.ChunkTokenizer(WORDS)
+    assert own.bare and not tokens.ChunkTokenizer(BYTES).bare
+    r = random.Random(7)
+    letters = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA0, 0x100)]] + list("  \n\n'''aZéÉ12İΣςǅ日🙂²½Ÿſ\x01\x7f") + ["é"]
+    parts = ["'s", "'LL", "É", "ß", "ÿ", "×", "÷", "12", " ", "\n", " A", " .", "!!", "</w>", "<", "|", ">", "THE", " ü.", "a."]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(4000)]
+    texts += ["x".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(4000)]
+    texts += [f"a{c}b {c}. x{c}1 {c}{c}" for c in map(chr, range(1, 0x3000))]
+    for t, ids in zip(texts, own.encode_batch(texts), strict=True):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_plain_chunks_take_the_merges_only(monkeypatch):
+    """The library's own steps cost most of the time of a new word; plain words do not pass them."""
+    monkeypatch.setattr(tokens.ChunkTokenizer, "_learn", lambda self, chunks: pytest.fail(f"{chunks[:3]}"))
+    own, library = tokens.ChunkTokenizer(WORDS), Tokenizer.from_file(WORDS)
+    texts = ["Ünder the Façade, 12 mots.\nÀ suivre!!", "x" * 300 + " y$$$ " + "é" * 300] * 2
+    for t, ids in zip(texts, own.encode_batch(texts), strict=True):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_rounds_replace_the_same_pairs():
+    """A round's pairs are those of a plain count, the most frequent first; the next rounds follow from them."""
+    r = np.random.default_rng(3)
+    ids = np.concatenate([r.zipf(1.3, 20_000) % 500 + 2, [7] * 101, [1], [7] * 40, [1, 1]]).astype(np.uint32)
+    ids[r.integers(0, len(ids), 300)] = 1
+    symbols, rules = repair.compress(ids, 3000, 1)
+    s, want = ids.tolist(), []
+    while True:
+        n, at, i = defaultdict(int), [], 0
+        while i < len(s) - 1:
+            if s[i] != 1 and s[i + 1] != 1:
+                n[s[i], s[i + 1]] += 1
+                at.append(i)
+                if i + 2 < len(s) and s[i] == s[i + 1] == s[i + 2]:  # the next pair of the run overlaps
+                    i += 1
+            i += 1
+        lefts, rights, new = set(), set(), {}
+        for a, b in sorted((x for x in n if n[x] >= repair.FREQUENT), key=lambda x: (-n[x], x)):
+            if a not in rights and b not in lefts:
+                lefts.add(a)
+                rights.add(b)
+                new[a, b] = 3000 + len(want) + len(new)
+        if not new:
+            break
+        gone = set()
+        for i in at:
+            if (s[i], s[i + 1]) in new:
+                gone.add(i)
+        s = [new[s[i], s[i + 1]] if i in gone else x for i, x in enumerate(s) if i - 1 not in gone]
+        want += new
+    assert symbols.tolist() == s and [tuple(x) for x in rules.tolist()] == want and len(want) > 100
+
+
+def test_equal_chunks_share_a_key():
+    """Keys depend on the bytes of a chunk only, wherever it stands; plain chunks of a word share one in any case."""
+    r = random.Random(11)
+    words = list({bytes(r.choices(b"ab\xc3\xa9", k=r.randint(1, 60))) for _ in range(3000)} | {b"x" * n for n in range(1, 60)})
+    seen = {}
+    for own in (words, words[::-1], words[:1], words[1::7]):
+        body, size = np.frombuffer(b"".join(own), np.uint8), np.array([len(w) for w in own])
+        stop = np.cumsum(size)
+        for w, key in zip(own, tokens.chunk_keys(body, stop - size, stop).tolist(), strict=True):
+            assert seen.setdefault(w, key) == key
+    assert len({tuple(k) for k in seen.values()}) == len(words)
+    one = tokens.ChunkTokenizer(WORDS)
+    one.encode_batch(["Été été ÉTÉ\nété", "J̌a ǰa"])
+    assert one.memo.n == 4  # of which a line break, and two that are not plain
